@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossmill.functions import as_column
+from glossmill.functions import as_column, strip
 
 INTEGER = r"^-?\d+$"
 INTEGER_PREFIX = r"^[+-]?\d+"
@@ -15,13 +15,13 @@ INFINITY_PREFIX = r"^[+-]?Infinity"
 
 def parse_prefix_integer(c: Column | str) -> Column:
     """The leading integer of a text (``12abc`` is 12), NULL where there is none."""
-    head = F.regexp_extract(F.trim(as_column(c)), INTEGER_PREFIX, 0)
+    head = F.regexp_extract(strip(c), INTEGER_PREFIX, 0)
     return F.nullif(head, F.lit("")).try_cast("bigint")
 
 
 def parse_prefix_number(c: Column | str) -> Column:
     """The leading number of a text (``2024-01-01`` is 2024.0), NULL where there is none."""
-    text = F.trim(as_column(c))
+    text = strip(c)
     head = F.regexp_extract(text, NUMBER_PREFIX, 0)
     infinity = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
     return F.when(text.rlike(INFINITY_PREFIX), infinity).otherwise(

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossmill.functions import as_column
-
-# White space as the cleaners mean it: all of Unicode plus the four ASCII separators.
-SPACE = r"[\s\x1c-\x1f]"
+from glossmill.functions import SPACE, as_column
 
 # The substitutions of the two cleaners, in the order they apply. S stands for SPACE.
 FULL_STEPS = [
-    (r"(?U)S*\(S*s S*\)", "s"),
+    (r"(?U)S*\(S*sS*\)", "s"),
     (r"(?U)S*\(S*(or|and)S+([^)]+)S*\)S*", " $1 $2 "),
     (r"(?U)S*\(S*(or|and|i\.e\.|etc\.)S*\)S*", " $1 "),
     (r"(?iuU)S*\(S*(ki|m|f|d|pl|sg|lú|giš|kur|uru)S*\)", ""),
@@ -22,7 +19,7 @@ FULL_STEPS = [
     (r"([.,;:!?])(?=[A-Za-z])", "$1 "),
 ]
 LIGHT_STEPS = [
-    (r"(?U)S*\(S*s S*\)S*", "s "),
+    (r"(?U)S*\(S*sS*\)S*", "s "),
     (r"(?U)S*\(S*(or|and)S*\)S*", " $1 "),
     (r"(?U)S*\(S*(ki|d|m|f|lu|munus)S*\)S*", " "),
     (r"(?U)S+", " "),
@@ -33,7 +30,7 @@ def clean_translation(c: Column | str, level: str = "full") -> Column:
     """Take the editorial marks out of a translation: ``(s)``, ``( or x )``, ``(ki)`` and the like."""
     text = as_column(c)
     for pattern, replacement in {"full": FULL_STEPS, "light": LIGHT_STEPS}[level]:
-        text = F.regexp_replace(text, pattern.replace("s S", "sS").replace("S", SPACE), replacement)
+        text = F.regexp_replace(text, pattern.replace("S", SPACE), replacement)
     return F.trim(text)
 
 
@@ -42,11 +39,6 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(as_column(c), f"(?U){SPACE}+", " "))
 
 
-def strip(c: Column | str) -> Column:
-    """Strip white space of every kind from both ends."""
-    return F.regexp_replace(as_column(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
-
-
 def with_prefix(c: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), as_column(c))
 
