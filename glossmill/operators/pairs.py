@@ -56,11 +56,11 @@ def preview(df: DataFrame, columns: list[str], n: int = 5, width: int = 80, orde
 
 
 def run_sql(tables: dict[str, DataFrame], text: str) -> DataFrame:
-    """A SQL query over the given tables, which are visible under their keys for this query only."""
+    """A SQL query over the given tables, each named in braces: ``SELECT … FROM {pairs}``."""
     if not tables:
         raise ValueError("no tables given")
     spark = next(iter(tables.values())).sparkSession
-    return spark.sql(text.format(**{name: "{" + name + "}" for name in tables}), **tables)
+    return spark.sql(text, **tables)
 
 
 def align(hypotheses: DataFrame, references: DataFrame, on: list[str]) -> DataFrame:
