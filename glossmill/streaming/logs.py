@@ -34,5 +34,6 @@ def live_counts(
     kept = filter_logs(entries, errors=errors)
     if window is None:
         return log_counts(kept, by)
-    timed = kept.withWatermark(time, watermark).withColumn("window_start", F.window(time, window)["start"])
-    return log_counts(timed, [*by, "window_start"])
+    timed = kept.withWatermark(time, watermark).withColumn("window", F.window(time, window))
+    counts = log_counts(timed, [*by, "window"])
+    return counts.select(*by, F.col("window.start").alias("window_start"), "entries", "stdout", "stderr")
