@@ -11,11 +11,11 @@ from glossmill.functions.numbers import parse_prefix_number
 from glossmill.sources.schema import blank_to_null, infer_types, name_mapping, sanitize_names
 
 METRICS = "map<string,double>"
-STATUS = T.StructType.fromDDL(
+STATUS = (
     "phase string, progress double, currentEpoch int, totalEpochs int, lastCheckpoint string, "
     "updated_at timestamp, duration_seconds double, metrics map<string,double>, error string"
 )
-LOG_ENTRY = T.StructType.fromDDL("stream_name string, time double, data string")
+LOG_ENTRY = "struct<stream_name:string,time:double,data:string>"
 SUBMISSION_COLUMNS = ["fileName", "date", "description", "status", "publicScore", "privateScore"]
 
 
@@ -137,8 +137,7 @@ def read_run_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_entries(value: F.Column) -> F.Column:
     """The entries of a whole log text: a JSON array or object, else the lines that parse alone."""
-    array_type = T.ArrayType(LOG_ENTRY)
-    whole = F.from_json(value, array_type)
+    whole = F.from_json(value, f"array<{LOG_ENTRY}>")
     body = F.regexp_replace(F.regexp_replace(value, r"^\[", ""), r"\]$", "")
     lines = F.transform(F.split(body, "\n"), lambda line: F.from_json(bare_log_line(line), LOG_ENTRY))
     good = F.filter(lines, lambda entry: entry["stream_name"].isNotNull() | entry["data"].isNotNull())
