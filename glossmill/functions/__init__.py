@@ -22,8 +22,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 # White space as the cleaners mean it: all of Unicode plus the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def strip(c: Column | str) -> Column:
     """Strip white space of every kind from both ends."""
-    return F.regexp_replace(as_column(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(as_column(c), F.lit(SPACES))

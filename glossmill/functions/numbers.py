@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import as_column, strip
 
-INTEGER = r"^-?\d+$"
-INTEGER_PREFIX = r"^[+-]?\d+"
-NUMBER_PREFIX = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)"
-INFINITY_PREFIX = r"^[+-]?Infinity"
+INTEGER = r"-?\d+"
+NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+INTEGER_PREFIX = r"[+-]?\d+"
+NUMBER_PREFIX = r"[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)"
+INFINITY_PREFIX = r"[+-]?Infinity"
 
 
 def parse_prefix_integer(c: Column | str) -> Column:
     """The leading integer of a text (``12abc`` is 12), NULL where there is none."""
-    head = F.regexp_extract(strip(c), INTEGER_PREFIX, 0)
+    head = F.regexp_extract(strip(c), f"^{INTEGER_PREFIX}", 0)
     return F.nullif(head, F.lit("")).try_cast("bigint")
 
 
 def parse_prefix_number(c: Column | str) -> Column:
     """The leading number of a text (``2024-01-01`` is 2024.0), NULL where there is none."""
     text = strip(c)
-    head = F.regexp_extract(text, NUMBER_PREFIX, 0)
+    head = F.regexp_extract(text, f"^{NUMBER_PREFIX}", 0)
     infinity = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(text.rlike(INFINITY_PREFIX), infinity).otherwise(
+    return F.when(text.rlike(f"^{INFINITY_PREFIX}"), infinity).otherwise(
         F.nullif(head, F.lit("")).try_cast("double")
     )
 

@@ -43,15 +43,18 @@ def with_prefix(c: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), as_column(c))
 
 
-# Fixed values of the skeleton: vowels, subscript signs and the numeric forms that are kept.
+# Fixed values of the skeleton: vowels, subscript signs, determinatives, and the numbers that are kept.
 VOWELS = "aeiuāēīūâêîûàèìùáéíú"
 SUBSCRIPTS = "₀₁₂₃₄₅₆₇₈₉ₓ"
 DETERMINATIVE = r"^\([a-zA-Z]{1,3}\)"
-DIGITS = r"\d+(_\d+)*"
-NUMBER = (
-    rf"(?U)^([\d.,/]+|[+-]?({DIGITS}(\.({DIGITS})?)?|\.{DIGITS})([eE][+-]?{DIGITS})?"
+DIGITS = r"\d+(?:_\d+)*"
+KEPT_NUMBER = (
+    rf"(?U)^(?:[\d.,/]+|[+-]?(?:{DIGITS}(?:[.,](?:{DIGITS})?)?|[.,]{DIGITS})(?:[eE][+-]?{DIGITS})?"
     r"|[+-]?(?i:inf|infinity|nan))$"
 )
+LOWER = r"[\p{IsLowercase}\p{Lt}&&[^ₓ]]"
+UPPER = r"\p{IsUppercase}"
+DROPPED = f"(?iu){DETERMINATIVE}|[{VOWELS}{SUBSCRIPTS}-]"
 
 
 def consonant_skeleton(c: Column | str) -> Column:
@@ -59,17 +62,10 @@ def consonant_skeleton(c: Column | str) -> Column:
     words = F.split(squeeze(F.coalesce(as_column(c), F.lit(""))), " ")
 
     def skeleton(word: Column) -> Column:
-        letters = F.translate(word, "." + SUBSCRIPTS, "")
-        logogram = letters.rlike(r"\p{IsUppercase}") & ~letters.rlike(r"[\p{IsLowercase}\p{Lt}]")
-        number = F.replace(word, F.lit(","), F.lit(".")).rlike(NUMBER)
-        bare = F.translate(F.regexp_replace(word, DETERMINATIVE, ""), SUBSCRIPTS, "")
-        rest = F.regexp_replace(bare, f"(?iu)[{VOWELS}]|-", "")
-        return (
-            F.when(word == "", word)
-            .when(logogram | number, word)
-            .when(rest == "", F.lit("_"))
-            .otherwise(rest)
-        )
+        rest = F.regexp_replace(word, DROPPED, "")
+        shortened = F.coalesce(F.nullif(rest, F.lit("")), F.lit("_"))
+        kept = word.rlike(KEPT_NUMBER) | (~word.rlike(LOWER) & word.rlike(UPPER)) | (word == "")
+        return F.when(kept, word).otherwise(shortened)
 
     return F.array_join(F.transform(words, skeleton), " ")
 

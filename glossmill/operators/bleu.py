@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.functions import SPACE, as_column, bind
+from glossmill.functions import SPACE, SPACES, as_column, bind
 from glossmill.operators.ngrams import COUNTS, as_lists, chunks, lengths, match_table
 from glossmill.operators.scoring import sum_statistics
 
@@ -23,8 +23,6 @@ POINT_AFTER_TEXT = r"([^0-9])([.,])"
 POINT_BEFORE_TEXT = r"([.,])([^0-9])"
 SIGN_OR_POINT = r"[!-&(-/:-@\[-`{-~](?<![0-9][.,](?=[0-9]))(?<![^0-9]-|^-)"
 INTERNATIONAL = [(r"(\P{N})(\p{P})", "$1 $2 "), (r"(\p{P})(\P{N})", " $1 $2"), (r"(\p{S})", " $1 ")]
-BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-
 # The blocks of Chinese characters and signs that the ``zh`` tokenizer sets apart.
 HAN_BLOCKS = [
     ("3400", "4db5"), ("4e00", "9fbb"), ("f900", "fa2d"), ("fa30", "fa6a"), ("fa70", "fad9"),
@@ -68,7 +66,7 @@ def _set_apart(text: Column) -> Column:
 
 def _decoded(text: Column) -> Column:
     """13a: without line-end hyphens and with the four entities resolved."""
-    plain = F.replace(F.rtrim(text, F.lit(BLANKS)), F.lit("<skipped>"), F.lit(""))
+    plain = F.replace(F.rtrim(text, F.lit(SPACES)), F.lit("<skipped>"), F.lit(""))
     plain = F.replace(plain, F.lit("-\n"), F.lit(""))
 
     def resolved(t: Column) -> Column:

@@ -19,6 +19,13 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
     return kept if rank else kept.drop(name)
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``table``, whose keys are unique. NULL keys match each other."""
+    renamed = table.withColumnsRenamed({key: f"_key_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys]
+    return df.join(renamed, same, "left").drop(*[f"_key_{key}" for key in keys])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_key(df, keys, order, 1)
 
@@ -34,7 +41,7 @@ def page_numbers(df: DataFrame, keys: list[str], spread: list[str], page_size: i
         .where(F.col("count") > page_size)
         .select(*keys, F.ceil(F.col("count") / page_size).alias("_pages"))
     )
-    tagged = df.join(large, keys, "left")
+    tagged = lookup(df, large, keys)
     page = F.pmod(F.xxhash64(*spread), F.coalesce("_pages", F.lit(1)))
     return tagged.withColumn("page", page.cast("int")).drop("_pages")
 
@@ -68,5 +75,5 @@ def sequence_per_key(
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = tagged.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
+    numbered = tagged.withColumn("_local", local).transform(lookup, offsets, [*keys, "_bucket"])
     return numbered.withColumn(out, F.col("_local") + F.col("_offset")).drop("_bucket", "_local", "_offset")

@@ -59,18 +59,21 @@ def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("doc_id", "lang", "line", hypothesis.alias("hypothesis"), "reference")
 
 
-def dataset_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as dataset versions: a customer's orders by date are the versions of one data set."""
-    from glossmill.operators.registry import assign_versions
-
-    orders = table(spark, folder, "orders").select(
+def dataset_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as data sets to register: a customer's orders by date are the versions of one data set."""
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("set-"), F.col("o_custkey").cast("string")).alias("name"),
         F.when(F.col("o_orderpriority").startswith("1"), "kaggle").when(F.col("o_orderpriority").startswith("2"), "etl").otherwise("derived").alias("source_type"),
         F.col("o_orderdate").alias("created_at"),
         F.col("o_totalprice").alias("size"),
     )
-    return assign_versions(orders, None, ["created_at", "id"])
+
+
+def dataset_versions(spark: SparkSession, folder: str) -> DataFrame:
+    from glossmill.operators.registry import assign_versions
+
+    return assign_versions(dataset_rows(spark, folder), None, ["created_at", "id"])
 
 
 SQL_VERSIONS = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import kernels, lineage, registry
 from glossmill.plans import query
 from glossmill.plans.inputs import (
-    SQL_KERNELS, SQL_LINKS, SQL_STAMP, SQL_VERSIONS, dataset_versions, kernel_versions, run_links, stamp, table,
+    SQL_KERNELS, SQL_LINKS, SQL_STAMP, SQL_VERSIONS, dataset_rows, dataset_versions, kernel_versions, run_links, stamp, table,
 )
 
 
@@ -28,7 +28,7 @@ SELECT v.id, v.name, CAST(v.version + coalesce(h.top, 0) AS BIGINT) AS version
 FROM versions v LEFT JOIN highest h ON v.name = h.name
 """)
 def assign_versions(spark, folder):
-    new = dataset_versions(spark, folder).drop("version")
+    new = dataset_rows(spark, folder)
     existing = table(spark, folder, "customer").select(
         F.concat(F.lit("set-"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_nationkey").cast("bigint").alias("version")
     )

@@ -7,10 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.functions import strip
-from glossmill.functions.numbers import INTEGER, parse_prefix_integer, parse_prefix_number
+from glossmill.functions import SPACES, strip
+from glossmill.functions.numbers import (
+    INFINITY_PREFIX, INTEGER, NUMBER, NUMBER_PREFIX, parse_prefix_integer, parse_prefix_number,
+)
 
 SAMPLE_ROWS = 100
+SAFE_DIGITS = 18  # integers of this length fit in 64 bits, so no cast has to be tried
 
 
 def sanitize_name(name: str) -> str:
@@ -53,35 +56,39 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+def cell_kind(c: Column, compat: str = "strict") -> Column:
+    """0 for a blank cell, 1 for an integer, 2 for another number, 3 for any other text."""
+    margin = f"[{SPACES}]*"
+
+    def whole(pattern: str) -> Column:
+        return c.rlike(f"^{margin}(?:{pattern}){margin}$")
+
+    integer = whole(INTEGER)
+    if compat == "strict":
+        integer = integer & ((F.length(c) <= SAFE_DIGITS) | strip(c).try_cast("bigint").isNotNull())
+        number = whole(NUMBER)
+    else:
+        number = c.rlike(f"^{margin}(?:{NUMBER_PREFIX}|{INFINITY_PREFIX})")
+    return F.when(c.isNull() | whole(""), 0).when(integer, 1).when(number, 2).otherwise(3)
+
+
 def type_report(df: DataFrame, sample: int | None = None, compat: str = "strict") -> DataFrame:
     """One row per text column with its type: ``INTEGER``, ``REAL`` or ``TEXT``.
 
     ``strict`` tests every value as a whole. ``prefix`` accepts any text with a leading number and
-    by default looks at the first 100 rows only. One aggregation serves all columns.
+    by default looks at the first 100 rows only. A column's type is its highest cell kind, so one
+    maximum per column is all that is aggregated.
     """
     if compat == "prefix" and sample is None:
         sample = SAMPLE_ROWS
     rows = df if sample is None else df.limit(sample)
-    verdicts = []
-    for name in df.columns:
-        value = blank_to_null(F.col(f"`{name}`"))
-        whole, number = value.rlike(INTEGER), parse_prefix_number(value).isNotNull()
-        if compat == "strict":
-            whole = whole & value.try_cast("bigint").isNotNull()
-            number = value.try_cast("double").isNotNull()
-        verdict = (
-            F.when(F.count(value) == 0, F.lit("TEXT"))
-            .when(F.bool_and(F.when(value.isNotNull(), whole)), F.lit("INTEGER"))
-            .when(F.bool_and(F.when(value.isNotNull(), number)), F.lit("REAL"))
-            .otherwise(F.lit("TEXT"))
-        )
-        verdicts.append(verdict.alias(name))
-    wide = rows.agg(*verdicts)
-    entries = [
-        F.struct(F.lit(i).alias("position"), F.lit(n).alias("column_name"), F.col(f"`{n}`").alias("type"))
-        for i, n in enumerate(df.columns)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    wide = rows.agg(*[F.max(cell_kind(F.col(f"`{name}`"), compat)).alias(name) for name in df.columns])
+
+    def entry(position: int, name: str) -> Column:
+        kind = F.when(F.col(f"`{name}`") == 1, "INTEGER").when(F.col(f"`{name}`") == 2, "REAL").otherwise("TEXT")
+        return F.struct(F.lit(position).alias("position"), F.lit(name).alias("column_name"), kind.alias("type"))
+
+    return wide.select(F.inline(F.array(*[entry(i, name) for i, name in enumerate(df.columns)])))
 
 
 def cast_columns(df: DataFrame, types: dict[str, str], compat: str = "strict") -> DataFrame:
