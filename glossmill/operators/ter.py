@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,70 +20,99 @@ MAX_SHIFT_DISTANCE = 50
 MAX_CANDIDATES = 1000
 BEAM = 25
 
-FAR = np.int32(2**30)
+FAR = np.int32(2**28)
 BATCH_CELLS = 4_000_000
 
 
-def _window(row: np.ndarray, low: int, start: int, stop: int) -> np.ndarray:
-    """Columns start..stop of a cost row whose first column is ``low``; FAR outside it."""
-    out = np.full((row.shape[0], stop - start), FAR, dtype=np.int32)
-    a, b = max(start, low), min(stop, low + row.shape[1])
-    if a < b:
-        out[:, a - start : b - start] = row[:, a - low : b - low]
-    return out
+class Band:
+    """Edit costs of many pairs at once, row by row, within the beam around each pair's diagonal.
 
+    Column k of row i stands for reference position ``starts[i] + k``; row 0 is implied.
+    """
 
-def cost_rows(hyps: np.ndarray, ref: np.ndarray, keep: bool = False) -> list[tuple[int, np.ndarray]]:
-    """Edit-cost rows of several equally long hypotheses against one reference, within the beam.
+    def __init__(self, hyps: list[np.ndarray], refs: list[np.ndarray], keep: bool):
+        self.n = np.array([h.size for h in hyps])
+        self.m = np.array([r.size for r in refs])
+        self.hyp = _padded(hyps, -1)
+        self.ref = _padded(refs, -2)
+        ratio = self.m / self.n
+        half = np.where(ratio / 2 > BEAM, np.ceil(ratio / 2 + BEAM), BEAM).astype(np.int64)
+        width = int(2 * half.max())
+        pairs, steps = np.arange(self.n.size)[:, None], np.arange(width, dtype=np.int32)
+        self.starts = np.floor(np.arange(self.n.max() + 1)[:, None] * ratio).astype(np.int32) - half.astype(np.int32)
+        self.rows = [np.zeros((0, 0), dtype=np.int32)]
+        self.total = np.zeros(self.n.size, dtype=np.int64)
+        last, in_beam = self.m.astype(np.int32)[:, None], steps < 2 * half[:, None]
+        previous = None
+        for i in range(1, int(self.n.max()) + 1):
+            at = self.starts[i][:, None] + steps
+            valid = (at >= 0) & (at <= last) & in_beam
+            if i == 1:
+                above = np.where(at >= 0, at, FAR)
+                diagonal = np.where(at >= 1, at - 1, FAR)
+            else:
+                moved = (self.starts[i] - self.starts[i - 1])[:, None]
+                right = np.full((self.n.size, int(moved.max())), FAR, dtype=np.int32)
+                framed = np.concatenate([np.full((self.n.size, 1), FAR, dtype=np.int32), previous, right], axis=1)
+                diagonal, above = framed[pairs, steps + moved], framed[pairs, steps + moved + 1]
+            words = self.ref[pairs, np.clip(at - 1, 0, self.ref.shape[1] - 1)]
+            best = np.minimum(diagonal + (words != self.hyp[:, i - 1 : i]), above + 1)
+            best = np.minimum.accumulate(np.where(valid, best, FAR) - steps, axis=1) + steps
+            previous = np.where(valid, best, FAR).astype(np.int32)
+            if keep:
+                self.rows.append(previous)
+            done = np.flatnonzero(self.n == i)
+            self.total[done] = previous[done, self.m[done] - self.starts[i][done]]
+
+    def cost(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Costs at one cell per pair; FAR outside the band."""
+        pairs = np.arange(self.n.size)
+        column = j - self.starts[np.maximum(i, 0), pairs]
+        inside = (i > 0) & (column >= 0) & (column < self.costs.shape[2])
+        found = self.costs[np.maximum(i, 1) - 1, pairs, np.where(inside, column, 0)]
+        return np.where((i == 0) & (j >= 0), j, np.where(inside & (j >= 0), found, FAR))
+
+    def alignment(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Wrong hypothesis words, wrong reference words, and the hypothesis position per reference word."""
+        self.costs = np.stack(self.rows[1:])
+        i, j, pairs = self.n.copy(), self.m.copy(), np.arange(self.n.size)
+        hyp_wrong, ref_wrong = np.ones(self.hyp.shape, dtype=bool), np.ones(self.ref.shape, dtype=bool)
+        at = np.full(self.ref.shape, -1, dtype=np.int64)
+        while True:
+            live = (i > 0) | (j > 0)
+            if not live.any():
+                return hyp_wrong, ref_wrong, at
+            here, both = self.cost(i, j), (i > 0) & (j > 0)
+            same = both & (self.hyp[pairs, np.maximum(i, 1) - 1] == self.ref[pairs, np.maximum(j, 1) - 1])
+            paired = both & (here == self.cost(i - 1, j - 1) + ~same)
+            dropped = live & ~paired & (i > 0) & (here == self.cost(i - 1, j) + 1)
+            added = live & ~paired & ~dropped
+            matched = np.flatnonzero(paired & same)
+            hyp_wrong[matched, i[matched] - 1] = False
+            ref_wrong[matched, j[matched] - 1] = False
+            placed = np.flatnonzero(paired | added)
+            at[placed, j[placed] - 1] = i[placed] - 1
+            i = i - (paired | dropped)
+            j = j - (paired | added)
+
+
+def _padded(rows: list[np.ndarray], filler: int) -> np.ndarray:
+    out = np.full((len(rows), max(row.size for row in rows)), filler, dtype=np.int32)
+    for at, row in enumerate(rows):
+        out[at, : row.size] = row
+    return out
 
-    Each entry is (first column, costs). Only the last row is returned unless ``keep`` is set.
-    """
-    count, n = hyps.shape
-    m = ref.size
-    ratio = m / n if n else 1.0
-    beam = math.ceil(ratio / 2 + BEAM) if ratio / 2 > BEAM else BEAM
-    low, row = 0, np.tile(np.arange(m + 1, dtype=np.int32), (count, 1))
-    rows = [(low, row)]
-    for i in range(1, n + 1):
-        diagonal = math.floor(i * ratio)
-        start = max(0, diagonal - beam)
-        stop = m + 1 if i == n else min(m + 1, diagonal + beam)
-        columns = np.arange(start, stop, dtype=np.int32)
-        differs = hyps[:, i - 1 : i] != ref[columns - 1]
-        best = np.minimum(_window(row, low, start - 1, stop - 1) + differs, _window(row, low, start, stop) + 1)
-        row = np.minimum.accumulate(best - columns, axis=1) + columns
-        low = start
-        if not keep:
-            rows.clear()
-        rows.append((low, row))
-    return rows
-
-
-def alignment(hyp: np.ndarray, ref: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Edit cost, wrong hypothesis words, wrong reference words, and the hypothesis position per reference word."""
-    rows = cost_rows(hyp[None, :], ref, keep=True)
-
-    def cost(i: int, j: int) -> int:
-        low, row = rows[i]
-        return int(row[0, j - low]) if 0 <= j - low < row.shape[1] else int(FAR)
-
-    i, j = hyp.size, ref.size
-    total = cost(i, j)
-    hyp_wrong, ref_wrong = np.ones(i, dtype=bool), np.ones(j, dtype=bool)
-    at = np.full(j, -1, dtype=np.int64)
-    while i or j:
-        here = cost(i, j)
-        same = i and j and hyp[i - 1] == ref[j - 1]
-        if i and j and here == cost(i - 1, j - 1) + (not same):
-            hyp_wrong[i - 1] = ref_wrong[j - 1] = not same
-            at[j - 1] = i - 1
-            i, j = i - 1, j - 1
-        elif i and here == cost(i - 1, j) + 1:
-            i -= 1
-        else:
-            at[j - 1] = i - 1
-            j -= 1
-    return total, hyp_wrong, ref_wrong, at
+
+def batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Index runs of similar size, shortest first, each with a bounded number of cost cells."""
+    order = np.argsort(sizes, kind="stable")
+    start = 0
+    while start < order.size:
+        stop = start + 1
+        while stop < order.size and (stop + 1 - start) * int(sizes[order[stop]]) * 2 * BEAM <= BATCH_CELLS:
+            stop += 1
+        yield order[start:stop]
+        start = stop
 
 
 def shifted(words: np.ndarray, start: int, length: int, target: int) -> np.ndarray:
@@ -93,62 +122,85 @@ def shifted(words: np.ndarray, start: int, length: int, target: int) -> np.ndarr
     return np.concatenate([rest[:place], block, rest[place:]])
 
 
-def candidates(hyp: np.ndarray, ref: np.ndarray, budget: int) -> tuple[int, list[tuple[int, int, int]], int]:
-    """Edit cost and the block moves worth trying: (start, length, target); stops once ``budget`` is used up."""
-    total, hyp_wrong, ref_wrong, at = alignment(hyp, ref)
+def near_errors(wrong: np.ndarray) -> list[int]:
+    """Positions from which a block of the largest size would reach a wrong word."""
+    ahead = np.append(0, np.cumsum(wrong))
+    ends = np.minimum(np.arange(wrong.size) + MAX_SHIFT_SIZE, wrong.size)
+    return np.flatnonzero(ahead[ends] > ahead[:-1]).tolist()
+
+
+def moves_of(
+    hyp: list[int], ref: list[int], hyp_wrong: np.ndarray, ref_wrong: np.ndarray, at: list[int], budget: int
+) -> list[tuple[int, int, int]]:
+    """Block moves worth trying, (start, length, target): both sides of the block hold a wrong word.
+
+    The list ends with the block at which ``budget`` is used up.
+    """
+    places: dict[int, list[int]] = {}
+    for r in near_errors(ref_wrong):
+        places.setdefault(ref[r], []).append(r)
+    wrong_h, wrong_r = np.append(0, np.cumsum(hyp_wrong)).tolist(), np.append(0, np.cumsum(ref_wrong)).tolist()
     moves: list[tuple[int, int, int]] = []
-    wrong_before_h, wrong_before_r = np.append(0, np.cumsum(hyp_wrong)), np.append(0, np.cumsum(ref_wrong))
-    for h in range(hyp.size):
-        near = np.arange(max(0, h - MAX_SHIFT_DISTANCE), min(ref.size, h + MAX_SHIFT_DISTANCE + 1))
-        for r in near[ref[near] == hyp[h]].tolist():
-            longest = min(MAX_SHIFT_SIZE, hyp.size - h, ref.size - r)
-            for length in range(1, longest + 1):
+    for h in near_errors(hyp_wrong):
+        for r in places.get(hyp[h], ()):
+            if abs(r - h) > MAX_SHIFT_DISTANCE:
+                continue
+            for length in range(1, min(MAX_SHIFT_SIZE, len(hyp) - h, len(ref) - r) + 1):
                 if hyp[h + length - 1] != ref[r + length - 1]:
                     break
-                if wrong_before_h[h + length] == wrong_before_h[h] or wrong_before_r[r + length] == wrong_before_r[r]:
-                    continue
-                if h <= at[r] < h + length:
+                if wrong_h[h + length] == wrong_h[h] or wrong_r[r + length] == wrong_r[r] or h <= at[r] < h + length:
                     continue
                 last = None
                 for offset in range(-1, length):
-                    target = 0 if r + offset < 0 else int(at[r + offset]) + 1
+                    target = 0 if r + offset < 0 else at[r + offset] + 1
                     if target != last:
                         moves.append((h, length, target))
                         last = target
                 if len(moves) >= budget:
-                    return total, moves, budget
-    return total, moves, len(moves)
-
-
-def best_move(hyp: np.ndarray, ref: np.ndarray, moves: list[tuple[int, int, int]]) -> tuple[int, np.ndarray]:
-    """Cost and words of the best move: lowest cost, then longest block, then earliest start and target."""
-    step = max(1, BATCH_CELLS // max(hyp.size, ref.size, 1))
-    ranked = []
-    for first in range(0, len(moves), step):
-        part = moves[first : first + step]
-        tried = np.stack([shifted(hyp, *move) for move in part])
-        cost = cost_rows(tried, ref)[-1][1][:, -1].tolist()
-        ranked.append(min((c, -length, start, target) for c, (start, length, target) in zip(cost, part)))
-    cost, length, start, target = min(ranked)
-    return cost, shifted(hyp, start, -length, target)
-
-
-def edits(hyp: np.ndarray, ref: np.ndarray) -> int:
-    """Shifts plus word edits that turn a hypothesis into its reference."""
-    if ref.size == 0 or hyp.size == 0:
-        return max(hyp.size, ref.size)
-    if hyp.size == ref.size and (hyp == ref).all():
-        return 0
-    shifts, tried = 0, 0
-    while True:
-        total, moves, used = candidates(hyp, ref, MAX_CANDIDATES - tried)
-        tried += used
-        if not moves or tried >= MAX_CANDIDATES:
-            return shifts + total
-        cost, moved = best_move(hyp, ref, moves)
-        if cost >= total:
-            return shifts + total
-        shifts, hyp = shifts + 1, moved
+                    return moves
+    return moves
+
+
+def edit_counts(hyps: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
+    """Shifts plus word edits per pair. All pairs take their next greedy shift together."""
+    counts = np.array([max(h.size, r.size) for h, r in zip(hyps, refs)], dtype=np.int64)
+    words, tried, shifts = list(hyps), np.zeros(counts.size, dtype=np.int64), np.zeros(counts.size, dtype=np.int64)
+    live = []
+    for p, (h, r) in enumerate(zip(hyps, refs)):
+        if h.size == r.size and (h == r).all():
+            counts[p] = 0
+        elif h.size and r.size:
+            live.append(p)
+    while live:
+        options: list[tuple[int, tuple[int, int, int]]] = []
+        for part in batches(np.array([words[p].size for p in live])):
+            members = [live[k] for k in part]
+            band = Band([words[p] for p in members], [refs[p] for p in members], keep=True)
+            hyp_wrong, ref_wrong, at = band.alignment()
+            for k, p in enumerate(members):
+                n, m = words[p].size, refs[p].size
+                counts[p] = shifts[p] + band.total[k]
+                moves = moves_of(
+                    words[p].tolist(), refs[p].tolist(), hyp_wrong[k, :n], ref_wrong[k, :m], at[k, :m].tolist(), MAX_CANDIDATES - int(tried[p])
+                )
+                tried[p] += len(moves)
+                if tried[p] < MAX_CANDIDATES:
+                    options += [(p, move) for move in moves]
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for part in batches(np.array([words[p].size for p, _ in options], dtype=np.int64)):
+            group = [options[k] for k in part]
+            costs = Band([shifted(words[p], *move) for p, move in group], [refs[p] for p, _ in group], keep=False).total
+            for (p, (start, length, target)), cost in zip(group, costs.tolist()):
+                rank = (cost, -length, start, target)
+                best[p] = min(best.get(p, rank), rank)
+        live = []
+        for p, (cost, length, start, target) in best.items():
+            if shifts[p] + cost < counts[p]:
+                words[p] = shifted(words[p], start, -length, target)
+                shifts[p] += 1
+                counts[p] = shifts[p] + cost
+                live.append(p)
+    return counts
 
 
 @F.arrow_udf(COUNTS)
@@ -160,8 +212,7 @@ def ter_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
         hyp_codes, ref_codes, _ = symbols(left, right)
         hyp_rows = np.split(hyp_codes, np.cumsum(hyp_len)[:-1])
         ref_rows = np.split(ref_codes, np.cumsum(ref_len)[:-1])
-        counted = np.fromiter((edits(h, r) for h, r in zip(hyp_rows, ref_rows)), np.int64, len(left))
-        parts.append(np.column_stack([counted, ref_len]))
+        parts.append(np.column_stack([edit_counts(hyp_rows, ref_rows), ref_len]))
     return as_lists(np.concatenate(parts) if parts else np.zeros((0, 2), dtype=np.int64))
 
 
