@@ -24,16 +24,18 @@ def live_counts(
     errors: bool = False,
     window: str | None = None,
     time: str = "ts",
-    watermark: str = "2 hours",
+    watermark: str | None = "2 hours",
 ) -> DataFrame:
     """Entries per group and, with ``window``, per time window, after the error filter.
 
     With a window the state ends at the watermark and late entries are dropped; Spark reports their
-    number in the query progress. The same call works on a batch.
+    number in the query progress. Pass ``watermark=None`` for entries that have a watermark already,
+    such as those of ``unique_entries``. The same call works on a batch.
     """
     kept = filter_logs(entries, errors=errors)
     if window is None:
         return log_counts(kept, by)
-    timed = kept.withWatermark(time, watermark).withColumn("window", F.window(time, window))
-    counts = log_counts(timed, [*by, "window"])
+    if watermark is not None:
+        kept = kept.withWatermark(time, watermark)
+    counts = log_counts(kept.withColumn("window", F.window(time, window)), [*by, "window"])
     return counts.select(*by, F.col("window.start").alias("window_start"), "entries", "stdout", "stderr")
