@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.session import cut
+
 PAGE_SIZE = 10_000
+GROUP_LIMIT = 1000  # Spark's own bound for limiting groups before a shuffle
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key.
 
-    Spark keeps at most ``n`` rows per key and task before the shuffle, so a hot key stays small.
+    Spark keeps at most ``n`` rows per key and task before the shuffle, so a hot key stays small. Above
+    the size up to which Spark does that, rows are numbered over a sorted table instead.
     """
     name = rank or "_rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if n > GROUP_LIMIT:
+        ranked = sequence_per_key(df, keys, order, name)
+    else:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.where(F.col(name) <= n)
     return kept if rank else kept.drop(name)
 
@@ -30,20 +37,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return top_per_key(df, keys, order, 1)
 
 
-def page_numbers(df: DataFrame, keys: list[str], spread: list[str], page_size: int = PAGE_SIZE) -> DataFrame:
-    """Adds ``page``: 0 for keys of up to ``page_size`` rows, else rows are spread over several pages.
-
-    Only the keys above the limit are joined back, so the common case has one pre-aggregated shuffle.
-    """
-    large = (
-        df.groupBy(*keys)
-        .count()
-        .where(F.col("count") > page_size)
-        .select(*keys, F.ceil(F.col("count") / page_size).alias("_pages"))
-    )
-    tagged = lookup(df, large, keys)
-    page = F.pmod(F.xxhash64(*spread), F.coalesce("_pages", F.lit(1)))
-    return tagged.withColumn("page", page.cast("int")).drop("_pages")
+def page_counts(df: DataFrame, keys: list[str], page_size: int = PAGE_SIZE) -> DataFrame:
+    """Number of pages of the keys that need more than one: (keys, page_count)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > page_size)
+    return sizes.select(*keys, F.ceil(F.col("_size") / page_size).alias("page_count"))
 
 
 def collect_paged(
@@ -56,24 +53,27 @@ def collect_paged(
 ) -> DataFrame:
     """Sorted list of ``item`` per key, in pages: one row per key unless the key is very large.
 
-    No list grows with the data; all rows are kept. NULL items are left out, their key stays.
+    No list grows with the data; all rows are kept. NULL items are left out, their key stays. Rows of a
+    large key are spread over its pages by the hash of the columns ``spread``.
     """
-    paged = page_numbers(df, keys, spread, page_size)
+    tagged = lookup(df, page_counts(df, keys, page_size), keys)
+    page = F.pmod(F.xxhash64(*spread), F.coalesce("page_count", F.lit(1))).cast("int")
+    paged = tagged.withColumn("page", page)
     return paged.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(item)).alias(out))
 
 
-def sequence_per_key(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "sequence"
-) -> DataFrame:
-    """1, 2, 3, … within each key in the given order, without sorting a whole key in one task.
+def sequence_per_key(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "sequence") -> DataFrame:
+    """1, 2, 3, … within each key in the given order, without bringing a whole key into one task.
 
-    ``bucket`` must not decrease along ``order`` (a day of the leading timestamp, for instance). Rows
-    are numbered inside (key, bucket); the counts of the earlier buckets, one row each, are added.
+    The table is sorted by key and order, which splits a hot key over many partitions, and stored with
+    each row's partition and position. What is left is to add, per key and partition, the rows that
+    the earlier partitions hold. The stored copy keeps the positions fixed when tasks are run again.
     """
-    tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    numbered = tagged.withColumn("_local", local).transform(lookup, offsets, [*keys, "_bucket"])
-    return numbered.withColumn(out, F.col("_local") + F.col("_offset")).drop("_bucket", "_local", "_offset")
+    placed = {"_part": F.spark_partition_id(), "_position": F.monotonically_increasing_id()}
+    stored = cut(df.orderBy(*keys, *order).withColumns(placed))
+    runs = stored.groupBy(*keys, "_part").agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0)) - F.col("_first") + 1
+    shifts = runs.select(*keys, "_part", before.alias("_shift"))
+    numbered = lookup(stored, shifts, [*keys, "_part"])
+    return numbered.withColumn(out, F.col("_position") + F.col("_shift")).drop("_part", "_position", "_shift")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import as_column
 from glossmill.functions.names import format_ref, parse_ref
-from glossmill.operators.keyed import collect_paged, latest_per_key, sequence_per_key
+from glossmill.operators.keyed import PAGE_SIZE, collect_paged, latest_per_key, lookup, page_counts, sequence_per_key
 
 VERSION_COLUMNS = [
     "id", "name", "version", "source_type", "source_path", "parent_version_id", "etl_pipeline",
@@ -37,20 +37,13 @@ def distinct_names(df: DataFrame) -> DataFrame:
     return df.select("name").distinct().orderBy("name")
 
 
-def assign_versions(
-    new: DataFrame, existing: DataFrame | None, order: list[str], bucket: Column | None = None
-) -> DataFrame:
-    """Version numbers for new rows: after the highest existing one of the same name, else from 1.
-
-    ``bucket`` splits the numbering of a large name; by default it is the day of the first order
-    column, which has to be a date or timestamp.
-    """
-    day = F.to_date(F.col(order[0])) if bucket is None else bucket
-    numbered = sequence_per_key(new, ["name"], order, day, "version")
+def assign_versions(new: DataFrame, existing: DataFrame | None, order: list[str]) -> DataFrame:
+    """Version numbers for new rows: after the highest existing one of the same name, else from 1."""
+    numbered = sequence_per_key(new, ["name"], order, "version")
     if existing is None:
         return numbered
     highest = existing.groupBy("name").agg(F.max("version").alias("_highest"))
-    joined = numbered.join(highest, "name", "left")
+    joined = lookup(numbered, highest, ["name"])
     return joined.withColumn("version", F.col("version") + F.coalesce("_highest", F.lit(0))).drop("_highest")
 
 
@@ -78,19 +71,19 @@ def datasets_for_runs(versions: DataFrame, links: DataFrame, runs: list[str] | N
     return versions.join(link, "id")
 
 
-def with_links(versions: DataFrame, links: DataFrame, page_size: int | None = None) -> DataFrame:
+def with_links(versions: DataFrame, links: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Every dataset version with the sorted list of its linked runs (run_id, link_type).
 
-    A version with more links than a page holds has several rows that differ in ``page``.
+    A version with more links than a page holds has one row per ``page``. Versions are repeated for
+    their pages before the join, so that both sides are unique on (id, page) and no task gets one
+    version's pages together.
     """
-    sizes = {} if page_size is None else {"page_size": page_size}
-    item = F.struct("run_id", "link_type")
-    lists = collect_paged(
-        links.select("dataset_version_id", "run_id", "link_type"),
-        ["dataset_version_id"], item, ["run_id", "link_type"], "runs", **sizes,
-    )
-    joined = versions.join(lists, versions["id"] == lists["dataset_version_id"], "left").drop("dataset_version_id")
-    return joined.withColumn("runs", F.coalesce("runs", F.array().cast(lists.schema["runs"].dataType)))
+    used = links.select(F.col("dataset_version_id").alias("id"), "run_id", "link_type")
+    lists = collect_paged(used, ["id"], F.struct("run_id", "link_type"), ["run_id", "link_type"], "runs", page_size)
+    pages = F.sequence(F.lit(0), (F.coalesce("page_count", F.lit(1)) - 1).cast("int"))
+    paged = lookup(versions, page_counts(used, ["id"], page_size), ["id"]).withColumn("page", F.explode(pages))
+    empty = F.array().cast(lists.schema["runs"].dataType)
+    return lookup(paged.drop("page_count"), lists, ["id", "page"]).withColumn("runs", F.coalesce("runs", empty))
 
 
 def replace_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -35,8 +35,7 @@ class Band:
         self.m = np.array([r.size for r in refs])
         self.hyp = _padded(hyps, -1)
         self.ref = _padded(refs, -2)
-        ratio = self.m / self.n
-        half = np.where(ratio / 2 > BEAM, np.ceil(ratio / 2 + BEAM), BEAM).astype(np.int64)
+        ratio, half = self.m / self.n, half_widths(self.n, self.m)
         width = int(2 * half.max())
         pairs, steps = np.arange(self.n.size)[:, None], np.arange(width, dtype=np.int32)
         self.starts = np.floor(np.arange(self.n.max() + 1)[:, None] * ratio).astype(np.int32) - half.astype(np.int32)
@@ -103,13 +102,26 @@ def _padded(rows: list[np.ndarray], filler: int) -> np.ndarray:
     return out
 
 
-def batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Index runs of similar size, shortest first, each with a bounded number of cost cells."""
-    order = np.argsort(sizes, kind="stable")
+def half_widths(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Reach of the beam on each side of the diagonal."""
+    half = m / n / 2
+    return np.where(half > BEAM, np.ceil(half + BEAM), BEAM).astype(np.int64)
+
+
+def batches(hyps: list[np.ndarray], refs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Index runs of pairs of similar size, each with a bounded number of cost cells."""
+    if not hyps:
+        return
+    n = np.array([h.size for h in hyps])
+    width = 2 * half_widths(n, np.array([r.size for r in refs]))
+    order = np.lexsort((n, width))
     start = 0
     while start < order.size:
-        stop = start + 1
-        while stop < order.size and (stop + 1 - start) * int(sizes[order[stop]]) * 2 * BEAM <= BATCH_CELLS:
+        stop, longest = start + 1, n[order[start]]
+        while stop < order.size:
+            longest = max(longest, n[order[stop]])
+            if (stop + 1 - start) * int(longest) * int(width[order[stop]]) > BATCH_CELLS:
+                break
             stop += 1
         yield order[start:stop]
         start = stop
@@ -173,7 +185,7 @@ def edit_counts(hyps: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
             live.append(p)
     while live:
         options: list[tuple[int, tuple[int, int, int]]] = []
-        for part in batches(np.array([words[p].size for p in live])):
+        for part in batches([words[p] for p in live], [refs[p] for p in live]):
             members = [live[k] for k in part]
             band = Band([words[p] for p in members], [refs[p] for p in members], keep=True)
             hyp_wrong, ref_wrong, at = band.alignment()
@@ -187,7 +199,7 @@ def edit_counts(hyps: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
                 if tried[p] < MAX_CANDIDATES:
                     options += [(p, move) for move in moves]
         best: dict[int, tuple[int, int, int, int]] = {}
-        for part in batches(np.array([words[p].size for p, _ in options], dtype=np.int64)):
+        for part in batches([words[p] for p, _ in options], [refs[p] for p, _ in options]):
             group = [options[k] for k in part]
             costs = Band([shifted(words[p], *move) for p, move in group], [refs[p] for p, _ in group], keep=False).total
             for (p, (start, length, target)), cost in zip(group, costs.tolist()):

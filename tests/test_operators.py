@@ -16,7 +16,7 @@ def test_sequence_over_a_hot_key(spark):
         F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("name"),
         (F.col("id") * 37 % 1000).alias("at"), "id",
     )
-    numbered = keyed.sequence_per_key(df, ["name"], ["at", "id"], F.floor(F.col("at") / 50))
+    numbered = keyed.sequence_per_key(df, ["name"], ["at", "id"])
     found = {(r.name, r.id): r.sequence for r in numbered.collect()}
     groups = {}
     for r in df.collect():
@@ -38,6 +38,8 @@ def test_top_rows_per_key_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     top = keyed.top_per_key(df, ["k"], [F.col("id").desc()], 2)
     assert rows(top) == [(0, 996), (0, 998), (1, 997), (1, 999)]
+    large = keyed.top_per_key(df, ["k"], [F.col("id").desc()], 1200)
+    assert large.count() == 1000
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
@@ -63,6 +65,10 @@ def test_links(spark):
     links = spark.createDataFrame([("a1", "r2", "training"), ("a1", "r1", "evaluation"), ("b1", "r1", "training")], "dataset_version_id string, run_id string, link_type string")
     nested = {r.id: [tuple(x) for x in r.runs] for r in registry.with_links(v, links).collect()}
     assert nested == {"a1": [("r1", "evaluation"), ("r2", "training")], "a2": [], "a3": [], "b1": [("r1", "training")]}
+    many = spark.range(250).select(F.lit("a1").alias("dataset_version_id"), F.col("id").cast("string").alias("run_id"), F.lit("training").alias("link_type"))
+    paged = registry.with_links(v, many, page_size=100).collect()
+    assert sorted(r.page for r in paged if r.id == "a1") == [0, 1, 2] and len(paged) == 6
+    assert len({x.run_id for r in paged for x in r.runs}) == 250
     assert rows(registry.datasets_for_runs(v, links, ["r1"]), "id", "run_id") == [("a1", "r1"), ("b1", "r1")]
 
 
