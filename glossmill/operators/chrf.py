@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.functions import SPACE, as_column
-from glossmill.functions.text import squeeze
 from glossmill.operators.ngrams import COUNTS, as_lists, chunks, match_table
 from glossmill.operators.scoring import sum_statistics
 
 CHAR_ORDER = 6
 BETA = 2.0
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
+OPENING_MARK = rf"(?U)(?<!\S)({PUNCTUATION})(?=\S*(?!{PUNCTUATION})\S(?!\S))"
+CLOSING_MARK = rf"(?U)(?<=\S)({PUNCTUATION})(?!\S)"
 
 
 def characters(c: Column | str, lowercase: bool = False) -> Column:
@@ -26,18 +27,10 @@ def characters(c: Column | str, lowercase: bool = False) -> Column:
 def words(c: Column | str, lowercase: bool = False) -> Column:
     """Words; a punctuation mark at the end of a word, else one at its start, stands alone."""
     text = F.coalesce(as_column(c), F.lit(""))
-    raw = F.split(squeeze(F.lower(text) if lowercase else text), " ")
-
-    def parts(word: Column) -> Column:
-        return (
-            F.when(F.length(word) == 0, F.array().cast("array<string>"))
-            .when(F.length(word) == 1, F.array(word))
-            .when(word.rlike(PUNCTUATION + "$"), F.array(F.left(word, F.length(word) - 1), F.right(word, F.lit(1))))
-            .when(word.rlike("^" + PUNCTUATION), F.array(F.left(word, F.lit(1)), F.right(word, F.length(word) - 1)))
-            .otherwise(F.array(word))
-        )
-
-    return F.flatten(F.transform(raw, parts))
+    text = F.lower(text) if lowercase else text
+    text = F.regexp_replace(text, OPENING_MARK, "$1 ")
+    text = F.regexp_replace(text, CLOSING_MARK, " $1")
+    return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
 def _statistics(hyp: pa.Array, ref: pa.Array, orders: int) -> pa.Array:

@@ -43,7 +43,7 @@ def scan_secrets(spark, folder):
 @query("readiness", SQL_FOUND + """, s AS (
   SELECT d.doc_id, count(f.rule) FILTER (f.severity = 'error') AS errors, count(f.rule) FILTER (f.severity = 'warning') AS warnings
   FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id)
-SELECT doc_id, CASE WHEN errors > 0 THEN 2 ELSE 3 END AS passed, errors, warnings,
+SELECT doc_id, CAST(CASE WHEN errors > 0 THEN 2 ELSE 3 END AS BIGINT) AS passed, errors, warnings,
   CAST(floor(100.0 * (CASE WHEN errors > 0 THEN 2 ELSE 3 END) / (CASE WHEN errors > 0 THEN 2 + errors ELSE 3 END) + 0.5) AS INTEGER) AS score,
   errors + warnings = 0 AS ready FROM s
 """)
@@ -60,7 +60,7 @@ def worst_status(spark, folder):
 
 
 @query("finding_counts", SQL_FOUND + """
-SELECT doc_id, category, 0 AS passes, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') AS errors FROM found GROUP BY doc_id, category
+SELECT doc_id, category, CAST(0 AS BIGINT) AS passes, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') AS errors FROM found GROUP BY doc_id, category
 """)
 def finding_counts(spark, folder):
     return rules.category_counts(planted_findings(spark, folder), "doc_id")
@@ -154,7 +154,7 @@ def notebooks(spark, folder):
 
 
 @query("notebook_readiness", """
-SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 5 ELSE 6 END AS passed, CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS errors,
+SELECT p_partkey, CAST(CASE WHEN p_partkey % 10 = 0 THEN 5 ELSE 6 END AS BIGINT) AS passed, CAST(CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS errors,
   CASE WHEN p_partkey % 10 = 0 THEN 83 ELSE 100 END AS score, p_partkey % 10 <> 0 AS ready FROM part
 """)
 def notebook_readiness(spark, folder):
