@@ -349,6 +349,40 @@ def pair_column_findings(
     return F.array_compact(F.array(*found))
 
 
+def dataset_findings(c: Column | str, attached: Column | str) -> Column:
+    """Data sets that a script reads but that are not among the attached ones (``owner/name`` or ``name``)."""
+    text = as_column(c)
+    read = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in DATASET_PATHS])))
+    known = F.transform(F.coalesce(as_column(attached), F.array().cast("array<string>")), lambda name: F.element_at(F.split(name, "/"), -1))
+    missing = F.array_except(read, known)
+    found = [
+        F.when(F.size(missing) > 0, finding("datasets", "DATASET_SOURCES", "error", F.concat(F.lit("not attached: "), F.array_join(missing, ", ")))),
+        F.when((F.size(read) > 0) & (F.size(missing) == 0), finding("datasets", "DATASET_SOURCES", "pass", "all data sets are attached")),
+    ]
+    return F.array_compact(F.array(*found))
+
+
+def preflight(scripts: DataFrame, metadata: DataFrame, key: str, text: str) -> DataFrame:
+    """All findings of a corpus of scripts against their metadata, one row each.
+
+    ``metadata`` has the key, ``enable_internet`` and ``attached`` (an array of data sets); scripts without
+    metadata are judged on their text. Feed the result to ``worst_status`` for one verdict per script.
+    """
+    known = metadata.select(key, "enable_internet", "attached")
+    joined = scripts.select(key, text).join(known, key, "left")
+    packs = [
+        findings(text, DEPRECATIONS),
+        submission_findings(text),
+        internet_findings(text, "enable_internet"),
+        model_findings(text),
+        progress_bar_findings(text),
+        no_deps_findings(text),
+        compute_metrics_findings(text),
+        dataset_findings(text, "attached"),
+    ]
+    return explode_findings(joined, [key], F.concat(*packs))
+
+
 def notebook_cells(c: Column | str) -> Column:
     """Cells of a notebook (JSON text) as structs; NULL where there is no cell array."""
     cells = F.try_variant_get(F.try_parse_json(as_column(c)), "$.cells", "array<variant>")

@@ -174,3 +174,28 @@ def internet_rules(spark, folder):
     )
     checked = table(spark, folder, "part").select("p_partkey", rulepacks.internet_findings(code, setting).alias("f"))
     return rules.explode_findings(checked, ["p_partkey"], F.col("f")).select("p_partkey", "code", "severity")
+
+
+@query("dataset_sources", """
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'pass' ELSE 'error' END AS severity,
+  CASE WHEN p_partkey % 2 = 0 THEN 'all data sets are attached' ELSE 'not attached: set-' || CAST(p_partkey % 7 AS VARCHAR) END AS message
+FROM part
+""")
+def dataset_sources(spark, folder):
+    name = F.concat(F.lit("set-"), (F.col("p_partkey") % 7).cast("string"))
+    code = F.concat(F.lit('df = read("/kaggle/input/'), name, F.lit('/train.csv")\nx = read("/kaggle/input/base/x.csv")'))
+    attached = F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit("me/"), name), F.lit("base"))).otherwise(F.array(F.lit("me/base")))
+    checked = table(spark, folder, "part").select("p_partkey", rulepacks.dataset_findings(code, attached).alias("f"))
+    return rules.explode_findings(checked, ["p_partkey"], F.col("f")).select("p_partkey", "severity", "message")
+
+
+@query("preflight_status", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'fail' ELSE 'warn' END AS status FROM part
+""")
+def preflight_status(spark, folder):
+    base = F.lit("df['id'] = 1; df['translation'] = 2; df.to_csv('submission.csv', index=False)\ntrainer.save_model(d)\n")
+    code = F.concat(base, F.when(F.col("p_partkey") % 3 == 0, F.lit("evaluation_strategy='no'")).otherwise(""))
+    parts = table(spark, folder, "part")
+    scripts = parts.select("p_partkey", code.alias("code"))
+    metadata = parts.where("p_partkey % 2 = 0").select("p_partkey", F.lit(False).alias("enable_internet"), F.array(F.lit("a/b")).alias("attached"))
+    return rules.worst_status(rulepacks.preflight(scripts, metadata, "p_partkey", "code"), ["p_partkey"])
