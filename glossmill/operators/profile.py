@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,15 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def distinct_counts(df: DataFrame) -> DataFrame:
     """Exact number of different values per column position."""
-    fields = df.schema.fields
-    values = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(fields)])
-    pairs = df.select(F.inline(values)).where(F.col("value").isNotNull()).distinct()
+
+    def value(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            column = column + F.lit(0.0)  # makes -0.0 the same value as 0.0
+        return column.cast("string")
+
+    values = [F.struct(F.lit(i).alias("position"), value(field).alias("value")) for i, field in enumerate(df.schema.fields)]
+    pairs = df.select(F.inline(F.array(*values))).where(F.col("value").isNotNull()).distinct()
     return pairs.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_values"))
 
 

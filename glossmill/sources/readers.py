@@ -27,6 +27,20 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().toString() for status in found or [])
 
 
+def list_tree(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Paths below a folder, at any depth, that end in ``suffix``, relative to the folder and sorted."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = files.makeQualified(root).toString().rstrip("/") + "/"
+    found, listing = [], files.listFiles(root, True)
+    while listing.hasNext():
+        path = listing.next().getPath().toString()
+        if path.endswith(suffix):
+            found.append(path.removeprefix(base))
+    return sorted(found)
+
+
 def base_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
@@ -94,9 +108,8 @@ def split_paths(paths: list[str], need_train: bool = True) -> dict[str, str | No
 
 def read_splits(spark: SparkSession, folder: str, fallback: bool = True) -> dict[str, DataFrame | None]:
     """The train, validation and test tables of a folder; a missing one is None."""
-    names = {base_name(p): p for p in list_files(spark, f"{folder}/*.csv") + list_files(spark, f"{folder}/*/*.csv")}
-    chosen = split_paths(sorted(names), need_train=not fallback)
-    return {part: read_any(spark, names[name]) if name else None for part, name in chosen.items()}
+    chosen = split_paths(list_tree(spark, folder, ".csv"), need_train=not fallback)
+    return {part: read_any(spark, f"{folder}/{path}") if path else None for part, path in chosen.items()}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -63,13 +63,13 @@ def test_ingest_and_metadata(spark, write, tmp_path):
 
 def test_readers_by_name(spark, write, tmp_path):
     write("d/my_train.csv", "a,b\n1,2\n")
-    write("d/dev.csv", "a,b\n1,2\n3,4\n")
+    write("d/deep/er/dev.csv", "a,b\n1,2\n3,4\n")
     write("d/x.jsonl", '{"a": 1}\n{"a": 2}\n')
     spark.range(3).write.parquet(str(tmp_path / "d/p.parquet"))
     assert readers.read_any(spark, str(tmp_path / "d/x.jsonl")).count() == 2
     assert readers.read_any(spark, str(tmp_path / "d/p.parquet")).count() == 3
     first = readers.read_first(spark, [str(tmp_path / "none/*.csv"), str(tmp_path / "d/*.csv")])
-    assert first.count() == 2
+    assert first.count() == 1
     with pytest.raises(FileNotFoundError):
         readers.read_first(spark, [str(tmp_path / "none/*.csv")])
     splits = readers.read_splits(spark, str(tmp_path / "d"))
