@@ -39,3 +39,13 @@ def op7_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     from glossmill.llm.line_frequency import judge
 
     return judge(table(spark, folder, "documents"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from glossmill.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
