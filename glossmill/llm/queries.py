@@ -49,3 +49,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     from glossmill.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Set size, group and verdict of every document."""
+    from glossmill.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
