@@ -57,3 +57,12 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from glossmill.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages that repeat an earlier one, with its lines before and the lines removed."""
+    from glossmill.llm.line_dedup import remove_repeated
+
+    cut = remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
