@@ -66,3 +66,11 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     cut = remove_repeated(table(spark, folder, "documents").select("doc_id", "text"))
     return cut.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds most of a benchmark item, with the item."""
+    from glossmill.llm.decontamination import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tiles")
