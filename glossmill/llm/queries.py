@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm.tables import table
+from glossmill.llm.tables import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,25 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from glossmill.llm.decontamination import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tiles")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    from glossmill.llm.language_id import fit, identify
+
+    docs = table(spark, folder, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    found = identify(docs, fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labels."""
+    from glossmill.llm.toxicity import fit, score
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    found = score(docs, fit(docs, labels.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "matches")
