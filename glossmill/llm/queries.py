@@ -110,3 +110,13 @@ def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     model = train(docs.where(~held_out))
     found = score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page; pages whose url names a stored document are the labelled ones."""
+    from glossmill.llm.html_extraction import extract, fit, known_texts
+
+    pages = table(spark, folder, "pages")
+    model = fit(known_texts(pages, table(spark, folder, "documents")))
+    return extract(pages, model).select("page_id", "url", "text", "n_chars", "n_blocks", "kept_blocks")
