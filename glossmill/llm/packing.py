@@ -102,7 +102,7 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block and the offset of each row's ids."""
-        starts, ends, rows = W.words(data, offsets)
+        data, starts, ends, rows = _parts(data, offsets)
         unique, at, inverse = np.unique(W.byte_span_hash(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.index) + len(unique) > self.limit:
             self.clear()
@@ -119,6 +119,24 @@ class WordIds:
         return ids, ends_at[np.searchsorted(rows, np.arange(len(offsets)))]
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is encoded on its own: words, with a full stop or comma after a letter split off, A-Z in lower case.
+
+    The tokenizer lower-cases and splits there itself, so this only makes repeats more frequent. A block with the
+    beginning of a special token keeps its case, as special tokens are told apart by it.
+    """
+    raw = data
+    if not np.any((data[:-1] == 60) & (data[1:] == 124)):
+        data = W.lower_ascii(data)
+    starts, ends, rows = W.words(raw, offsets)
+    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+    split = np.flatnonzero(((last == 44) | (last == 46)) & (ends - starts >= 2) & (before >= 97) & (before <= 122))
+    tail = ends[split]
+    shorter = ends.copy()
+    shorter[split] -= 1
+    return data, np.insert(starts, split + 1, tail - 1), np.insert(shorter, split + 1, tail), np.insert(rows, split + 1, rows[split])
+
+
 def word_ids(path: str) -> WordIds:
     cache = W.state().setdefault("word_ids", {})
     if path not in cache:
