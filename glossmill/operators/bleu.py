@@ -180,7 +180,7 @@ def worst_and_best(df: DataFrame, n: int = 10, key: str = "id", column: str = "b
     chosen = worst.unionByName(best)
     if set(df.columns) == {key, column}:
         return chosen
-    return df.drop(column).join(F.broadcast(chosen), key)
+    return df.drop(column).join(chosen, key)
 
 
 def kfold_bleu(df: DataFrame, fold: str = "fold", settings: BleuSettings = DEFAULT, **columns: str) -> DataFrame:

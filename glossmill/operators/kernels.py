@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.operators.keyed import collect_paged, latest_per_key, top_per_key
+from glossmill.operators.keyed import collect_paged, latest_per_key, lookup, top_per_key
 
 
 def kernel_summary(versions: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def latest_kernel(versions: DataFrame) -> DataFrame:
 
 
 def kernel_history(versions: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Versions nested per kernel in ascending order (in pages, if a kernel has very many)."""
+    """Versions nested per kernel in ascending order, one row per (kernel, page)."""
     columns = [c for c in versions.columns if c not in ("kernel", "version")]
     item = F.struct("version", *columns)
     return collect_paged(versions, ["kernel"], item, ["version"], "versions", page_size)
@@ -76,9 +76,10 @@ def scoreboard(models: DataFrame, submissions: DataFrame, competitions: DataFram
 
 
 def models_nested(versions: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Registered models with their sorted versions and a map of aliases to versions."""
+    """Registered models with their sorted versions in pages, a map of each page's aliases to versions, and totals per model."""
     item = F.struct("version", "status", "run_id", "alias")
     nested = collect_paged(versions, ["name"], item, ["version"], "versions", page_size)
     named = F.filter("versions", lambda v: v["alias"].isNotNull())
     pairs = F.transform(named, lambda v: F.struct(v["alias"].alias("key"), v["version"].alias("value")))
-    return nested.withColumn("aliases", F.map_from_entries(pairs))
+    totals = versions.groupBy("name").agg(F.count(F.lit(1)).alias("n_versions"), F.count("alias").alias("n_aliases"))
+    return lookup(nested.withColumn("aliases", F.map_from_entries(pairs)), totals, ["name"])

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from glossmill.session import cut
 
-MAX_ROUNDS = 24
-
 
 def leaves(df: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """Rows that are nobody's parent."""
@@ -16,37 +14,33 @@ def leaves(df: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFra
     return df.join(parents, key, "left_anti").select(key)
 
 
-def lineage(
-    df: DataFrame,
-    key: str = "id",
-    parent: str = "parent_id",
-    starts: DataFrame | None = None,
-    max_rounds: int = MAX_ROUNDS,
-) -> DataFrame:
+def lineage(df: DataFrame, key: str = "id", parent: str = "parent_id", starts: DataFrame | None = None) -> DataFrame:
     """Every start row with its ancestors: (start, depth, node), depth 0 being the start itself.
 
     Starts default to the leaves. Jumps double in length each round, so a chain of depth d takes
-    log2(d) rounds, and each result row is made once. Nodes leave the jump table when they pass the
-    root, which also takes the children of a popular root out of the joins. A chain of 2^max_rounds
-    steps, in particular a cycle, is an error.
+    log2(d) rounds, and each result row is made and stored once. Nodes leave the jump table when they
+    pass the root, which also takes the children of a popular root out of the joins. Without a cycle
+    the table shrinks in every round, as the nodes next to those that left are the next to leave; when
+    it does not, what is left leads into a cycle, which is an error.
     """
     jumps = cut(df.where(F.col(parent).isNotNull()).select(F.col(key).alias("node"), F.col(parent).alias("above")))
     first = (leaves(df, key, parent) if starts is None else starts.select(key)).select(F.col(key).alias("start"))
     known = cut(first.select("start", F.lit(0).cast("long").alias("depth"), F.col("start").alias("node")))
-    stride = 1
-    for _ in range(max_rounds):
-        if jumps.isEmpty():
-            return known.join(df.select(F.col(key).alias("node")), "node", "left_semi").select("start", "depth", "node")
+    stride, left = 1, jumps.count()
+    while left:
         further = known.join(jumps, "node").select("start", (F.col("depth") + stride).alias("depth"), F.col("above").alias("node"))
-        known = cut(known.unionByName(further))
+        known = known.unionByName(cut(further))
         second = jumps.select(F.col("node").alias("above"), F.col("above").alias("far"))
         jumps = cut(jumps.join(second, "above").select("node", F.col("far").alias("above")))
         stride *= 2
-    raise ValueError(f"a parent chain has 2^{max_rounds} steps or a cycle")
+        before, left = left, jumps.count()
+        if left >= before:
+            raise ValueError(f"{left} rows lead into a cycle of parents")
+    return known.join(df.select(F.col(key).alias("node")), "node", "left_semi").select("start", "depth", "node")
 
 
 def lineage_text(chains: DataFrame, label: str, page_size: int = 10_000) -> DataFrame:
-    """One text per start, ``a:3 <- a:2 <- a:1``; very long chains continue on further pages."""
+    """One text per start and page of ``page_size`` steps, ``a:3 <- a:2 <- a:1``; page 0 begins at the start."""
     pages = chains.withColumn("page", F.floor(F.col("depth") / page_size))
     ordered = F.array_sort(F.collect_list(F.struct("depth", F.col(label).alias("label"))))
     return pages.groupBy("start", "page").agg(F.array_join(F.transform(ordered, lambda e: e["label"]), " <- ").alias("lineage"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import as_column
 from glossmill.functions.names import format_ref, parse_ref
-from glossmill.operators.keyed import PAGE_SIZE, collect_paged, latest_per_key, lookup, page_counts, sequence_per_key
+from glossmill.operators.keyed import PAGE_SIZE, collect_paged, latest_per_key, lookup, sequence_per_key
 
 VERSION_COLUMNS = [
     "id", "name", "version", "source_type", "source_path", "parent_version_id", "etl_pipeline",
@@ -72,18 +72,16 @@ def datasets_for_runs(versions: DataFrame, links: DataFrame, runs: list[str] | N
 
 
 def with_links(versions: DataFrame, links: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Every dataset version with the sorted list of its linked runs (run_id, link_type).
+    """Every dataset version with its linked runs (run_id, link_type), sorted, in pages, and their number ``n_runs``.
 
-    A version with more links than a page holds has one row per ``page``. Versions are repeated for
-    their pages before the join, so that both sides are unique on (id, page) and no task gets one
-    version's pages together.
+    There is one row per (version, page); a version without links has page 0 with an empty list.
     """
-    used = links.select(F.col("dataset_version_id").alias("id"), "run_id", "link_type")
+    used = links.select(F.col("dataset_version_id").alias("id"), "run_id", "link_type").where(F.col("id").isNotNull())
     lists = collect_paged(used, ["id"], F.struct("run_id", "link_type"), ["run_id", "link_type"], "runs", page_size)
-    pages = F.sequence(F.lit(0), (F.coalesce("page_count", F.lit(1)) - 1).cast("int"))
-    paged = lookup(versions, page_counts(used, ["id"], page_size), ["id"]).withColumn("page", F.explode(pages))
+    totals = used.groupBy("id").agg(F.count(F.lit(1)).alias("n_runs"))
     empty = F.array().cast(lists.schema["runs"].dataType)
-    return lookup(paged.drop("page_count"), lists, ["id", "page"]).withColumn("runs", F.coalesce("runs", empty))
+    joined = versions.join(totals, "id", "left").join(lists, "id", "left")
+    return joined.withColumns({"n_runs": F.coalesce("n_runs", F.lit(0)), "page": F.coalesce("page", F.lit(0)), "runs": F.coalesce("runs", empty)})
 
 
 def replace_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -5,6 +5,8 @@ The patterns, codes, names and word lists below are fixed values: they decide wh
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -362,19 +364,37 @@ def dataset_findings(c: Column | str, attached: Column | str) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def preflight(scripts: DataFrame, metadata: DataFrame, key: str, text: str) -> DataFrame:
+def preflight(
+    scripts: DataFrame,
+    metadata: DataFrame,
+    key: str,
+    text: str,
+    submission: bool = False,
+    training: bool = False,
+    pair_columns: Sequence[tuple[str, str, str]] = (),
+) -> DataFrame:
     """All findings of a corpus of scripts against their metadata, one row each.
 
     ``metadata`` has the key, ``enable_internet`` and ``attached`` (an array of data sets); scripts without
-    metadata are judged on their text. Feed the result to ``worst_status`` for one verdict per script.
+    metadata are judged on their text. The packs for submissions and for trained models are asked for: by
+    ``kind`` in the metadata (``inference``, ``training`` or ``mixed``) or, where that is missing, by
+    ``submission`` and ``training``. ``pair_columns`` lists (data set, source column, target column) of data
+    sets with column names of their own. Feed the result to ``worst_status`` for one verdict per script.
     """
-    known = metadata.select(key, "enable_internet", "attached")
+    kind = F.col("kind") if "kind" in metadata.columns else F.lit(None).cast("string")
+    known = metadata.select(key, "enable_internet", "attached", kind.alias("_kind"))
     joined = scripts.select(key, text).join(known, key, "left")
+    nothing = F.array().cast(FINDING)
+
+    def asked(kinds: list[str], default: bool, pack: Column) -> Column:
+        return F.when(F.coalesce(F.col("_kind").isin(kinds), F.lit(default)), pack).otherwise(nothing)
+
     packs = [
         findings(text, DEPRECATIONS),
-        submission_findings(text),
+        asked(["inference", "mixed"], submission, submission_findings(text)),
         internet_findings(text, "enable_internet"),
-        model_findings(text),
+        asked(["training", "mixed"], training, model_findings(text)),
+        *[pair_column_findings(text, dataset, source, target) for dataset, source, target in pair_columns],
         progress_bar_findings(text),
         no_deps_findings(text),
         compute_metrics_findings(text),

@@ -13,22 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores, where the input has fewer files than the session has cores.
-
-    Work that is heavy per row gains from it. Large tables have more files than cores and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def stamp(c: Column | str) -> Column:
     return F.date_format(c, STAMP)
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as references, each with a hypothesis that an edit rule derives from it."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
     text, turn = F.col("text"), F.col("doc_id") % 4
     hypothesis = (
         F.when(turn == 0, F.lower(text))
@@ -52,7 +43,7 @@ pairs AS (
 
 def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document as a pair; one line in two has its first two words swapped and one word dropped."""
-    documents = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
     lines = documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "reference"))
     swapped = F.regexp_replace(F.regexp_replace("reference", r"^([^ ]+) ([^ ]+) ", "$2 $1 "), r" [^ ]+$", "")
     hypothesis = F.when((F.col("doc_id") + F.col("line")) % 2 == 0, swapped).otherwise(F.col("reference"))

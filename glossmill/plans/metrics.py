@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import bleu, chrf, inference, ter
 from glossmill.operators.pairs import align
 from glossmill.plans import query
-from glossmill.plans.inputs import SQL_DOCUMENT_PAIRS, document_pairs, line_pairs, spread, table
+from glossmill.plans.inputs import SQL_DOCUMENT_PAIRS, document_pairs, line_pairs, table
 
 
 def sql_tokens(text: str) -> str:
@@ -114,7 +114,7 @@ WITH {sql_bleu('m', SQL_MODEL_PAIRS)}
 SELECT CASE grp WHEN 0 THEN 'copy' WHEN 1 THEN 'lower' ELSE 'drop' END AS model, round(1.0 / 3, 6) AS weight, round(bleu, 6) AS bleu, sys_len, ref_len FROM bleus
 """)
 def compare_models(spark, folder):
-    turns = spread(table(spark, folder, "conversations"), "conv_id").select("conv_id", "turn", F.col("text").alias("reference"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("reference"))
     text = F.col("reference")
     models = {"copy": text, "lower": F.lower(text), "drop": F.regexp_replace(text, "^[^ ]* ", "")}
     compared = rounded(inference.compare_models(turns, models), ["bleu", "weight"])
@@ -166,7 +166,7 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 FROM documents WHERE contains(text, '(')
 """)
 def batch_infer_dummy(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
 
     def make_predict():
         return lambda texts: [t.replace(" the ", " le ") for t in texts]

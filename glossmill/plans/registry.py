@@ -10,6 +10,8 @@ from glossmill.plans.inputs import (
     SQL_KERNELS, SQL_LINKS, SQL_STAMP, SQL_VERSIONS, dataset_rows, dataset_versions, kernel_versions, run_links, stamp, table,
 )
 
+PAGE = 5  # small, so that the data fills several pages of a key
+
 
 @query("registry_list", f"""
 WITH {SQL_VERSIONS}
@@ -77,16 +79,19 @@ def datasets_by_run(spark, folder):
 
 
 @query("datasets_with_links", f"""
-WITH {SQL_VERSIONS}, {SQL_LINKS}, listed AS (
-  SELECT dataset_version_id, string_agg(run_id || '/' || link_type, ',' ORDER BY run_id, link_type) AS runs, count(*) AS n
-  FROM links GROUP BY dataset_version_id)
-SELECT v.id, v.name, coalesce(l.runs, '') AS runs, coalesce(l.n, 0) AS n_runs
+WITH {SQL_VERSIONS}, {SQL_LINKS}, placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY dataset_version_id ORDER BY run_id, link_type) - 1) // {PAGE} AS page,
+    count(*) OVER (PARTITION BY dataset_version_id) AS n FROM links),
+listed AS (
+  SELECT dataset_version_id, page, max(n) AS n, string_agg(run_id || '/' || link_type, ',' ORDER BY run_id, link_type) AS runs
+  FROM placed GROUP BY dataset_version_id, page)
+SELECT v.id, v.name, CAST(coalesce(l.page, 0) AS INTEGER) AS page, coalesce(l.runs, '') AS runs, coalesce(l.n, 0) AS n_runs
 FROM versions v LEFT JOIN listed l ON v.id = l.dataset_version_id
 """)
 def datasets_with_links(spark, folder):
-    nested = registry.with_links(dataset_versions(spark, folder), run_links(spark, folder))
+    nested = registry.with_links(dataset_versions(spark, folder), run_links(spark, folder), PAGE)
     texts = F.transform("runs", lambda r: F.concat(r["run_id"], F.lit("/"), r["link_type"]))
-    return nested.select("id", "name", F.array_join(texts, ",").alias("runs"), F.size("runs").cast("bigint").alias("n_runs"))
+    return nested.select("id", "name", "page", F.array_join(texts, ",").alias("runs"), "n_runs")
 
 
 @query("replace_links", f"""
@@ -118,9 +123,13 @@ def lineage_turns(spark, folder):
 
 
 @query("lineage_text", f"""
-WITH {SQL_VERSIONS}, labelled AS (SELECT name, version, name || ':' || CAST(version AS VARCHAR) AS label FROM versions)
-SELECT arg_max(id, v.version) AS start, string_agg(l.label, ' <- ' ORDER BY l.version DESC) AS lineage
-FROM versions v JOIN labelled l ON v.name = l.name AND v.version = l.version GROUP BY v.name
+WITH {SQL_VERSIONS}, labelled AS (SELECT name, version, name || ':' || CAST(version AS VARCHAR) AS label FROM versions),
+steps AS (
+  SELECT v.name, l.label, l.version, first_value(v.id) OVER (PARTITION BY v.name ORDER BY v.version DESC) AS start,
+    max(v.version) OVER (PARTITION BY v.name) - v.version AS depth
+  FROM versions v JOIN labelled l ON v.name = l.name AND v.version = l.version)
+SELECT start, CAST(depth // {PAGE} AS BIGINT) AS page, string_agg(label, ' <- ' ORDER BY version DESC) AS lineage
+FROM steps GROUP BY start, depth // {PAGE}
 """)
 def lineage_text(spark, folder):
     versions = dataset_versions(spark, folder)
@@ -128,7 +137,7 @@ def lineage_text(spark, folder):
     linked = versions.join(parents, ["name", "version"], "left")
     chains = lineage.lineage(linked.select("id", "parent_id"))
     labels = versions.select(F.col("id").alias("node"), registry.ref_text("name", "version").alias("label"))
-    return lineage.lineage_text(chains.join(labels, "node"), "label").select("start", "lineage")
+    return lineage.lineage_text(chains.join(labels, "node"), "label", PAGE).select("start", "page", "lineage")
 
 
 @query("upsert_models", """
@@ -184,20 +193,21 @@ def latest_kernel(spark, folder):
 
 @query("kernel_history", f"""
 WITH {SQL_KERNELS}
-SELECT kernel, string_agg(CAST(version AS VARCHAR) || ':' || coalesce(status, '-'), ' ' ORDER BY version) AS versions
-FROM kernels GROUP BY kernel
+, placed AS (SELECT *, (row_number() OVER (PARTITION BY kernel ORDER BY version) - 1) // {PAGE} AS page FROM kernels)
+SELECT kernel, CAST(page AS INTEGER) AS page, string_agg(CAST(version AS VARCHAR) || ':' || coalesce(status, '-'), ' ' ORDER BY version) AS versions
+FROM placed GROUP BY kernel, page
 """)
 def kernel_history(spark, folder):
-    history = kernels.kernel_history(kernel_versions(spark, folder))
+    history = kernels.kernel_history(kernel_versions(spark, folder), PAGE)
     texts = F.transform("versions", lambda v: F.concat(v["version"].cast("string"), F.lit(":"), F.coalesce(v["status"], F.lit("-"))))
-    return history.select("kernel", F.array_join(texts, " ").alias("versions"))
+    return history.select("kernel", "page", F.array_join(texts, " ").alias("versions"))
 
 
 @query("kernel_rows", f"""
 WITH {SQL_KERNELS} SELECT kernel, version, status FROM kernels
 """)
 def kernel_rows(spark, folder):
-    history = kernels.kernel_history(kernel_versions(spark, folder))
+    history = kernels.kernel_history(kernel_versions(spark, folder), PAGE)
     return kernels.kernel_versions(history).select("kernel", "version", "status")
 
 
@@ -227,20 +237,25 @@ def apply_status(spark, folder):
     return kernels.apply_status(versions, updates)[0].select("kernel", "version", "status", "run_id")
 
 
-@query("models_nested", """
-SELECT p_name AS name,
+@query("models_nested", f"""
+WITH placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1) // {PAGE} AS page,
+    count(*) OVER (PARTITION BY p_name) AS n_versions, count(*) FILTER (p_size = 1) OVER (PARTITION BY p_name) AS n_aliases FROM part)
+SELECT p_name AS name, CAST(page AS INTEGER) AS page,
   string_agg(CAST(p_partkey AS VARCHAR) || ':' || p_type, ' ' ORDER BY p_partkey) AS versions,
-  count(*) FILTER (p_size = 1) AS n_aliases
-FROM part GROUP BY p_name
+  coalesce(string_agg('alias-' || CAST(p_partkey AS VARCHAR), ' ' ORDER BY p_partkey) FILTER (p_size = 1), '') AS aliases,
+  max(n_versions) AS n_versions, max(n_aliases) AS n_aliases
+FROM placed GROUP BY p_name, page
 """)
 def models_nested(spark, folder):
     versions = table(spark, folder, "part").select(
         F.col("p_name").alias("name"), F.col("p_partkey").alias("version"), F.col("p_type").alias("status"), F.col("p_brand").alias("run_id"),
         F.when(F.col("p_size") == 1, F.concat(F.lit("alias-"), F.col("p_partkey").cast("string"))).alias("alias"),
     )
-    nested = kernels.models_nested(versions)
+    nested = kernels.models_nested(versions, PAGE)
     texts = F.transform("versions", lambda v: F.concat(v["version"].cast("string"), F.lit(":"), v["status"]))
-    return nested.select("name", F.array_join(texts, " ").alias("versions"), F.size("aliases").cast("bigint").alias("n_aliases"))
+    aliases = F.array_join(F.transform(F.array_sort(F.map_values("aliases")), lambda v: F.concat(F.lit("alias-"), v.cast("string"))), " ")
+    return nested.select("name", "page", F.array_join(texts, " ").alias("versions"), aliases.alias("aliases"), "n_versions", "n_aliases")
 
 
 @query("scoreboard", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,33 +85,39 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """All files, each by its extension; columns are matched by name, and a file without one has NULL there."""
+    parts = [read_any(spark, path).withColumn("source_path", F.lit(path)) for path in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_first(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """The first pattern of the list that matches a file; its first file is read."""
+    """All files of the first pattern of the list that matches any."""
     for pattern in patterns:
         found = list_files(spark, pattern)
         if found:
-            return read_any(spark, found[0]).withColumn("source_path", F.lit(found[0]))
+            return read_all(spark, found)
     raise FileNotFoundError(f"no data found in {patterns}")
 
 
-def split_paths(paths: list[str], need_train: bool = True) -> dict[str, str | None]:
-    """First train, validation and test file by name; without a train file the first file stands in."""
+def split_paths(paths: list[str], need_train: bool = True) -> dict[str, list[str]]:
+    """Train, validation and test files by name; without a train file the first file stands in."""
 
-    def first(words: list[str]) -> str | None:
-        return next((p for p in paths if any(word in p.lower() for word in words)), None)
+    def named(words: list[str]) -> list[str]:
+        return [p for p in paths if any(word in p.lower() for word in words)]
 
-    train = first(["train"])
-    if train is None:
+    train = named(["train"])
+    if not train:
         if need_train or not paths:
             raise FileNotFoundError("no training data file found")
-        train = paths[0]
-    return {"train": train, "validation": first(["val", "dev"]), "test": first(["test"])}
+        train = paths[:1]
+    return {"train": train, "validation": named(["val", "dev"]), "test": named(["test"])}
 
 
 def read_splits(spark: SparkSession, folder: str, fallback: bool = True) -> dict[str, DataFrame | None]:
     """The train, validation and test tables of a folder; a missing one is None."""
     chosen = split_paths(list_tree(spark, folder, ".csv"), need_train=not fallback)
-    return {part: read_any(spark, f"{folder}/{path}") if path else None for part, path in chosen.items()}
+    return {part: read_all(spark, [f"{folder}/{path}" for path in paths]).drop("source_path") if paths else None for part, paths in chosen.items()}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

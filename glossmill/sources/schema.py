@@ -12,7 +12,6 @@ from glossmill.functions.numbers import (
     INFINITY_PREFIX, INTEGER, NUMBER, NUMBER_PREFIX, parse_prefix_integer, parse_prefix_number,
 )
 
-SAMPLE_ROWS = 100
 SAFE_DIGITS = 18  # integers of this length fit in 64 bits, so no cast has to be tried
 
 
@@ -75,12 +74,10 @@ def cell_kind(c: Column, compat: str = "strict") -> Column:
 def type_report(df: DataFrame, sample: int | None = None, compat: str = "strict") -> DataFrame:
     """One row per text column with its type: ``INTEGER``, ``REAL`` or ``TEXT``.
 
-    ``strict`` tests every value as a whole. ``prefix`` accepts any text with a leading number and
-    by default looks at the first 100 rows only. A column's type is its highest cell kind, so one
+    ``strict`` tests every value as a whole, ``prefix`` accepts any text with a leading number. All rows
+    are looked at, unless the caller asks for a ``sample`` of that many rows. A column's type is its highest cell kind, so one
     maximum per column is all that is aggregated.
     """
-    if compat == "prefix" and sample is None:
-        sample = SAMPLE_ROWS
     rows = df if sample is None else df.limit(sample)
     wide = rows.agg(*[F.max(cell_kind(F.col(f"`{name}`"), compat)).alias(name) for name in df.columns])
 

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossmill.functions.status import TERMINAL
@@ -18,13 +19,22 @@ TIMEOUT_MESSAGE = "Timeout waiting for completion"
 OUTCOME = "run string, status string, at timestamp, message string"
 
 
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def latest_state(updates: DataFrame, time: str = "updated_at", columns: list[str] | None = None) -> DataFrame:
     """Last reported state per run, with a flag for finished runs. Works on batches and on streams.
 
-    A stream runs in update or complete mode; its state is one row per run.
+    Of several updates at one time the one with the largest values counts, compared in column order over the columns
+    that have an order (maps and variants have none). A stream runs in update or complete mode; its state is one row per run.
     """
     names = columns or [c for c in updates.columns if c not in ("run", time)]
-    last = F.max_by(F.struct(*names), F.struct(time, *names))
+    last = F.max_by(F.struct(*names), F.struct(time, *[n for n in names if _ordered(updates.schema[n].dataType)]))
     latest = updates.groupBy("run").agg(F.max(time).alias(time), last.alias("_last"))
     flat = latest.select("run", time, "_last.*")
     return flat.withColumn("finished", F.col("phase").isin(TERMINAL)) if "phase" in names else flat

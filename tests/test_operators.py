@@ -29,9 +29,29 @@ def test_large_lists_are_paged_and_complete(spark):
     df = spark.range(2500).select(F.when(F.col("id") < 2400, "hot").when(F.col("id") < 2450, "small").alias("k"), "id")
     lists = keyed.collect_paged(df, ["k"], F.struct("id"), ["id"], page_size=100).collect()
     assert sum(len(r["items"]) for r in lists) == 2500
-    assert len([r for r in lists if r.k == "hot"]) == 24 and len([r for r in lists if r.k == "small"]) == 1
-    assert max(len(r["items"]) for r in lists) < 200
-    assert all(r["items"] == sorted(r["items"]) for r in lists)
+    assert sorted(r.page for r in lists if r.k == "hot") == list(range(24)) and [r.page for r in lists if r.k == "small"] == [0]
+    assert max(len(r["items"]) for r in lists) == 100
+    assert all([x.id for x in r["items"]] == list(range(100 * r.page, 100 * r.page + 100)) for r in lists if r.k == "hot")
+
+
+def test_repeated_items_fill_pages_too(spark):
+    df = spark.range(100).select(F.lit("k").alias("k"), F.lit(7).alias("v"), F.lit("same").alias("t"))
+    for order in (["v"], ["t", "v"]):
+        lists = keyed.collect_paged(df, ["k"], F.col("v"), order, page_size=10).collect()
+        assert sorted((r.page, len(r["items"])) for r in lists) == [(k, 10) for k in range(10)]
+    assert keyed.collect_paged(df.where("v = 8"), ["k"], F.col("v"), ["v"]).count() == 0
+
+
+def test_sequences_over_texts_times_and_nulls(spark):
+    df = spark.range(400).select(
+        F.concat(F.lit("n"), (F.col("id") * 7 % 400).cast("string")).alias("text"), F.timestamp_seconds(F.col("id") * 31 % 400).alias("time"),
+        F.when(F.col("id") % 3 > 0, F.col("id") * 11 % 400).alias("maybe"), F.date_add(F.lit("2020-01-01"), (F.col("id") * 3 % 400).cast("int")).alias("day"), "id",
+    )
+    data = df.collect()
+    for name in ("text", "time", "maybe", "day"):
+        found = {r.id: r.sequence for r in keyed.sequence_per_key(df.withColumn("k", F.lit(1)), ["k"], [name, "id"]).collect()}
+        ordered = sorted(data, key=lambda r: (r[name] is not None, r[name] if r[name] is not None else 0, r.id))
+        assert found == {r.id: n for n, r in enumerate(ordered, 1)}
 
 
 def test_top_rows_per_key_are_limited_before_the_shuffle(spark):
@@ -68,7 +88,7 @@ def test_links(spark):
     many = spark.range(250).select(F.lit("a1").alias("dataset_version_id"), F.col("id").cast("string").alias("run_id"), F.lit("training").alias("link_type"))
     paged = registry.with_links(v, many, page_size=100).collect()
     assert sorted(r.page for r in paged if r.id == "a1") == [0, 1, 2] and len(paged) == 6
-    assert len({x.run_id for r in paged for x in r.runs}) == 250
+    assert len({x.run_id for r in paged for x in r.runs}) == 250 and {r.n_runs for r in paged if r.id == "a1"} == {250}
     assert rows(registry.datasets_for_runs(v, links, ["r1"]), "id", "run_id") == [("a1", "r1"), ("b1", "r1")]
 
 
@@ -89,7 +109,10 @@ def test_lineage_of_long_chains_missing_parents_and_cycles(spark):
     assert rows(lineage.lineage(dangling), "start", "depth", "node") == [("x", 0, "x")]
     cycle = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
     with pytest.raises(ValueError, match="cycle"):
-        lineage.lineage(cycle, starts=cycle, max_rounds=4)
+        lineage.lineage(cycle, starts=cycle)
+    leaf = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("leaf", "a")], "id string, parent_id string")
+    with pytest.raises(ValueError, match="4 rows"):
+        lineage.lineage(leaf)
 
 
 def test_upsert_and_keys(spark):

@@ -193,6 +193,6 @@ def test_whole_notebooks(spark):
 def test_preflight(spark):
     scripts = spark.createDataFrame([(1, 'x = "/kaggle/input/my-set/a.csv"'), (2, "df.to_csv('submission.csv')")], "id int, t string")
     metadata = spark.createDataFrame([(1, True, ["me/other"])], "id int, enable_internet boolean, attached array<string>")
-    found = {(r.id, r.code, r.severity) for r in rulepacks.preflight(scripts, metadata, "id", "t").collect()}
+    found = {(r.id, r.code, r.severity) for r in rulepacks.preflight(scripts, metadata, "id", "t", submission=True, training=True).collect()}
     assert {(1, "DATASET_SOURCES", "error"), (1, "MODEL_SAVE", "error"), (2, "SUBMISSION_INTERNET", "warning"), (2, "CSV_INDEX", "warning")} <= found
     assert (2, "DATASET_SOURCES", "error") not in found

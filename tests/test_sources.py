@@ -74,7 +74,10 @@ def test_readers_by_name(spark, write, tmp_path):
         readers.read_first(spark, [str(tmp_path / "none/*.csv")])
     splits = readers.read_splits(spark, str(tmp_path / "d"))
     assert splits["train"].count() == 1 and splits["validation"].count() == 2 and splits["test"] is None
-    assert readers.split_paths(["a.csv", "test.csv"], need_train=False) == {"train": "a.csv", "validation": None, "test": "test.csv"}
+    assert readers.split_paths(["a.csv", "test.csv"], need_train=False) == {"train": ["a.csv"], "validation": [], "test": ["test.csv"]}
+    write("d/train_2.csv", "b,c\n5,6\n7,8\n")
+    assert readers.read_splits(spark, str(tmp_path / "d"))["train"].count() == 3
+    assert readers.read_first(spark, [str(tmp_path / "d/*.csv")]).count() == 3
     with pytest.raises(FileNotFoundError):
         readers.split_paths(["a.csv"])
     lines = readers.read_lines(spark, write("l.txt", "one\n\n two\n"))
