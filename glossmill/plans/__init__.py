@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from glossmill.plans import metrics, registry, rules, runs, tables, text  # noqa: F401
+    from glossmill.plans import metrics, registry, rules, runs, scripts, tables, text  # noqa: F401
