@@ -9,7 +9,10 @@ STEPS = 1_000_000
 
 
 def bucket_of(keys: list[str], buckets: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets))
+    """A number below ``buckets`` from the first 48 bits of the MD5 of seed and keys, so other engines can repeat it."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % buckets
 
 
 def split_by_hash(df: DataFrame, keys: list[str], fraction: float = 0.1, seed: int = 42, out: str = "part") -> DataFrame:

@@ -95,12 +95,13 @@ def sentence_bleu(spark, folder):
 
 @query("worst_best_sentences", f"""
 WITH {sql_bleu('doc_id')}, s AS (SELECT grp AS doc_id, round(bleu, 6) AS bleu FROM bleus)
-SELECT * FROM (SELECT doc_id, bleu, 'worst' AS side FROM s ORDER BY bleu, doc_id LIMIT 10)
-UNION ALL SELECT * FROM (SELECT doc_id, bleu, 'best' FROM s ORDER BY bleu DESC, doc_id DESC LIMIT 10)
+, ends AS (SELECT * FROM (SELECT doc_id, bleu, 'worst' AS side FROM s ORDER BY bleu, doc_id LIMIT 10)
+UNION ALL SELECT * FROM (SELECT doc_id, bleu, 'best' FROM s ORDER BY bleu DESC, doc_id DESC LIMIT 10))
+SELECT e.doc_id, e.bleu, e.side, p.hypothesis, p.reference FROM ends e JOIN pairs p ON e.doc_id = p.doc_id
 """)
 def worst_best_sentences(spark, folder):
     scored = rounded(bleu.sentence_bleu(document_pairs(spark, folder)), ["bleu"])
-    return bleu.worst_and_best(scored.select("doc_id", "bleu"), 10, "doc_id")
+    return bleu.worst_and_best(scored.select("doc_id", "bleu", "hypothesis", "reference"), 10, "doc_id")
 
 
 SQL_MODEL_PAIRS = """

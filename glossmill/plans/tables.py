@@ -155,9 +155,16 @@ def profile_lineitem(spark, folder):
     return profile.profile(table(spark, folder, "lineitem")).drop("position", "type")
 
 
-@query("profile_lineitem_approx")
+@query("profile_lineitem_approx", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, true AS near FROM lineitem" for c in NUMBERS + OTHERS
+))
 def profile_lineitem_approx(spark, folder):
-    return profile.profile(table(spark, folder, "lineitem"), approx=True)
+    """Whether each sketched distinct count is within 8 % of the exact one."""
+    lines = table(spark, folder, "lineitem")
+    sketched = profile.profile(lines, approx=True).select("column_name", "non_null", F.col("distinct_values").alias("sketch"))
+    exact = profile.profile(lines).select("column_name", "distinct_values")
+    near = F.abs(F.col("sketch") - F.col("distinct_values")) <= 0.08 * F.col("distinct_values")
+    return sketched.join(exact, "column_name").select("column_name", "non_null", near.alias("near"))
 
 
 @query("avg_record_size", """
@@ -184,18 +191,28 @@ def submission_table(spark, folder):
     return sinks.submission_table(predicted, "doc_id", "translation", clean="light")
 
 
-@query("split_counts")
+def sql_bucket(keys: str, buckets: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '42', {keys})), 1, 12) AS BIGINT) % {buckets}"
+
+
+@query("split_counts", f"""
+SELECT doc_id, CASE WHEN {sql_bucket('doc_id', 1_000_000)} < 100000 THEN 'validation' ELSE 'train' END AS part FROM documents
+""")
 def split_counts(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id")
-    return sampling.split_by_hash(documents, ["doc_id"], 0.1, 42).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    return sampling.split_by_hash(table(spark, folder, "documents").select("doc_id"), ["doc_id"], 0.1, 42)
+
+
+@query("assign_folds", f"SELECT doc_id, CAST({sql_bucket('doc_id', 5)} AS INTEGER) AS fold FROM documents")
+def assign_folds(spark, folder):
+    return sampling.assign_folds(table(spark, folder, "documents").select("doc_id"), ["doc_id"], 5)
 
 
-@query("shard_counts")
+@query("shard_counts", f"SELECT l_orderkey, l_linenumber, CAST({sql_bucket('l_orderkey, l_linenumber', 8)} AS INTEGER) AS shard FROM lineitem")
 def shard_counts(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    return sampling.with_shard(lines, ["l_orderkey", "l_linenumber"], 8).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    return sampling.with_shard(lines, ["l_orderkey", "l_linenumber"], 8)
 
 
-@query("shuffled")
+@query("shuffled", "SELECT doc_id, lang FROM documents")
 def shuffled(spark, folder):
     return sampling.shuffled(table(spark, folder, "documents").select("doc_id", "lang"), ["doc_id"])
