@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from glossmill.llm.tables import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    mark = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(mark, 20)), F.bit_xor(mark)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every vertex has one link at most to a smaller one, which itself has none: then all components are stars."""
+    ends = F.array(F.struct(F.col("u").alias("vertex"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("vertex"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = edges.select(F.inline(ends)).groupBy("vertex").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,11 +40,6 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         .distinct(),
         "links",
     )
-    before = _state(edges)
-    while before[0]:
+    while not _stars(edges):
         edges = stored(_small_star(_large_star(edges)), "stars")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
