@@ -4,12 +4,16 @@ A document's set is its distinct five-word shingles. Equal sets are one class, s
 has a signature of ``TOKENS`` minwise tokens. In each of ``TREES`` independent random trees a node picks two of the
 token positions, and a set goes to one child per picked position, named by its token there: a pair that agrees on a
 share s of its tokens stays together on a path of any depth with a probability near 0.9 at s = 0.75, and fails in all
-four trees about once in ten thousand times. Nodes with few sets are compared exhaustively, larger ones branch on.
+four trees about once in ten thousand times. Nodes of at most ``GROUP`` sets are compared exhaustively, larger ones
+branch on, until a node keeps most of its parent's sets: then they resemble each other and branching gains nothing.
 
-Two things keep large groups of near copies linear. Every node first links its members to its smallest one, and the
-links, confirmed on full sets, are contracted to components; a node whose members are all in one component has nothing
-left to find and ends. What is still mixed and large at ``DEEPEST`` is compared in blocks of bounded size, each pair
-of blocks in a task of its own; nothing is dropped. Links are always confirmed on the full shingle sets.
+Such a family may be large. It is cut into blocks, each compared exhaustively together with the family's pivots, which
+all its blocks share; that joins what resembles many others. What is then outside the family's largest component is
+compared with the whole family, in groups of bounded size. Nothing is dropped, and no group grows with a family.
+
+Nodes are compared on signatures, with a threshold four standard deviations low, and yield no more links than they have
+sets; the components of these links are the clusters. Every set is in one cluster, and inside clusters, again in groups
+of bounded size, links are decided on the full shingle sets, so a set moves once however many nodes it was in.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; a null id is linked with nothing and
 has a null component; repeated rows are repeated in the result; an empty table gives an empty result; columns other
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
 from glossmill.llm.components import components
-from glossmill.llm.tables import stored
+from glossmill.llm.tables import only, stored
 
 WIDTH = 5
 SIMILARITY = 75  # per cent
@@ -35,7 +39,9 @@ TOKENS = 128
 TREES = 4
 FIRST_DEPTH = 3
 DEEPEST = 12
-SMALL_NODE = 64
+GROUP = 256
+PIVOTS = 64
+FAMILY_SHARE = 0.5
 SKETCH_SIMILARITY = 0.60  # four standard deviations below the threshold at 128 tokens
 
 _U = np.uint64
@@ -92,6 +98,9 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, "id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, tokens binary")
 
 
+NODE = "node bigint, rep bigint"
+
+
 def _first_nodes(classes: DataFrame) -> DataFrame:
     """(node, rep) of every class at the first depth, in all trees."""
 
@@ -104,106 +113,192 @@ def _first_nodes(classes: DataFrame) -> DataFrame:
             if len(reps):
                 yield pa.RecordBatch.from_arrays([pa.array(W.signed(np.concatenate(level))), pa.array(np.tile(reps, len(level)))], ["node", "rep"])
 
-    return classes.select("rep", "tokens").mapInArrow(run, "node bigint, rep bigint")
+    return classes.select("rep", "tokens").mapInArrow(run, NODE)
 
 
 def _next_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of all children, with the size of the parent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 nodes = batch.column("node").to_numpy().view(np.uint64)
-                both = children(nodes, _matrix(batch.column("tokens")))
-                reps, comps = batch.column("rep"), batch.column("comp")
-                for child in both:
-                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(child)), reps, comps], ["node", "rep", "comp"])
+                for child in children(nodes, _matrix(batch.column("tokens"))):
+                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(child)), batch.column("rep"), batch.column("size")], ["node", "rep", "parent"])
+
+    joined = members.select("node", "rep", "size").join(classes.select("rep", "tokens"), "rep").select("node", "rep", "size", "tokens")
+    return joined.mapInArrow(run, f"{NODE}, parent bigint")
+
+
+def _sized(nodes: DataFrame) -> DataFrame:
+    """Members of nodes with two sets or more, and the size of their node."""
+    return nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
 
-    joined = members.select("node", "rep", "comp").join(classes.select("rep", "tokens"), "rep").select("node", "rep", "comp", "tokens")
-    return joined.mapInArrow(run, "node bigint, rep bigint, comp bigint").distinct()
 
+def _whole(members: DataFrame) -> DataFrame:
+    """(name, rep): one group per node; nodes that hold the same sets are one group."""
+    lists = members.groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+    return lists.select(F.xxhash64("reps").alias("name"), F.explode("reps").alias("rep"))
 
-def _compare(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components whose tokens agree often enough, from groups (name, rep, comp) of bounded size."""
+
+def _split(families: DataFrame) -> DataFrame:
+    """(name, rep): blocks of a family, each with the family's pivots."""
+    blocks = F.ceil(F.col("size") / (GROUP - PIVOTS))
+    place = F.xxhash64("rep")
+    pivot = F.pmod(F.xxhash64(place), F.lit(1 << 30)) * F.col("size") < PIVOTS * (1 << 30)
+    wide = families.select("node", "rep", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(place, blocks)))).alias("block"))
+    return wide.select(F.xxhash64("node", "block").alias("name"), "rep")
+
+
+def _rest(families: DataFrame, comps: DataFrame) -> DataFrame:
+    """(name, rep): what is outside the largest component of a family against all of the family, in blocks."""
+    own = families.join(comps, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
+    counts = own.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).select("node", "size", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.n")).alias("left"))
+    rows = own.join(most.where("`left` > 0"), "node")
+    half = GROUP // 2
+    all_blocks, few_blocks = F.ceil(F.col("size") / half), F.ceil(F.col("left") / half)
+    zero, place = F.lit(0).cast("long"), F.xxhash64("rep")
+    each = rows.select("node", "rep", F.pmod(place, all_blocks).alias("x"), F.explode(F.sequence(zero, few_blocks - 1)).alias("y"))
+    few = rows.where("comp != top").select("node", "rep", F.explode(F.sequence(zero, all_blocks - 1)).alias("x"), F.pmod(F.xxhash64(place), few_blocks).alias("y"))
+    return each.unionByName(few).select(F.xxhash64("node", "x", "y").alias("name"), "rep").distinct()
+
+
+def _sketch_links(groups: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Links (a, b) that connect what the signatures of a group's members connect, none inside a component of ``comps``."""
 
     def run(group: pa.Table) -> pa.Table:
-        reps, comps = group.column("rep").to_numpy(), group.column("comp").to_numpy()
+        reps, label = group.column("rep").to_numpy(), group.column("comp").to_numpy().copy()
         tokens = _matrix(group.column("tokens").combine_chunks())
-        left, right = [], []
+        out = []
         for k in range(len(reps) - 1):
-            alike = (tokens[k + 1 :] == tokens[k]).mean(axis=1) >= SKETCH_SIMILARITY
-            other = np.flatnonzero(alike & (comps[k + 1 :] != comps[k])) + k + 1
-            left.append(np.minimum(reps[k], reps[other]))
-            right.append(np.maximum(reps[k], reps[other]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(left or empty), "b": np.concatenate(right or empty)})
+            other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+            alike = other[(tokens[other] == tokens[k]).mean(axis=1) >= SKETCH_SIMILARITY]
+            for j in alike.tolist():
+                if label[j] != label[k]:
+                    out.append((int(reps[k]), int(reps[j])))
+                    label[label == label[j]] = label[k]
+        return _pairs(out)
 
     joined = groups.join(classes.select("rep", "tokens"), "rep")
+    return _labelled(joined, comps).select("name", "rep", "comp", "tokens").groupBy("name").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _labelled(groups: DataFrame, comps: DataFrame | None) -> DataFrame:
+    if comps is None:
+        return groups.withColumn("comp", F.col("rep"))
+    return groups.join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+
+
+def forest(reps: np.ndarray, comps: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a group, decided on whole sets; no link inside a component of ``comps``."""
+    ids = np.unique(values, return_inverse=True)[1]
+    sizes, label = np.diff(offsets), comps.copy()
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 0, bool)
+    out = []
+    for k in range(len(reps) - 1):
+        other = (label != label[k]) & (100 * np.minimum(sizes, sizes[k]) >= SIMILARITY * np.maximum(sizes, sizes[k]))
+        other[: k + 1] = False
+        if not other.any():
+            continue
+        own = ids[offsets[k] : offsets[k + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[ids], offsets[:-1], dtype=np.int64)
+        mark[own] = False
+        for j in np.flatnonzero(other & (100 * common >= SIMILARITY * (sizes + sizes[k] - common))).tolist():
+            if label[j] != label[k]:
+                out.append((int(reps[k]), int(reps[j])))
+                label[label == label[j]] = label[k]
+    return out
+
+
+def _links(groups: DataFrame, sets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Links (a, b) inside groups (name, rep), on the full sets (rep, shingles)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists = group.column("shingles").chunk(0)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        return _pairs(forest(group.column("rep").to_numpy(), group.column("comp").to_numpy(), values, offsets - offsets[0]))
+
+    joined = _labelled(groups, comps).join(sets, "rep").select("name", "rep", "comp", "shingles")
     return joined.groupBy("name").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) with a flag ``linked``, decided on the full shingle sets of the two texts."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-sets")
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(wanted, "id", "left_semi")
+def _comps(links: DataFrame) -> DataFrame:
+    return components(links, "a", "b").select(F.col("id").alias("rep"), "component")
+
+
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after some more links; the old ones are stars already, so few rounds are left."""
+    if more.isEmpty():
+        return comps
+    return _comps(comps.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once: bool) -> DataFrame:
+    """(rep, shingles) of the wanted ids; with ``once`` false, rows that repeat id and text are left out first."""
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep", "left_semi")
+    source = source if once else source.dropDuplicates(["rep", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in W.blocks(batches, "text"):
             hashes, owner = W.shingles(data, offsets, WIDTH)
             sets = W.list_array(pa.array(W.signed(hashes)), np.searchsorted(owner, np.arange(len(offsets))))
-            yield pa.RecordBatch.from_arrays([rows.column(0), sets], ["id", "shingles"])
-
-    sets = stored(source.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingle-sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    n_x, n_y = F.size("x"), F.size("y")
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least(n_x, n_y) >= SIMILARITY * F.greatest(n_x, n_y))
-    common = sized.select("a", "b", (n_x + n_y).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return common.where(100 * F.col("common") >= SIMILARITY * (F.col("total") - F.col("common"))).select("a", "b")
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold more than one component, with the size of their node."""
-    ends = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return members.join(ends.where("low != high").select("node", "size"), "node")
-
-
-def _distinct_lists(members: DataFrame) -> DataFrame:
-    """Small nodes that hold the same sets are compared once."""
-    lists = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rep", "comp"))).alias("all")).select("all").distinct()
-    return lists.select(F.monotonically_increasing_id().alias("name"), "all")
-
-
-def link_classes(classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Confirmed links (a, b) that connect all linked classes (rep, tokens)."""
-    nodes = _first_nodes(classes)
-    hubs = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = stored(nodes.join(hubs, "node").select("node", "rep", "pivot", "size"), "node-members")
-    stars = stored(members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
-    links = stored(confirm(stars, docs, key, text), "star-links")
-
-    comps = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
-    label = lambda df: df.join(comps, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_nodes = stored(_mixed(label(members.where("size > 2").select("node", "rep"))), "mixed-members")
-    small = [_distinct_lists(open_nodes.where(F.col("size") <= SMALL_NODE).select("node", "rep", "comp"))]
-    large = open_nodes.where(F.col("size") > SMALL_NODE)
-    for _ in range(FIRST_DEPTH, DEEPEST):
+            yield pa.RecordBatch.from_arrays([rows.column(0), sets], ["rep", "shingles"])
+
+    return stored(source.mapInArrow(run, "rep bigint, shingles array<bigint>").where("size(shingles) > 0"), "shingle-sets")
+
+
+def _merged(families: DataFrame) -> DataFrame:
+    """(node, rep, size): families that share a set are one, named by one of their sets, so each set is in one family."""
+    lows = families.join(families.groupBy("node").agg(F.min("rep").alias("low")), "node").select("rep", "low").distinct()
+    heads = lows.groupBy("rep").agg(F.min("low").alias("head"))
+    bridges = lows.join(heads, "rep").where("head != low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+    joined = _comps(bridges).withColumnRenamed("rep", "head")
+    named = heads.join(joined, "head", "left").select(F.coalesce("component", "head").alias("node"), "rep")
+    return named.join(named.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
+
+
+def candidate_clusters(classes: DataFrame) -> DataFrame:
+    """(rep, component) of all classes (rep, tokens) that some node pairs with another one."""
+    members = stored(_sized(_first_nodes(classes)), "node-members")
+    groups = _whole(members.where(F.col("size") <= GROUP))
+    large, families = members.where(F.col("size") > GROUP), None
+    for depth in range(FIRST_DEPTH + 1, DEEPEST + 1):
         if large.isEmpty():
             break
-        deeper = stored(_mixed(_next_nodes(large, classes)), "deeper-members")
-        small.append(_distinct_lists(deeper.where(F.col("size") <= SMALL_NODE).select("node", "rep", "comp")))
-        large = deeper.where(F.col("size") > SMALL_NODE)
-    groups = None
-    for part in small:
-        named = part.select(F.xxhash64("all").alias("name"), F.explode("all").alias("at")).select("name", "at.rep", "at.comp").distinct()
-        groups = named if groups is None else groups.unionByName(named).distinct()
-    if not large.isEmpty():
-        blocks = F.ceil(F.col("size") / (SMALL_NODE // 2)).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        rows = large.select("node", "rep", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        name = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-        groups = groups.unionByName(rows.select(name.alias("name"), "rep", "comp").distinct())
-    found = stored(_compare(groups, classes).join(stars, ["a", "b"], "left_anti"), "node-pairs")
-    if found.isEmpty():
-        return links
-    return links.unionByName(confirm(found, docs, key, text))
+        deeper = stored(_sized(_next_nodes(large, classes)), "deeper-members")
+        groups = groups.unionByName(_whole(deeper.where(F.col("size") <= GROUP)))
+        big = deeper.where(F.col("size") > GROUP)
+        family = big.where((F.col("size") > FAMILY_SHARE * F.col("parent")) | F.lit(depth == DEEPEST)).select("node", "rep", "size")
+        families = family if families is None else families.unionByName(family)
+        large = big.where(F.col("size") <= FAMILY_SHARE * F.col("parent"))
+    if families is None:
+        return _comps(stored(_sketch_links(groups.distinct(), classes, None), "sketch-links"))
+    one = stored(_merged(families), "families")
+    comps = _comps(stored(_sketch_links(groups.unionByName(_split(one)).distinct(), classes, None), "sketch-links"))
+    return _joined(comps, stored(_sketch_links(stored(_rest(one, comps), "family-rest"), classes, comps), "sketch-links-of-rest"))
+
+
+def linked_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, once: bool) -> DataFrame:
+    """(rep, component) of all linked classes (rep, tokens) but the smallest of each component."""
+    clusters = only(docs.sparkSession, "near-clusters", lambda: candidate_clusters(classes))
+    # Each cluster's own smallest set is not in the table of components.
+    clusters = clusters.unionByName(clusters.select(F.col("component").alias("rep"), "component").distinct())
+    sized = stored(clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("component").alias("node"), "rep", "size"), "clusters")
+    sets = shingle_sets(docs, sized.select("rep"), key, text, once)
+    large = sized.where(F.col("size") > GROUP)
+    groups = sized.where(F.col("size") <= GROUP).select(F.col("node").alias("name"), "rep").unionByName(_split(large))
+    comps = _comps(stored(_links(groups, sets, None), "links"))
+    if large.isEmpty():
+        return comps
+    return _joined(comps, stored(_links(_rest(large, comps), sets, comps), "links-of-rest"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,8 +310,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         usable.join(first, ["mark_a", "mark_b"]).select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens")), "set-classes"
     )
     classes = labelled.where("id = rep").select("rep", "tokens")
-    links = link_classes(classes, docs, key, text)
-    joined = components(links, "a", "b").select(F.col("id").alias("rep"), "component")
+    once = labelled.groupBy("id").count().where("count > 1").isEmpty()
+    joined = only(docs.sparkSession, "near-components", lambda: linked_classes(classes, docs, key, text, once))
     grouped = labelled.select("id", "n_shingles", "rep").join(joined, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where(F.col("id").isNull() | (F.col("n_shingles") == 0)).select("id", "n_shingles", F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
