@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
-from glossmill.llm.tables import stored
+from glossmill.llm.tables import only, stored
 
 CUTS = 3
 LONGEST = 16
@@ -98,6 +98,22 @@ def line_table(docs: DataFrame, key: str, text: str, sentences: bool) -> DataFra
     return source.mapInArrow(run, f"order {kind}, __id string, __mark bigint, hashes array<bigint>, sizes array<int>")
 
 
+SPANS = "__id string, __mark bigint, count int, chunk bigint, firsts array<int>"
+
+
+def _span_rows(batch: pa.RecordBatch, row: np.ndarray, first: np.ndarray, count: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """One row per document and chunk, with all places of the chunk in the document."""
+    order = np.lexsort((first, keys, row))
+    row, first, count, keys = row[order], first[order], count[order], keys[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+    at = np.flatnonzero(fresh)
+    take = pa.array(row[at])
+    firsts = W.list_array(pa.array(first.astype(np.int32)), np.append(at, len(row)))
+    arrays = [*(batch.column(c).take(take) for c in ("order", *KEY)), pa.array(count[at].astype(np.int32)), pa.array(W.signed(keys[at])), firsts]
+    return pa.RecordBatch.from_arrays(arrays, ["order", *KEY, "count", "chunk", "firsts"])
+
+
 def _occurrences(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,28 +123,24 @@ def _occurrences(table: DataFrame) -> DataFrame:
             sizes, _ = _lists(batch, "sizes")
             first, count, keys = chunks(hashes.view(np.uint64), sizes, offsets)
             row = np.searchsorted(offsets, first, "right") - 1
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("order", *KEY)), pa.array((first - offsets[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(W.signed(keys))],
-                ["order", *KEY, "first", "count", "chunk"],
-            )
+            yield _span_rows(batch, row, first - offsets[row], count, keys)
 
     kind = table.schema["order"].dataType.simpleString()
-    return table.mapInArrow(run, f"order {kind}, __id string, __mark bigint, first int, count int, chunk bigint")
+    return table.mapInArrow(run, f"order {kind}, {SPANS}")
 
 
 def _repeated(occurrences: DataFrame, name: str) -> DataFrame:
     """The occurrences of chunks that occur more than once, with ``keep`` true for the first of each."""
-    often = stored(occurrences.groupBy("chunk").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("chunk"), f"{name}-keys")
+    often = stored(occurrences.groupBy("chunk").agg(F.sum(F.size("firsts")).alias("times")).where("times > 1").select("chunk"), f"{name}-keys")
     hits = stored(occurrences.join(often, "chunk"), f"{name}-hits")
-    place = F.struct("order", *KEY, "first")
-    firsts = hits.groupBy("chunk").agg(F.min(place).alias("least"))
-    return hits.join(firsts, "chunk").select(*KEY, "order", "first", "count", (place == F.col("least")).alias("keep"))
+    place = F.struct("order", *KEY)
+    least = hits.groupBy("chunk").agg(F.min(place).alias("least"))
+    return hits.join(least, "chunk").select(*KEY, "firsts", "count", F.when(place == F.col("least"), F.array_min("firsts")).alias("keep"))
 
 
 def _near(table: DataFrame, hits: DataFrame) -> DataFrame:
     """The two-line chunks in and next to repeated chunks."""
-    spots = hits.groupBy(*KEY).agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts"))
+    spots = hits.groupBy(*KEY).agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list(F.transform("firsts", lambda _: F.col("count")))).alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +158,10 @@ def _near(table: DataFrame, hits: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             first = np.flatnonzero(near[:-1] & near[1:] & (row[:-1] == row[1:]))
             keys = W.span_hash(hashes.view(np.uint64), first, first + 2)
-            take = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(take) for c in ("order", *KEY)), pa.array((first - offsets[row[first]]).astype(np.int32)), pa.array(np.full(len(first), 2, np.int32)), pa.array(W.signed(keys))],
-                ["order", *KEY, "first", "count", "chunk"],
-            )
+            yield _span_rows(batch, row[first], first - offsets[row[first]], np.full(len(first), 2), keys)
 
     kind = table.schema["order"].dataType.simpleString()
-    return table.join(spots, KEY).select("order", *KEY, "hashes", "firsts", "counts").mapInArrow(run, f"order {kind}, __id string, __mark bigint, first int, count int, chunk bigint")
+    return table.join(spots, KEY).select("order", *KEY, "hashes", "firsts", "counts").mapInArrow(run, f"order {kind}, {SPANS}")
 
 
 def _unequal(marked: DataFrame, text: str, sentences: bool) -> DataFrame:
@@ -180,19 +188,28 @@ def _unequal(marked: DataFrame, text: str, sentences: bool) -> DataFrame:
     return found.groupBy("line").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low != high").select("line")
 
 
+def repeated_lines(docs: DataFrame, key: str, text: str, sentences: bool) -> DataFrame:
+    """Per document (__id, __mark): the lines in repeated chunks, and those of them that go."""
+    table = stored(line_table(docs, key, text, sentences), "line-hashes")
+    if not table.groupBy(*KEY).count().where("count > 1").isEmpty():
+        table = stored(table.dropDuplicates(KEY), "distinct-line-hashes")
+    hits = stored(_repeated(_occurrences(table), "line-chunks"), "line-chunk-hits")
+    near = _repeated(_near(table, hits), "line-pairs")
+    spans = hits.unionByName(near).select(*KEY, "count", "keep", F.explode("firsts").alias("first"))
+    gone = F.col("keep").isNull() | (F.col("keep") != F.col("first"))
+    each = spans.select(*KEY, gone.alias("gone"), F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("line"))
+    return each.groupBy(*KEY).agg(F.collect_set("line").alias("__lines"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("__gone"))
+
+
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: bool = True) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and the columns ``__n_lines`` and ``__n_removed`` (long)."""
-    table = stored(line_table(docs, key, text, sentences), "line-hashes").dropDuplicates(KEY)
-    hits = stored(_repeated(_occurrences(table), "line-chunks"), "line-chunk-hits")
-    near = _repeated(_near(table, hits.select(*KEY, "first", "count")), "line-pairs")
-    spans = hits.select(*KEY, "first", "count", "keep").unionByName(near.select(*KEY, "first", "count", "keep"))
-    each = spans.select(*KEY, "keep", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("line"))
-    lists = each.groupBy(*KEY).agg(F.collect_set("line").alias("__lines"), F.collect_set(F.when(~F.col("keep"), F.col("line"))).alias("__gone"))
+    lists = only(docs.sparkSession, "repeated-lines", lambda: repeated_lines(docs, key, text, sentences))
     empty = F.array().cast("array<int>")
-    marked = keyed(docs, key, text).join(lists, KEY, "left").withColumns({"__lines": F.coalesce("__lines", empty), "__gone": F.coalesce("__gone", empty)})
+    marked = keyed(docs, key, text).join(lists.hint("merge"), KEY, "left").withColumns({"__lines": F.coalesce("__lines", empty), "__gone": F.coalesce("__gone", empty)})
     marked = stored(marked, "line-marked")
     unequal = stored(_unequal(marked, text, sentences), "unequal-lines")
     if not unequal.isEmpty():
+        table = line_table(docs, key, text, sentences).dropDuplicates(KEY)
         own = table.select(*KEY, F.posexplode("hashes").alias("line", "hash")).join(unequal.withColumnRenamed("line", "hash"), "hash").groupBy(*KEY).agg(F.collect_set("line").alias("__spare"))
         marked = marked.join(own, KEY, "left").withColumn("__gone", F.array_except("__gone", F.coalesce("__spare", empty))).drop("__spare")
     columns = list(docs.columns)
@@ -200,7 +217,7 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in W.blocks(batches, text):
-            start, _, _, _, row = lines(data, offsets, sentences)
+            _, start, _, _, row = lines(data, offsets, sentences)  # a line takes the white space behind it along
             gone, at = _lists(rows, "__gone")
             base = np.searchsorted(row, np.arange(len(offsets)))
             stop = np.append(start[1:], len(data))

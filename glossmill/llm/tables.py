@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# The folders that the innermost ``only`` has to delete.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut and Spark knows the true size of the result."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def only(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``build``, whose own stored tables are deleted once the result is written."""
+    folders: list[str] = []
+    token = _scratch.set(folders)
+    try:
+        made = build()
+    finally:
+        _scratch.reset(token)
+    result = stored(made, name)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result
