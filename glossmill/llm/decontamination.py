@@ -27,7 +27,7 @@ from glossmill.llm.tables import stored
 
 SEED = 5
 COVERAGE = 60
-BITMAP_BITS = 1 << 22
+BITMAP_BITS = 1 << 25
 
 _U = np.uint64
 
@@ -114,7 +114,7 @@ def item_runs(items: DataFrame) -> DataFrame:
 
 
 def _bitmap(runs: DataFrame) -> bytes:
-    """Which of ``BITMAP_BITS`` residues any run has: half a megabyte, however many items there are."""
+    """Which of ``BITMAP_BITS`` residues any run has: four megabytes, however many items there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITMAP_BITS, bool)
@@ -144,13 +144,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        bits = np.frombuffer(shared.value, np.uint8)
         for rows, _, offsets in W.blocks(batches, "text"):
             hashes, row = word_hashes(rows.column("text"))
             hit, owner = [], []
             for width in widths:
                 found, first = W.windows(hashes, row, width)
-                mask = bits[found % _U(BITMAP_BITS)]
+                place = found % _U(BITMAP_BITS)
+                mask = (bits[place >> _U(3)] >> (_U(7) - (place & _U(7))).astype(np.uint8)) & 1 > 0
                 hit.append(found[mask])
                 owner.append(row[first[mask]])
             if not hit or not sum(map(len, hit)):
