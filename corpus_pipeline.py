@@ -17,7 +17,7 @@ from glossmill.llm.line_dedup import remove_repeated
 from glossmill.llm.line_frequency import judge
 from glossmill.llm.near_duplicates import near_duplicates
 from glossmill.llm.packing import pack
-from glossmill.llm.tables import stored, table
+from glossmill.llm.tables import only, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None  # minwise trees, tiles and bins are not SQL; tests/llm compares every stage with brute force
@@ -28,12 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     Rows with equal id, source and text share a verdict; null ids and sources are values like others.
     """
-    numbered = docs.select("doc_id", "source", "text")
     own = {"__id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "__host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__mark": F.xxhash64("text")}
-    marked = numbered.withColumns(own).select(F.to_json(F.struct("__id", "__host", "__mark")).alias("key"), "source", "text")
-    rejected = stored(judge(marked, "key").where("not kept").select("key").distinct(), "rejected")
-    keys = docs.withColumns(own).withColumn("__key", F.to_json(F.struct("__id", "__host", "__mark")))
-    return keys.join(rejected.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
+    marked = docs.withColumns(own).select(F.struct("__id", "__host", "__mark").alias("key"), "source", "text")
+    rejected = only(spark, "rejected", lambda: judge(marked, "key").where("not kept").select("key.*").distinct())
+    # Rejected rows grow with the documents, so the join is never a broadcast.
+    return docs.withColumns(own).join(rejected.hint("merge"), list(own), "left_anti").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -45,9 +44,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group; rows that share an id are one document."""
-    verdict = stored(near_duplicates(docs), "near-verdict")
+    verdict = only(spark, "near-verdict", lambda: near_duplicates(docs))
     gone = verdict.where("not kept").select("doc_id").distinct()
-    left = docs.join(stored(gone, "near-gone"), "doc_id", "left_anti")
+    left = docs.join(stored(gone, "near-gone").hint("merge"), "doc_id", "left_anti")
     twice = stored(verdict.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if twice.isEmpty():
         return left.select(*docs.columns)
@@ -57,8 +56,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = contaminated(docs, table(spark, folder, "benchmark"))
-    return docs.join(stored(hits.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    hits = only(spark, "contaminated", lambda: contaminated(docs, table(spark, folder, "benchmark")).select("doc_id").distinct())
+    return docs.join(hits.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
