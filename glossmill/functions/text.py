@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import SPACE, as_column
 
-# The substitutions of the two cleaners, in the order they apply. S stands for SPACE.
+# The substitutions of the two cleaners, in the order they apply.
 FULL_STEPS = [
-    (r"(?U)S*\(S*sS*\)", "s"),
-    (r"(?U)S*\(S*(or|and)S+([^)]+)S*\)S*", " $1 $2 "),
-    (r"(?U)S*\(S*(or|and|i\.e\.|etc\.)S*\)S*", " $1 "),
-    (r"(?iuU)S*\(S*(ki|m|f|d|pl|sg|lú|giš|kur|uru)S*\)", ""),
-    (r"(?U)S*\(S*[a-z]{1,3}S*\)", ""),
-    (r"(?U)S+", " "),
-    (r"(?U)S+([.,;:!?])", "$1"),
+    (rf"(?U){SPACE}*\({SPACE}*s{SPACE}*\)", "s"),
+    (rf"(?U){SPACE}*\({SPACE}*(or|and){SPACE}+([^)]+){SPACE}*\){SPACE}*", " $1 $2 "),
+    (rf"(?U){SPACE}*\({SPACE}*(or|and|i\.e\.|etc\.){SPACE}*\){SPACE}*", " $1 "),
+    (rf"(?iuU){SPACE}*\({SPACE}*(ki|m|f|d|pl|sg|lú|giš|kur|uru){SPACE}*\)", ""),
+    (rf"(?U){SPACE}*\({SPACE}*[a-z]{{1,3}}{SPACE}*\)", ""),
+    (rf"(?U){SPACE}+", " "),
+    (rf"(?U){SPACE}+([.,;:!?])", "$1"),
     (r"([.,;:!?])(?=[A-Za-z])", "$1 "),
 ]
 LIGHT_STEPS = [
-    (r"(?U)S*\(S*sS*\)S*", "s "),
-    (r"(?U)S*\(S*(or|and)S*\)S*", " $1 "),
-    (r"(?U)S*\(S*(ki|d|m|f|lu|munus)S*\)S*", " "),
-    (r"(?U)S+", " "),
+    (rf"(?U){SPACE}*\({SPACE}*s{SPACE}*\){SPACE}*", "s "),
+    (rf"(?U){SPACE}*\({SPACE}*(or|and){SPACE}*\){SPACE}*", " $1 "),
+    (rf"(?U){SPACE}*\({SPACE}*(ki|d|m|f|lu|munus){SPACE}*\){SPACE}*", " "),
+    (rf"(?U){SPACE}+", " "),
 ]
 
 
@@ -30,7 +30,7 @@ def clean_translation(c: Column | str, level: str = "full") -> Column:
     """Take the editorial marks out of a translation: ``(s)``, ``( or x )``, ``(ki)`` and the like."""
     text = as_column(c)
     for pattern, replacement in {"full": FULL_STEPS, "light": LIGHT_STEPS}[level]:
-        text = F.regexp_replace(text, pattern.replace("S", SPACE), replacement)
+        text = F.regexp_replace(text, pattern, replacement)
     return F.trim(text)
 
 

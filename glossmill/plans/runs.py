@@ -20,7 +20,7 @@ FROM status WHERE phase = 'completed' ORDER BY status.updated_at DESC NULLS LAST
 """)
 def list_runs(spark, folder):
     listed = runs.list_runs(run_status(spark, folder), "completed", 20)
-    return listed.withColumns({"combined": F.round("combined", 6), "updated_at": stamp("updated_at"), "duration": F.replace("duration", F.lit(","), F.lit(""))})
+    return listed.withColumns({"combined": F.round("combined", 6), "updated_at": stamp("updated_at")})
 
 
 @query("name_contains", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
@@ -128,9 +128,12 @@ def pivot_params(spark, folder):
     return runs.pivot_params(params, "run", ["click", "view", "error"])
 
 
+SQL_ERROR = "(regexp_matches(data, '(?i)error|exception|traceback|failed') OR contains(data, '--->'))"
+
+
 @query("log_errors", f"""
 WITH {SQL_LOGS}
-SELECT run, seq, data FROM logs WHERE stream_name = 'stderr' AND regexp_matches(data, '(?i)error|exception|traceback|failed')
+SELECT run, seq, data FROM logs WHERE stream_name = 'stderr' AND {SQL_ERROR}
 """)
 def log_errors(spark, folder):
     return runs.filter_logs(logs(spark, folder), "stderr", errors=True).select("run", "seq", "data")
@@ -146,8 +149,8 @@ def log_counts(spark, folder):
 
 @query("log_windows", f"""
 WITH {SQL_LOGS}
-SELECT run, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS entries, count(*) AS stderr
-FROM logs WHERE stream_name = 'stderr' GROUP BY 1, 2
+SELECT run, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, count(*) AS entries, count(*) FILTER (stream_name = 'stderr') AS stderr
+FROM logs WHERE {SQL_ERROR} GROUP BY 1, 2
 """)
 def log_windows(spark, folder):
     from glossmill.streaming.logs import live_counts

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,17 +101,24 @@ def detect_timeouts(
                 mark(first)
                 yield rows("error", first + seconds * 1000, TIMEOUT_MESSAGE)
             return
-        frame = pd.concat(list(batches), ignore_index=True)
-        frame["_ms"] = frame["at"].map(lambda t: int(t.timestamp() * 1000) if t.tzinfo else int(t.replace(tzinfo=timezone.utc).timestamp() * 1000))
-        first, settled = state.get if state.exists else (int(frame["_ms"].min()), False)
-        first = min(first, int(frame["_ms"].min()))
-        if settled:
+        # One batch of rows at a time: only the earliest update and the earliest terminal status are kept.
+        first, settled = state.get if state.exists else (None, False)
+        ended: tuple[int, str] | None = None
+        for frame in batches:
+            at = pd.to_datetime(frame["at"], utc=True)
+            millis = (at - pd.Timestamp(0, tz="UTC")) // pd.Timedelta(milliseconds=1)
+            first = int(millis.min()) if first is None else min(first, int(millis.min()))
+            final = frame["status"].isin(TERMINAL)
+            if final.any():
+                earliest = int(millis[final].min())
+                found = (earliest, frame["status"][final & (millis == earliest)].min())
+                ended = found if ended is None else min(ended, found)
+        if settled or first is None:
             return
-        ended = frame[frame["status"].isin(TERMINAL)].sort_values(["_ms", "status"])
         deadline = first + seconds * 1000
-        if len(ended) and int(ended["_ms"].iloc[0]) <= deadline:
+        if ended and ended[0] <= deadline:
             mark(first)
-            yield rows(ended["status"].iloc[0], int(ended["_ms"].iloc[0]), None)
+            yield rows(ended[1], ended[0], None)
         elif deadline <= state.getCurrentWatermarkMs():
             mark(first)
             yield rows("error", deadline, TIMEOUT_MESSAGE)

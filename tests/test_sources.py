@@ -45,9 +45,11 @@ def test_types_strict_and_prefix(spark):
     assert schema.type_report(huge).first().type == "REAL"
 
 
-def test_prefix_types_come_from_the_first_hundred_rows(spark):
+def test_types_come_from_all_rows_unless_a_sample_is_asked_for(spark):
     df = spark.createDataFrame([(str(i) if i < 150 else "x",) for i in range(200)], "a string").coalesce(1)
-    typed = schema.infer_types(df, compat="prefix")
+    for compat in ("prefix", "strict"):
+        assert schema.infer_types(df, compat=compat).where("a = 'x'").count() == 50
+    typed = schema.infer_types(df, sample=100, compat="prefix")
     assert typed.where("a is null").count() == 50 and typed.schema["a"].dataType.simpleString() == "bigint"
 
 

@@ -109,3 +109,12 @@ def test_stream_formats(spark, tmp_path, drain):
     for kind, folder in (("parquet", "p"), ("csv", "c")):
         rows = drain(stream_any(spark, str(tmp_path / folder), "id long", kind), "append", f"rows_{kind}")
         assert sorted(rows) == [(0,), (1,), (2,)]
+
+
+def test_latest_state_with_a_map_of_metrics(spark):
+    """Maps have no order: they are carried along and decide no tie."""
+    schema = "run string, phase string, updated_at timestamp, metrics map<string,double>"
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    updates = spark.createDataFrame([("a", "training", early, {"bleu": 1.0}), ("a", "completed", late, {"bleu": 2.0}), ("b", "training", late, None)], schema)
+    found = {r.run: (r.phase, r.metrics, r.finished) for r in status.latest_state(updates).collect()}
+    assert found == {"a": ("completed", {"bleu": 2.0}, True), "b": ("training", None, False)}
