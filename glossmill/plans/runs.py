@@ -61,11 +61,11 @@ def search_runs(spark, folder):
 
 @query("older_than", f"""
 WITH {SQL_STATUS}
-SELECT run, phase FROM status WHERE updated_at IS NULL OR epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(updated_at) >= 3 * 86400000000
+SELECT run, phase FROM status WHERE updated_at IS NULL OR epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(updated_at) >= 1 * 86400000000
 """)
 def older_than(spark, folder):
-    moment = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return runs.older_than(run_status(spark, folder), 3, moment).select("run", "phase")
+    moment = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return runs.older_than(run_status(spark, folder), 1, moment).select("run", "phase")
 
 
 @query("gate_completed", f"""
