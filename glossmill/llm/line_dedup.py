@@ -1,12 +1,12 @@
-"""Removal of passages that repeat across a corpus, by content-defined chunks of lines.
+"""Removal of passages that repeat across a corpus, by all short runs of lines.
 
 A line ends at a line feed and, unless ``sentences=False``, also after ``.``, ``!`` or ``?`` before white space, since
-corpora carry repeated passages inside longer lines. Lines are hashed without the white space around them. A rolling
-hash over line hashes decides alone, from what stands there, whether a chunk begins at a line, so that text put in
-front shifts no boundary. ``CUTS`` independent choices of boundaries make it likely that some chunk lies inside a short
-passage. Chunks of two lines or more that occur twice or more in the corpus are repeated; next to them, two-line chunks
-refine where the passage begins and ends. Of each repeated chunk the first occurrence, by key and place, stays; the
-others go, once all lines of equal hash in them are found equal byte for byte.
+corpora carry repeated passages inside longer lines. Lines are hashed without the white space around them. A chunk is
+the shortest run of two lines or more with ``MIN_WORDS`` words that begins, or that ends, at a line: mostly every two
+lines. It depends on the lines inside it alone, so every line of a repeated passage of two lines and ``MIN_WORDS`` words
+lies in a chunk inside the passage, whatever stands around it; none is missed. Chunks that occur twice or more in the
+corpus are repeated. Of each the first occurrence, by key and place, stays; the others go, once all lines of equal hash
+in them are found equal byte for byte.
 
 Defined cases: null texts stay null, empty ones empty; rows that repeat both key and text count as one document and are
 changed alike; a null key sorts first; a document whose lines all go is left with an empty text; an empty table gives an
@@ -25,10 +25,7 @@ from pyspark.sql import functions as F
 from glossmill.llm import words as W
 from glossmill.llm.tables import only, stored
 
-CUTS = 3
-LONGEST = 16
 MIN_WORDS = 8
-AROUND = 4
 SPACES = b" \t\n\x0b\x0c\r"
 
 _U = np.uint64
@@ -49,25 +46,19 @@ def lines(data: np.ndarray, offsets: np.ndarray, sentences: bool = True) -> tupl
 
 
 def chunks(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first line, lines, key) of all multi-line chunks over rows of line hashes, from all choices of boundaries."""
+    """(first line, lines, key) of the shortest runs of two lines or more with ``MIN_WORDS`` words from and up to every line of each row."""
     n = len(hashes)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    words_before = np.concatenate([[0], np.cumsum(sizes)])
-    for cut in range(CUTS):
-        begins = (W.mix(hashes ^ _U(0x9E3779B97F4A7C15 * (cut + 1) % 2**64)) & _U(1)) == 0
-        at = np.union1d(np.flatnonzero(begins), offsets[:-1][offsets[:-1] < n])
-        stop = np.append(at[1:], n)
-        for k in np.flatnonzero(stop - at > LONGEST):  # rare: long runs without a boundary
-            more = np.arange(at[k], stop[k], LONGEST)
-            out.append((more, np.minimum(more + LONGEST, stop[k])))
-        fits = (stop - at >= 2) & (stop - at <= LONGEST)
-        out.append((at[fits], stop[fits]))
-    first, last = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-    pair = np.unique(np.stack([first, last], 1), axis=0)
-    first, last = pair[:, 0], pair[:, 1]
-    fits = (last - first >= 2) & (words_before[last] - words_before[first] >= MIN_WORDS)
-    first, last = first[fits], last[fits]
-    return first, last - first, W.span_hash(hashes, first, last)
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    line = np.arange(n)
+    row = np.searchsorted(offsets, line, "right") - 1
+    ahead = np.maximum(np.searchsorted(before, before[:-1] + MIN_WORDS), line + 2)
+    back = np.minimum(np.searchsorted(before, before[1:] - MIN_WORDS, "right") - 1, line - 1)
+    fits, also = ahead <= offsets[row + 1], back >= offsets[row]
+    first, last = np.concatenate([line[fits], back[also]]), np.concatenate([ahead[fits], line[also] + 1])
+    # A line has a word at least, so that a run has at most MIN_WORDS lines.
+    code = np.unique(first * (MIN_WORDS + 2) + last - first)
+    first, count = code // (MIN_WORDS + 2), code % (MIN_WORDS + 2)
+    return first, count, W.span_hash(hashes, first, first + count)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -98,70 +89,69 @@ def line_table(docs: DataFrame, key: str, text: str, sentences: bool) -> DataFra
     return source.mapInArrow(run, f"order {kind}, __id string, __mark bigint, hashes array<bigint>, sizes array<int>")
 
 
-SPANS = "__id string, __mark bigint, count int, chunk bigint, firsts array<int>"
-
-
-def _span_rows(batch: pa.RecordBatch, row: np.ndarray, first: np.ndarray, count: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """One row per document and chunk, with all places of the chunk in the document."""
-    order = np.lexsort((first, keys, row))
-    row, first, count, keys = row[order], first[order], count[order], keys[order]
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
-    at = np.flatnonzero(fresh)
-    take = pa.array(row[at])
-    firsts = W.list_array(pa.array(first.astype(np.int32)), np.append(at, len(row)))
-    arrays = [*(batch.column(c).take(take) for c in ("order", *KEY)), pa.array(count[at].astype(np.int32)), pa.array(W.signed(keys[at])), firsts]
-    return pa.RecordBatch.from_arrays(arrays, ["order", *KEY, "count", "chunk", "firsts"])
-
-
 def _occurrences(table: DataFrame) -> DataFrame:
+    """One row per document and chunk, with the number of its places in the document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, offsets = _lists(batch, "hashes")
             if not len(hashes):
                 continue
-            sizes, _ = _lists(batch, "sizes")
-            first, count, keys = chunks(hashes.view(np.uint64), sizes, offsets)
+            first, _, keys = chunks(hashes.view(np.uint64), _lists(batch, "sizes")[0], offsets)
             row = np.searchsorted(offsets, first, "right") - 1
-            yield _span_rows(batch, row, first - offsets[row], count, keys)
+            order = np.lexsort((keys, row))
+            row, keys = row[order], keys[order]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+            at = np.flatnonzero(fresh)
+            times = np.diff(np.append(at, len(row)))
+            yield pa.RecordBatch.from_arrays([batch.column("rank").take(pa.array(row[at])), pa.array(W.signed(keys[at])), pa.array(times.astype(np.int32))], ["rank", "chunk", "times"])
+
+    return table.mapInArrow(run, "rank bigint, chunk bigint, times int")
 
-    kind = table.schema["order"].dataType.simpleString()
-    return table.mapInArrow(run, f"order {kind}, {SPANS}")
 
+def _repeated(occurrences: DataFrame) -> DataFrame:
+    """Per document: the chunks that occur more than once, as those that occur here first and those that do not."""
+    least = occurrences.groupBy("chunk").agg(F.sum("times").alias("all"), F.min("rank").alias("least")).where("all > 1").select("chunk", "least")
+    hits = occurrences.select("chunk", "rank").join(stored(least, "line-chunks"), "chunk")
+    here = F.col("rank") == F.col("least")
+    return hits.groupBy("rank").agg(F.collect_list(F.when(here, F.col("chunk"))).alias("here"), F.collect_list(F.when(~here, F.col("chunk"))).alias("earlier"))
 
-def _repeated(occurrences: DataFrame, name: str) -> DataFrame:
-    """The occurrences of chunks that occur more than once, with ``keep`` true for the first of each."""
-    often = stored(occurrences.groupBy("chunk").agg(F.sum(F.size("firsts")).alias("times")).where("times > 1").select("chunk"), f"{name}-keys")
-    hits = stored(occurrences.join(often, "chunk"), f"{name}-hits")
-    place = F.struct("order", *KEY)
-    least = hits.groupBy("chunk").agg(F.min(place).alias("least"))
-    return hits.join(least, "chunk").select(*KEY, "firsts", "count", F.when(place == F.col("least"), F.array_min("firsts")).alias("keep"))
 
+def _marked(first: np.ndarray, count: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, offsets) per row of the lines in the given runs."""
+    depth = np.zeros(offsets[-1] + 1, np.int64)
+    np.add.at(depth, first, 1)
+    np.add.at(depth, first + count, -1)
+    line = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+    at = np.searchsorted(line, offsets)
+    return line - np.repeat(offsets[:-1], np.diff(at)), at
 
-def _near(table: DataFrame, hits: DataFrame) -> DataFrame:
-    """The two-line chunks in and next to repeated chunks."""
-    spots = hits.groupBy(*KEY).agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list(F.transform("firsts", lambda _: F.col("count")))).alias("counts"))
+
+def _lines_of(table: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Per document the lines in repeated chunks, and those of them in a chunk that came before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashes, offsets = _lists(batch, "hashes")
-            firsts, at = _lists(batch, "firsts")
-            counts, _ = _lists(batch, "counts")
-            base = np.repeat(offsets[:-1], np.diff(at))
-            top = np.repeat(offsets[1:], np.diff(at))
-            depth = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(depth, np.maximum(base + firsts - AROUND, base), 1)
-            np.add.at(depth, np.minimum(base + firsts + counts + AROUND, top), -1)
-            near = np.cumsum(depth[:-1]) > 0
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            first = np.flatnonzero(near[:-1] & near[1:] & (row[:-1] == row[1:]))
-            keys = W.span_hash(hashes.view(np.uint64), first, first + 2)
-            yield _span_rows(batch, row[first], first - offsets[row[first]], np.full(len(first), 2), keys)
-
-    kind = table.schema["order"].dataType.simpleString()
-    return table.join(spots, KEY).select("order", *KEY, "hashes", "firsts", "counts").mapInArrow(run, f"order {kind}, {SPANS}")
+            first, count, keys = chunks(hashes.view(np.uint64), _lists(batch, "sizes")[0], offsets)
+            row = np.searchsorted(offsets, first, "right") - 1
+            (here, here_at), (earlier, earlier_at) = _lists(batch, "here"), _lists(batch, "earlier")
+            # Rows and keys as one exact number, since a key may be repeated in one row and not in another.
+            code = np.unique(np.concatenate([keys, here.view(np.uint64), earlier.view(np.uint64)]), return_inverse=True)[1] * batch.num_rows
+            own = code[: len(keys)] + row
+            own_here = code[len(keys) : len(keys) + len(here)] + np.repeat(np.arange(batch.num_rows), np.diff(here_at))
+            own_earlier = code[len(keys) + len(here) :] + np.repeat(np.arange(batch.num_rows), np.diff(earlier_at))
+            again = np.ones(len(own), bool)
+            again[np.unique(own, return_index=True)[1]] = False  # chunks are in the order of their first lines
+            kept, came = np.isin(own, own_here), np.isin(own, own_earlier)
+            gone = came | (kept & again)
+            lists = [W.list_array(pa.array(line.astype(np.int32)), at) for line, at in (_marked(first[x], count[x], offsets) for x in (kept | came, gone))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), *lists], [*KEY, "__lines", "__gone"])
+
+    return table.join(repeated, "rank").select(*KEY, "hashes", "sizes", "here", "earlier").mapInArrow(run, "__id string, __mark bigint, __lines array<int>, __gone array<int>")
 
 
 def _unequal(marked: DataFrame, text: str, sentences: bool) -> DataFrame:
@@ -193,12 +183,10 @@ def repeated_lines(docs: DataFrame, key: str, text: str, sentences: bool) -> Dat
     table = stored(line_table(docs, key, text, sentences), "line-hashes")
     if not table.groupBy(*KEY).count().where("count > 1").isEmpty():
         table = stored(table.dropDuplicates(KEY), "distinct-line-hashes")
-    hits = stored(_repeated(_occurrences(table), "line-chunks"), "line-chunk-hits")
-    near = _repeated(_near(table, hits), "line-pairs")
-    spans = hits.unionByName(near).select(*KEY, "count", "keep", F.explode("firsts").alias("first"))
-    gone = F.col("keep").isNull() | (F.col("keep") != F.col("first"))
-    each = spans.select(*KEY, gone.alias("gone"), F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("line"))
-    return each.groupBy(*KEY).agg(F.collect_set("line").alias("__lines"), F.collect_set(F.when(F.col("gone"), F.col("line"))).alias("__gone"))
+    # Documents in order, so that one number stands for what orders them.
+    ranked = table.repartitionByRange("order", *KEY).sortWithinPartitions("order", *KEY).withColumn("rank", F.monotonically_increasing_id())
+    ranked = stored(ranked.select("rank", *KEY, "hashes", "sizes"), "ranked-line-hashes")
+    return _lines_of(ranked, _repeated(_occurrences(ranked)))
 
 
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 
 from glossmill.llm import near_duplicates as N
 from glossmill.llm.components import components
-from glossmill.llm.line_dedup import lines, remove_repeated
+from glossmill.llm.line_dedup import MIN_WORDS, chunks, lines, remove_repeated
 from glossmill.llm.near_duplicates import near_duplicates
 
 
@@ -115,3 +115,32 @@ def test_rows_with_equal_key_and_text_are_one_document(spark):
     for r in remove_repeated(docs).collect():
         by_key[r.doc_id].add(r.text)
     assert by_key[1] == {text}
+
+
+def test_short_passages_in_two_documents_go_once(spark):
+    """Passages of two, three and four sentences, with other sentences around them in each document."""
+    rng = np.random.default_rng(11)
+    own = lambda n: [" ".join(f"w{rng.integers(10**9)}" for _ in range(rng.integers(4, 9))) + "." for _ in range(n)]
+    rows, planted = [], []
+    for k in range(90):
+        passage = own(2 + k % 3)
+        planted.append(passage)
+        rows += [(2 * k + j, own(3), passage, own(3)) for j in range(2)]
+    few = ["Yes it is.", "No.", "Oh.", "He went away then.", "Why?"]
+    rows += [(1000 + j, own(2), few, own(2)) for j in range(3)]
+    docs = spark.createDataFrame([(k, " ".join(a + p + b)) for k, a, p, b in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in remove_repeated(docs).collect()}
+    for k, a, p, b in rows:
+        first = k in (1000,) or (k < 1000 and k % 2 == 0)
+        assert got[k] == " ".join(a + (p if first else []) + b)
+
+
+def test_chunks_equal_brute_force():
+    rng = np.random.default_rng(12)
+    sizes, offsets = rng.integers(1, 7, 300), np.array([0, 0, 1, 3, 40, 41, 200, 300])
+    want = set()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        fits = [(x, y) for x in range(a, b) for y in range(x + 2, b + 1) if sizes[x:y].sum() >= MIN_WORDS]
+        want |= {min(f for f in fits if f[0] == x) for x, _ in fits} | {max(f for f in fits if f[1] == y) for _, y in fits}
+    first, count, _ = chunks(np.arange(300).astype(np.uint64), sizes, offsets)
+    assert set(zip(first.tolist(), (first + count).tolist())) == want and len(first) == len(want)
