@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays in shared files.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and kept as sorted hash arrays in shared files.
 
 Tokens are words (A-Z lower-cased) and one end per text; the first token's context is the beginning. Words are 48-bit
 hashes. Counting: tasks count words and pairs of about ``CHUNK`` tokens and send them on as packed arrays by shard; a
@@ -7,6 +7,12 @@ context figures are complete there; words with more than a share of a shard's to
 pair's hash, and their context figures, few numbers for few words, are added up apart. The number of shards follows the
 size of the corpus, so a shard stays bounded. Workers map the files into memory and look up sorted, distinct hashes.
 
+For order 3, triples are counted first, in the shard of their middle word, where their contexts and the number of words
+before each pair are complete; a frequent middle word has several shards, by the triple's hash, and what they find is
+added up by a further shuffle. The pair level then counts the distinct words before a pair; before a pair that begins a
+text nothing stands, so that its occurrences count. The first token of a text has a pair only. Counts are bytes with
+the few large ones aside.
+
 Files lie in the folder of ``spark.checkpoint.dir``. If that is mounted on the executors (a path or ``file:``) they are
 memory-mapped; from other stores a shard is read into memory through ``pyarrow.fs``.
 
@@ -16,6 +22,7 @@ unseen one; repeated rows count and are scored as often as they come; null keys
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -25,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
-from glossmill.llm.tables import shared_folder, stored
+from glossmill.llm.tables import only, shared_folder, stored
 
 CHUNK = 2_000_000
 SHARD_TOKENS = 1 << 20
 HOT_SHARE = 0.25  # of a shard's tokens
 BLOCK = 1 << 22
-END, BEGIN = 1, 2  # word numbers that no word has: word hashes are forced above them
+NONE, END, BEGIN = 0, 1, 2  # word numbers that no word has: word hashes are forced above them
 
 _U = np.uint64
 
@@ -46,17 +53,45 @@ def text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.insert(numbers, last, _U(END)), np.concatenate([[0], last + np.arange(1, n + 1)])
 
 
-def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+def contexts(tokens: np.ndarray, first: np.ndarray, back: int = 1) -> np.ndarray:
+    """The token ``back`` places before each: the beginning just before a row's first token, nothing before that."""
     before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = BEGIN
+    before[back:] = tokens[:-back]
+    for k in range(back):
+        at = first[:-1] + k
+        before[at[at < first[1:]]] = BEGIN if k == back - 1 else NONE
     return before
 
 
+def histories(tokens: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """The tokens before each token, from the farthest to the nearest."""
+    return tuple(contexts(tokens, first, back) for back in range(order - 1, 0, -1))
+
+
 def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(before) + tokens * _U(0x9E3779B97F4A7C15))
 
 
+def gram_keys(outer: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return pair_keys(pair_keys(outer, before), tokens)
+
+
+def pack_counts(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, padded to 64-bit numbers; places and values of those above 254."""
+    small = np.zeros(-(-len(counts) // 8) * 8, np.uint8)
+    small[: len(counts)] = np.minimum(counts, 255)
+    large = np.flatnonzero(counts >= 255)
+    return [small.view(np.int64), large, counts[large]]
+
+
+def unpack_counts(arrays: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    small, large, values = arrays
+    out = small.view(np.uint8)[place].astype(np.int64)
+    more = np.flatnonzero(out == 255)
+    out[more] = values[np.searchsorted(large, place[more])]
+    return out
+
+
 def pack48(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -87,17 +122,27 @@ def _pair_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int
     return own
 
 
+def _gram_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, parts: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of the middle word; a hot one has 2 ** parts shards in a row, by the triple's hash."""
+    own = _word_shard(before, bits)
+    at = np.minimum(np.searchsorted(hot, before), len(hot) - 1)
+    spread = hot[at] == before
+    part = (keys[spread] >> _U(1)) >> (63 - parts[at[spread]]).astype(np.uint64)
+    own[spread] = (own[spread] + part.astype(np.int64)) & ((1 << bits) - 1)
+    return own
+
+
 def _by_shard(shard: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(count + 1))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _chunks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[np.ndarray, ...]]:
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for _, data, offsets in W.blocks(batches, "text"):
         tokens, first = text_tokens(data, offsets)
-        held.append((contexts(tokens, first), tokens))
+        held.append((*histories(tokens, first, order), tokens))
         size += len(tokens)
         if size >= CHUNK:
             yield tuple(np.concatenate(x) for x in zip(*held))
@@ -111,7 +156,7 @@ WORDS = "shard int, words binary, counts binary, also binary"
 
 def _count_words(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches):
+        for (tokens,) in _chunks(batches, 1):
             words, counts = np.unique(tokens, return_counts=True)
             at = np.searchsorted(_word_shard(words, bits), np.arange((1 << bits) + 1))
             rows = [(s, pack48(words[a:b]), counts[a:b].astype(np.uint32).tobytes(), None) for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if b > a]
@@ -122,7 +167,7 @@ def _count_words(texts: DataFrame, bits: int) -> DataFrame:
 
 def _count_pairs(texts: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for before, tokens in _chunks(batches):
+        for before, tokens in _chunks(batches, 2):
             keys, first, counts = np.unique(pair_keys(before, tokens), return_index=True, return_counts=True)
             before, tokens = before[first], tokens[first]
             order, at = _by_shard(_pair_shard(before, keys, hot, bits), 1 << bits)
@@ -134,6 +179,29 @@ def _count_pairs(texts: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
     return texts.mapInArrow(run, WORDS)
 
 
+GRAMS = pa.schema([("shard", pa.int32()), ("outer", pa.binary()), ("words", pa.binary()), ("also", pa.binary()), ("counts", pa.binary())])
+
+
+def _count_grams(texts: DataFrame, hot: np.ndarray, parts: np.ndarray, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for outer, before, tokens in _chunks(batches, 3):
+            keys, first, counts = np.unique(gram_keys(outer, before, tokens), return_index=True, return_counts=True)
+            outer, before, tokens = outer[first], before[first], tokens[first]
+            shard = _gram_shard(before, keys, hot, parts, bits)
+            order = np.lexsort((outer, before, shard))  # equal words in a row take little room
+            at = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+            for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if b > a:
+                    take = order[a:b]
+                    yield pa.RecordBatch.from_pylist([{"shard": s, "outer": pack48(outer[take]), "words": pack48(before[take]), "also": pack48(tokens[take]), "counts": counts[take].astype(np.uint32).tobytes()}], GRAMS)
+
+    return texts.mapInArrow(run, "shard int, outer binary, words binary, also binary, counts binary")
+
+
+def _kinds(counts: np.ndarray) -> list[np.ndarray]:
+    return [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
@@ -192,8 +260,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(found))
 
 
-def train(docs: DataFrame, text: str = "text") -> dict:
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
     """Counts the texts, writes the arrays and returns the model's few numbers and its folder."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is not 2 or 3")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
@@ -204,12 +274,64 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     def merge_words(group: pa.Table) -> pa.Table:
         words, counts = _merge(unpack48(group.column("words").to_pylist()), np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64))
         shard = group.column("shard")[0].as_py()
-        return pa.table({"shard": pa.array([shard], pa.int32()), "words": [pack48(words)], "counts": [counts.tobytes()], "hot": pa.array([words[counts > limit].astype(np.int64).tolist()], pa.list_(pa.int64())), "total": [int(counts.sum())], "distinct": [len(words)]})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "words": [pack48(words)], "counts": [counts.tobytes()], "hot": pa.array([words[counts > limit].astype(np.int64).tolist()], pa.list_(pa.int64())), "often": pa.array([counts[counts > limit].tolist()], pa.list_(pa.int64())), "total": [int(counts.sum())], "distinct": [len(words)]})
 
-    words = stored(_count_words(texts, bits).groupBy("shard").applyInArrow(merge_words, "shard int, words binary, counts binary, hot array<bigint>, total bigint, distinct bigint"), "lm-words")
+    words = stored(_count_words(texts, bits).groupBy("shard").applyInArrow(merge_words, "shard int, words binary, counts binary, hot array<bigint>, often array<bigint>, total bigint, distinct bigint"), "lm-words")
     total, distinct = words.agg(F.sum("total"), F.sum("distinct")).first()
     # Fewer hot words than four times the shards: each has a quarter of a shard's tokens.
-    hot = np.array(sorted({BEGIN, *(r[0] for r in words.select(F.explode("hot")).collect())}), np.uint64)
+    often = dict(words.select(F.explode(F.arrays_zip("hot", "often")).alias("x")).select("x.*").collect()) | {BEGIN: size[1]}
+    hot = np.array(sorted(often), np.uint64)
+    parts = np.array([min(bits, max(0, int(np.ceil(np.log2(max(often[w], 1) / limit))))) for w in hot.tolist()], np.int64)
+
+    def merge_grams(group: pa.Table) -> pa.Table:
+        outer, before, tokens = (unpack48(group.column(c).to_pylist()) for c in ("outer", "words", "also"))
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        keys = gram_keys(outer, before, tokens)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts, order = keys[at], np.add.reduceat(counts[order], at), order[at]
+        outer, before, tokens = outer[order], before[order], tokens[order]
+        inner = before != BEGIN
+        own = counts[inner]
+        owner, *sums, spread = _merge(pair_keys(outer[inner], before[inner]), own, *_kinds(own), np.isin(before[inner], hot).astype(np.int64))
+        whole = spread == 0
+        shard = group.column("shard")[0].as_py()
+        write_file(folder, f"grams-{shard}", [keys[inner], *pack_counts(own), owner[whole], *(a for x in sums for a in pack_counts(x[whole]))])
+        figures = [(f"grams-{k}", 0, int((own == k).sum())) for k in range(1, 5)] + [("grams", 0, len(own))]
+        owner, sums = owner[~whole], np.stack([x[~whole] for x in sums], 1)
+        cut = np.searchsorted(owner >> _U(1), np.arange(shards + 1, dtype=np.uint64) << _U(63 - bits))
+        partial = [(s, owner[a:b].tobytes(), sums[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        # One for every word before a pair; a pair that begins a text counts as often as it occurs.
+        key, first = np.unique(pair_keys(before, tokens), return_index=True)
+        _, times = _merge(pair_keys(before, tokens), np.where(inner, 1, counts))
+        take, cut = _by_shard(_pair_shard(before[first], key, hot, bits), shards)
+        pairs = [(s, pack48(before[first[take[a:b]]]), times[take[a:b]].astype(np.uint32).tobytes(), pack48(tokens[first[take[a:b]]])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        tables = [
+            pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), **{n: pa.array([r[k + 1] for r in rows], pa.binary()) for k, n in enumerate(names)}})
+            for rows, names in ((pairs, ("words", "counts", "also")), (partial, ("contexts", "sums")))
+        ]
+        return pa.concat_tables([*tables, _figures(figures)], promote_options="default").select(["shard", "words", "counts", "also", "contexts", "sums", "name", "word", "value"])
+
+    def merge_contexts(group: pa.Table) -> pa.Table:
+        owner = np.frombuffer(b"".join(group.column("contexts").to_pylist()), np.uint64)
+        sums = np.frombuffer(b"".join(group.column("sums").to_pylist()), np.int64).reshape(-1, 4)
+        shard = group.column("shard")[0].as_py()
+        owner, *sums = _merge(owner, *sums.T)
+        write_file(folder, f"contexts-{shard}", [owner, *(a for x in sums for a in pack_counts(x))])
+        return pa.table({"n": [len(owner)]})
+
+    own_figures: list = []
+
+    def counted() -> DataFrame:
+        if order == 2:
+            return _count_pairs(texts, hot, bits)
+        grams = stored(_count_grams(texts, hot, parts, bits).groupBy("shard").applyInArrow(merge_grams, f"{WORDS}, contexts binary, sums binary, {FIGURES}"), "lm-grams")
+        gc.collect()  # lets Spark delete the shuffled triples
+        spark._jvm.System.gc()
+        own_figures.extend(grams.where("name is not null").groupBy("name").agg(F.sum("value")).collect())
+        grams.where("contexts is not null").select("shard", "contexts", "sums").groupBy("shard").applyInArrow(merge_contexts, "n bigint").agg(F.sum("n")).collect()
+        return grams.where("words is not null").select("shard", "words", "counts", "also")
 
     def merge_pairs(group: pa.Table) -> pa.Table:
         before, tokens = unpack48(group.column("words").to_pylist()), unpack48(group.column("also").to_pylist())
@@ -219,10 +341,9 @@ def train(docs: DataFrame, text: str = "text") -> dict:
         keys, before, tokens, counts = keys[order], before[order], tokens[order], counts[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, before, tokens, counts = keys[at], before[at], tokens[at], np.add.reduceat(counts, at)
-        ones = [(counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts > 2).astype(np.int64)]
-        owner, *sums = _merge(before, counts, *ones)
+        owner, *sums = _merge(before, counts, *_kinds(counts))
         shard = group.column("shard")[0].as_py()
-        write_file(folder, f"pairs-{shard}", [keys, counts, owner, *sums])
+        write_file(folder, f"pairs-{shard}", [keys, *pack_counts(counts), owner, *sums])
         figures = [(f"pairs-{k}", 0, int((counts == k).sum())) for k in range(1, 5)] + [("pairs", 0, len(counts))]
         for k in np.flatnonzero(np.isin(owner, hot)).tolist():
             figures += [(f"hot-{j}", int(owner[k]), int(s[k])) for j, s in enumerate(sums)]
@@ -232,7 +353,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
         packed = pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
         return pa.concat_tables([packed, _figures(figures)], promote_options="default").select(["shard", "words", "counts", "name", "word", "value"])
 
-    merged = stored(_count_pairs(texts, hot, bits).groupBy("shard").applyInArrow(merge_pairs, f"shard int, words binary, counts binary, {FIGURES}"), "lm-pairs")
+    merged = only(spark, "lm-pairs", lambda: counted().groupBy("shard").applyInArrow(merge_pairs, f"shard int, words binary, counts binary, {FIGURES}"))
 
     def finish(group: pa.Table) -> pa.Table:
         kind, shard = group.column("kind").to_numpy(), group.column("shard")[0].as_py()
@@ -247,12 +368,14 @@ def train(docs: DataFrame, text: str = "text") -> dict:
     both = words.select("shard", F.lit(0).alias("kind"), "words", "counts").unionByName(merged.where("words is not null").select("shard", F.lit(1).alias("kind"), "words", "counts"))
     figures = stored(both.groupBy("shard").applyInArrow(finish, FIGURES), "lm-figures").unionByName(merged.where("name is not null").select("name", "word", "value"))
     sums = {(r[0], r[1]): r[2] for r in figures.groupBy("name", "word").agg(F.sum("value")).collect()}
+    sums |= {(name, 0): value for name, value in own_figures}
     get = lambda name: sums.get((name, 0), 0)
     hot_figures = np.array([[sums.get((f"hot-{j}", int(w)), 0) for j in range(4)] for w in hot], np.float64).reshape(-1, 4)
     lower = discounts(*(get(f"words-{k}") for k in range(1, 5)))
     pairs = get("pairs")
     left = (lower[0] * get("words-1") + lower[1] * get("words-2") + lower[2] * get("words-more")) / pairs if pairs else 1.0
-    return {"folder": folder, "bits": bits, "tokens": total or 0, "words": distinct or 0, "pairs": pairs, "hot": hot, "hot_figures": hot_figures, "discounts": discounts(*(get(f"pairs-{k}") for k in range(1, 5))), "lower": lower, "left": left}
+    grams = {"parts": parts, "triples": get("grams"), "higher": discounts(*(get(f"grams-{k}") for k in range(1, 5)))}
+    return {**grams, "order": order, "folder": folder, "bits": bits, "tokens": total or 0, "words": distinct or 0, "pairs": pairs, "hot": hot, "hot_figures": hot_figures, "discounts": discounts(*(get(f"pairs-{k}") for k in range(1, 5))), "lower": lower, "left": left}
 
 
 def _file(folder: str, name: str) -> list[np.ndarray]:
@@ -267,7 +390,7 @@ def _file(folder: str, name: str) -> list[np.ndarray]:
     return cache[folder, name]
 
 
-def _find(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int, at: int, columns: list[int]) -> list[np.ndarray]:
+def _find(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int, at: int, columns: list[int], packed: bool = False) -> list[np.ndarray]:
     """Values of sorted distinct keys from the arrays of their shards; 0 where a key is missing."""
     out = [np.zeros(len(keys), np.int64) for _ in columns]
     order, edges = _by_shard(shard, count)
@@ -280,7 +403,7 @@ def _find(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: in
         place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
         hit = known[place] == keys[rows]
         for o, c in zip(out, columns):
-            o[rows[hit]] = arrays[c][place[hit]]
+            o[rows[hit]] = unpack_counts(arrays[c : c + 3], place[hit]) if packed else arrays[c][place[hit]]
     return out
 
 
@@ -288,22 +411,43 @@ def _discount(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *by])[np.minimum(counts, 3)]
 
 
-def score_tokens(model: dict, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, training count) of every token."""
+def _gram_scores(model: dict, outer: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(discounted probability, weight of the pair level) of every token."""
+    folder, bits, shards, hot = model["folder"], model["bits"], 1 << model["bits"], model["hot"]
+    owner, first, owner_of = np.unique(pair_keys(outer, before), return_index=True, return_inverse=True)
+    middle = before[first]
+    spread = np.isin(middle, hot)
+    figures = np.zeros((4, len(owner)))
+    for own, kind, shard, at, columns in ((~spread, "grams", _word_shard(middle, bits), 4, [5, 8, 11, 14]), (spread, "contexts", ((owner >> _U(1)) >> _U(63 - bits)).astype(np.int64), 0, [1, 4, 7, 10])):
+        figures[:, own] = np.stack(_find(folder, kind, shard[own], owner[own], shards, at, columns, packed=True))
+    total = figures[0]
+    weight = np.where(total > 0, (np.array(model["higher"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
+    key, first, key_of = np.unique(gram_keys(outer, before, tokens), return_index=True, return_inverse=True)
+    (gram,) = _find(folder, "grams", _gram_shard(before[first], key, hot, model["parts"], bits), key, shards, 0, [1], packed=True)
+    return (gram - _discount(gram, model["higher"]))[key_of] / np.maximum(total, 1)[owner_of], weight[owner_of]
+
+
+def score_tokens(model: dict, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, training count) of every token, from its history and the token."""
+    before, tokens = words[-2:]
     folder, bits, shards = model["folder"], model["bits"], 1 << model["bits"]
     word, word_of = np.unique(tokens, return_inverse=True)
     count, follows = _find(folder, "words", _word_shard(word, bits), word, shards, 0, [1, 2])
     low = (follows - _discount(follows, model["lower"])) / max(model["pairs"], 1) + model["left"] / (model["words"] + 1)
     owner, owner_of = np.unique(before, return_inverse=True)
-    figures = np.stack(_find(folder, "pairs", _word_shard(owner, bits), owner, shards, 2, [3, 4, 5, 6])).astype(np.float64)
+    figures = np.stack(_find(folder, "pairs", _word_shard(owner, bits), owner, shards, 4, [5, 6, 7, 8])).astype(np.float64)
     hot = np.isin(owner, model["hot"])
     figures[:, hot] = model["hot_figures"][np.searchsorted(model["hot"], owner[hot])].T
     total = figures[0]
     weight = np.where(total > 0, (np.array(model["discounts"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
     key, first, key_of = np.unique(pair_keys(before, tokens), return_index=True, return_inverse=True)
-    (pair,) = _find(folder, "pairs", _pair_shard(before[first], key, model["hot"], bits), key, shards, 0, [1])
+    (pair,) = _find(folder, "pairs", _pair_shard(before[first], key, model["hot"], bits), key, shards, 0, [1], packed=True)
     high = (pair - _discount(pair, model["discounts"]))[key_of] / np.maximum(total, 1)[owner_of]
-    return np.log10(high + weight[owner_of] * low[word_of]), count[word_of]
+    found = high + weight[owner_of] * low[word_of]
+    if model["order"] == 3:
+        higher, left = _gram_scores(model, *words)
+        found = higher + left * found
+    return np.log10(found), count[word_of]
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -315,7 +459,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
         model = shared.value
         for rows, data, offsets in W.blocks(batches, "text", BLOCK):
             tokens, first = text_tokens(data, offsets)
-            logs, counts = score_tokens(model, contexts(tokens, first), tokens)
+            logs, counts = score_tokens(model, *histories(tokens, first, model["order"]), tokens)
             base = np.log10((counts + 0.5) / (model["tokens"] + 0.5 * (model["words"] + 1)))
             per_row = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every row has its end token
             yield pa.RecordBatch.from_arrays(

@@ -100,14 +100,14 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_language_model")
 def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Unigram baseline and bigram score of every document, learned from four fifths of them."""
+    """Unigram baseline and trigram score of every document, learned from four fifths of them."""
     from pyspark.sql import functions as F
 
     from glossmill.llm.language_model import score, train
 
     docs = table(spark, folder, "documents")
     held_out = remainder("doc_id", 5) == 1
-    model = train(docs.where(~held_out))
+    model = train(docs.where(~held_out), order=3)
     found = score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -134,6 +134,55 @@ def test_language_model_equals_brute_force(spark, documents, corpus, empty, monk
     assert L.score(empty, model).count() == 0
 
 
+def trigrams(texts):
+    """Modified Kneser-Ney of order 3, plainly; a pair that begins a text counts as often as it occurs."""
+    words, grams, pairs = Counter(), Counter(), Counter()
+    for t in texts:
+        seq = ["<s>"] + tokens(t)
+        words.update(seq[1:])
+        grams.update(zip(seq, seq[1:], seq[2:]))
+        pairs[tuple(seq[:2])] += 1
+    for _, b, c in grams:
+        pairs[b, c] += 1
+    after = Counter(b for _, b in pairs)
+    counts = lambda c: [sum(v == k for v in c.values()) for k in range(1, 5)]
+    top, high, low = ([0, *L.discounts(*counts(c))] for c in (grams, pairs, after))
+    left = sum(low[min(v, 3)] for v in after.values()) / len(pairs)
+    own = defaultdict(lambda: [0, 0.0])
+    for table, by in ((grams, top), (pairs, high)):
+        for gram, n in table.items():
+            own[gram[:-1]][0] += n
+            own[gram[:-1]][1] += by[min(n, 3)]
+
+    def p(a, b, c):
+        found = (after[c] - low[min(after[c], 3)]) / len(pairs) + left / (len(words) + 1)
+        for table, by, gram in ((pairs, high, (b, c)), (grams, top, (a, b, c))):
+            total, gone = own.get(gram[:-1], (0, 0.0))
+            if total:
+                found = (table[gram] - by[min(table[gram], 3)]) / total + gone / total * found
+        return found
+
+    return words, p
+
+
+def test_trigram_model_equals_brute_force(spark, documents, corpus, empty, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 5000)
+    texts = [t for k, t, *_ in corpus if k % 5 != 1]
+    words, p = trigrams(texts)
+    for size, share in ((2048, 0.05), (1 << 20, 0.25)):  # several shards and hot words, and one shard
+        monkeypatch.setattr(L, "SHARD_TOKENS", size)
+        monkeypatch.setattr(L, "HOT_SHARE", share)
+        model = L.train(documents.where("doc_id % 5 != 1"), order=3)
+        assert (model["bits"] >= 3 and len(model["hot"]) > 1 and model["parts"].max() > 1) or size > 2048
+        rows = {r.doc_id: r for r in L.score(documents, model).collect()}
+        for key, text, *_ in corpus:
+            seq = ["", "<s>"] + tokens(text)
+            assert math.isclose(rows[key].score, sum(math.log10(p(*g)) for g in zip(seq, seq[1:], seq[2:])), rel_tol=1e-9)
+    a, b = tokens(corpus[0][1])[:2]
+    assert math.isclose(sum(p(a, b, w) for w in words) + p(a, b, "unseen"), 1.0, rel_tol=1e-9)
+    assert {round(r.score, 9) for r in L.score(documents.where("text = ''"), L.train(empty, order=3)).collect()} == {0.0}
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     stems = {"aa": ["bako", "lumi", "sato", "neki"], "bb": ["grund", "schla", "pfein", "zwerk"]}
