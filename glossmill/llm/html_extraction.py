@@ -8,7 +8,9 @@ order. Potentials are counted on labelled pages, at most about ``SAMPLE_PAGES``
 key, on top of small prior counts for tags and class words with a usual meaning.
 
 Scripts, styles, comments, templates and other markup without readable text never become blocks. Character references
-are decoded, white space inside a block is one space, blocks are joined by two line feeds; nothing is cut.
+are decoded, white space inside a block is one space, blocks are joined by two line feeds; nothing is cut. Of markup that
+is left out, only an unclosed script, style, text area or title reaches to the end of the page, as in browsers; of other
+unclosed elements the tag alone is left out. ``<svg/>`` ends at once, and the text of formulas stays.
 
 Defined cases: null or empty html gives an empty text; pages without markup are one block; unclosed and stray tags are
 handled as browsers mostly do (a block ends an open paragraph, a list item the one before); without labelled pages the
@@ -43,7 +45,11 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCKS = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = frozenset("script style noscript template textarea select svg math iframe object head title canvas audio video".split())
+RAW = frozenset("script style textarea title".split())  # no tags inside; to the end of the page if unclosed
+DROPPED = frozenset("noscript template select svg iframe object canvas audio video".split())
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+HEAD_END = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I)
+BARE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")  # the slash belongs to a value without quotes
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 BOILERPLATE = frozenset(
@@ -72,9 +78,38 @@ def _level(value: float, edges: tuple[float, ...]) -> int:
     return sum(value >= e for e in edges)
 
 
+def _closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not BARE_SLASH.search(attributes)
+
+
+def _ends(source: str, at: int) -> dict[int, int]:
+    """Where each dropped element from ``at`` on ends, by the end of its opening tag; unclosed ones are missing."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    while token := TOKEN.search(source, at):
+        at = token.end()
+        name = (token[2] or "").lower()
+        if name not in DROPPED and name not in RAW and name != "math":
+            continue
+        own = opened.setdefault(name, [])
+        foreign = opened.get("svg") or opened.get("math")
+        if token[1]:
+            if own:
+                ends[own.pop()] = at
+        elif _closed(token[3]) and (name in ("svg", "math") or foreign):
+            continue
+        elif name in RAW:
+            end = RAW_END[name].search(source, at)
+            at = end.end() if end else at if foreign else len(source)
+        else:
+            own.append(at)
+    return ends
+
+
 def parse(source: str) -> Page:
     page, stack, parts = Page(), [("", 0)], []
     link, linked, at = False, 0, 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -105,11 +140,18 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if name in RAW and not closing:
-            if name == "head":  # ends at its end tag or where the body begins
-                end = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(source, at)
-            else:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else (len(source) if name != "head" else at)
+            end = RAW_END[name].search(source, at)
+            at = end.end() if end else len(source)
+            continue
+        if name == "head" and not closing:  # ends at its end tag or where the body begins
+            end = HEAD_END.search(source, at)
+            at = end.end() if end else at
+            continue
+        if name in DROPPED:
+            if not closing and not (name == "svg" and _closed(token[3])):
+                if ends is None:
+                    ends = _ends(source, token.start())
+                at = ends.get(at, at)
             continue
         if name == "br":
             parts.append(" ")
@@ -117,7 +159,7 @@ def parse(source: str) -> Page:
             link = not closing
         elif name == "hr":
             flush()
-        elif name in BLOCKS or "-" in name:
+        elif name in BLOCKS or ("-" in name and name != "annotation-xml"):
             flush()
             if closing:
                 for k in range(len(stack) - 1, 0, -1):

@@ -272,3 +272,17 @@ def test_parsing():
     page = parse('<ul><li>a<li>b</ul><div title="x > y">c</div><table><tr><td>d<td>e</table></p>f &am &eacute;<textarea><p>no</textarea>')
     assert [t for t in page.text if t] == ["a", "b", "c", "d", "e", "f &am é"]
     assert content_odds([], {}) == [] and zlib.crc32(b"1") % 5 >= 0
+
+
+def test_text_after_icons_and_unclosed_elements_stays():
+    texts = lambda html: [t for t in parse(html).text if t]
+    assert texts('<p>a <svg class="icon"/> b</p><p>c <svg><title>x</title><path/></svg>d</p>') == ["a b", "c d"]
+    assert texts("<p>a <svg class=icon/>gone</svg>b") == ["a b"] and texts("<p>a<SVG><svg>x</svg>y</SVG> b") == ["a b"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><p><math display='block'/>c") == ["Let x=1 be.", "c"]
+    for name in ("select", "object", "noscript", "audio", "video", "canvas", "iframe", "template", "svg"):
+        assert texts(f"<p>a</p><{name} id=x><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{name}><p>b</p><{name}>gone</{name}><p>c</p>") == ["a", "b", "c"]
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{name}>gone <p>gone") == ["a"] and texts(f"<p>a</p><{name}>gone</{name}>b") == ["a", "b"]
+    assert texts("<script>'<svg>'</script><p>a</p><svg><title/><style>/* </svg> */</style>x</svg>b") == ["a", "b"]
+    assert len(texts("<select>" * 20_000 + "<p>a")) == 1  # in linear time
