@@ -300,13 +300,6 @@ def fit(labelled: DataFrame, html: str = "html", known: str = "known") -> dict:
     return {"features": potentials({f: (c[0], c[1]) for f, c in counts.items()}), "edges": np.log(edges / edges.sum(axis=1, keepdims=True) / share).tolist()}
 
 
-def sample_pages(pages: DataFrame, key: str, limit: int = SAMPLE_PAGES) -> DataFrame:
-    """About ``limit`` rows at most, by the hash of their key."""
-    total = pages.count()
-    share = 1.0 if total <= limit else limit / total
-    return pages.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 30)) <= share * (1 << 30))
-
-
 def extract(pages: DataFrame, model: dict, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars, n_blocks, kept_blocks) of every page."""
     source = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").alias("html"))
@@ -335,10 +328,15 @@ def extract(pages: DataFrame, model: dict, key: str = "page_id", url: str = "url
 
 
 def known_texts(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(html, known) of a sample of pages whose url ends in the number of a stored document."""
+    """(html, known) of pages whose url ends in the number of a stored document; of many about ``SAMPLE_PAGES``, by the hash of their key."""
     number = F.regexp_extract(F.col(f"`{url}`"), r"/(\d{1,18})(?:[./?#]|$)", 1).try_cast("long")
-    sample = stored(sample_pages(pages, key).select(number.alias("number"), F.col(f"`{html}`").alias("html")).where("number is not null"), "page-sample")
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 30))
+    numbered = pages.select(number.alias("number"), place.alias("place"), F.col(f"`{html}`").alias("html")).where("number is not null and html is not null")
+    known = docs.select(F.col(f"`{doc_key}`").alias("number"), F.col(f"`{text}`").alias("known")).where("known is not null")
+    labelled = stored(numbered.select("number", "place").join(known.select("number"), "number", "left_semi"), "labelled-pages")
+    total = labelled.count()
+    chosen = F.col("place") <= (1.0 if total <= SAMPLE_PAGES else SAMPLE_PAGES / total) * (1 << 30)
     # At most about SAMPLE_PAGES numbers, whatever the data.
-    wanted = F.broadcast(sample.select("number").distinct())
-    known = docs.select(F.col(f"`{doc_key}`").alias("number"), F.col(f"`{text}`").alias("known")).where("known is not null").join(wanted, "number", "left_semi")
-    return sample.join(known.dropDuplicates(["number"]), "number").select("html", "known")
+    wanted = F.broadcast(stored(labelled.where(chosen).select("number").distinct(), "labelled-numbers"))
+    sample = stored(numbered.where(chosen).join(wanted, "number", "left_semi").select("number", "html"), "page-sample")
+    return sample.join(known.join(wanted, "number", "left_semi").dropDuplicates(["number"]), "number").select("html", "known")

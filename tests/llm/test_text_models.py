@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
+from glossmill.llm import html_extraction as H
 from glossmill.llm import language_model as L
 from glossmill.llm import toxicity as X
 from glossmill.llm.decontamination import contaminated, tiles
@@ -286,3 +287,13 @@ def test_text_after_icons_and_unclosed_elements_stays():
         assert texts(f"<p>a</p><{name}>gone <p>gone") == ["a"] and texts(f"<p>a</p><{name}>gone</{name}>b") == ["a", "b"]
     assert texts("<script>'<svg>'</script><p>a</p><svg><title/><style>/* </svg> */</style>x</svg>b") == ["a", "b"]
     assert len(texts("<select>" * 20_000 + "<p>a")) == 1  # in linear time
+
+
+def test_sample_is_taken_from_labelled_pages(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLE_PAGES", 40)
+    rows = [(k, f"http://x/{k}", f"<p>page {k}") for k in range(2000)] + [(k, "http://x/none", "<p>z") for k in range(2000, 2500)]
+    pages = spark.createDataFrame(rows + [(3000, None, None)], "page_id long, url string, html string")
+    docs = lambda n: spark.createDataFrame([(k, f"text {k}") for k in range(n)] + [(0, "text 0"), (1999, None)], "doc_id long, text string")
+    few = H.known_texts(pages, docs(30)).collect()
+    assert sorted((r.html, r.known) for r in few) == sorted((f"<p>page {k}", f"text {k}") for k in range(30))
+    assert 15 <= H.known_texts(pages, docs(1000)).count() <= 80
