@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from glossmill.llm import words as W
 from glossmill.llm.tables import stored
 
-MIN_DOCUMENTS = 50
+MIN_DOCUMENTS = 5
 MAX_SHARE = 0.10
+MAX_DOCUMENTS = 10_000
 MIN_WORDS = 20
 MIN_LEFT = 0.3
 WINDOW = 8
@@ -112,8 +113,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     return source.mapInArrow(run, f"key {kind}, host string, {MEASURES}")
 
 
-def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, documents) above the host's limit: more than ``min_documents`` and more than ``max_share`` of its distinct texts.
+def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(host, line, documents) above the host's limit: more than ``min_documents``, and more than ``max_share`` of its distinct texts or more than ``max_documents``.
 
     Both counts combine before the shuffle; copies of a text fall together in the first grouping.
     """
@@ -122,7 +123,7 @@ def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, max_
     sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     lines = measured.select(host.alias("host"), "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one"))
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > min_documents)
-    return counts.join(sizes, "host").where(F.col("documents") > max_share * F.col("texts")).select("host", "line", "documents")
+    return counts.join(sizes, "host").where((F.col("documents") > max_share * F.col("texts")) | (F.col("documents") > max_documents)).select("host", "line", "documents")
 
 
 def judge(
@@ -134,11 +135,12 @@ def judge(
     max_share: float = MAX_SHARE,
     min_words: int = MIN_WORDS,
     min_left: float = MIN_LEFT,
+    max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """One row per row of ``docs``: the base figures, the words in frequent lines, and the verdict."""
     # Rows are told apart by a number given before the table is stored: keys may be null or repeated.
     measured = stored(measure(docs, key, text, host).withColumn("row", F.monotonically_increasing_id()), "line-measures")
-    frequent = stored(frequent_lines(measured, min_documents, max_share), "frequent-lines")
+    frequent = stored(frequent_lines(measured, min_documents, max_share, max_documents), "frequent-lines")
     own = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))
     lost = (
         measured.select("row", own.alias("host"), F.explode("lines").alias("at"))

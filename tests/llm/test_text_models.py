@@ -56,6 +56,20 @@ def test_frequent_lines_and_depletion(spark):
     assert cut[0] == "\n".join(rows[0][1].split("\n")[::2]) and cut[300] == copy and cut[401] is None and cut[400] == rows[-2][1]
 
 
+def test_frequent_lines_of_small_and_of_very_large_hosts(spark):
+    rng = random.Random(6)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common = "common line " + own(8)
+    small = [(k, (f"{common}\n" if k < 8 else "rare line\n" if k < 13 else "") + own(19 if k == 0 else 30), "small") for k in range(30)]
+    large = [(100 + k, (f"{common}\n" if k < 12 else "") + own(30), "large") for k in range(300)]
+    docs = spark.createDataFrame(small + large, "doc_id long, text string, source string")
+    verdict = {r.doc_id: r for r in judge(docs).collect()}
+    assert [verdict[k].lost_words for k in range(14)] == [10] * 8 + [0] * 6 and not verdict[0].kept and verdict[1].kept
+    assert all(verdict[k].lost_words == 0 for k in range(100, 400))  # 4 % of the host's texts
+    assert {r.documents for r in frequent_lines(measure(docs), max_documents=12).collect()} == {8}
+    assert {r.documents for r in frequent_lines(measure(docs), max_documents=11).collect()} == {8, 12}
+
+
 def test_tiles_cover_reordered_passages():
     item = np.arange(1, 41).astype(np.uint64)
     text = np.concatenate([[99], item[20:], [98, 97], item[:20], [96]]).astype(np.uint64)
