@@ -1,9 +1,9 @@
 """Language identification, words first: a known word counts with its frequency in each language, an unseen word falls
 back to the longest of its character n-grams (four letters, then three, two, one) that training has seen.
 
-The model is fitted on a sample of at most about ``SAMPLE_ROWS`` labelled rows, chosen by the hash of their key, and
-keeps the ``ENTRIES`` most frequent words and n-grams of every length per language, so that what is broadcast is bounded
-by languages x 5 x entries. Prediction reads every whole text.
+The model is fitted on all labelled rows of a language up to about ``SAMPLE_ROWS``, else on so many, chosen by the hash
+of their key. It keeps the ``ENTRIES`` most frequent words and n-grams of every length per language, with their counts in
+all languages, so that what is broadcast is bounded by languages x 5 x entries hashes. Prediction reads every whole text.
 
 Defined cases: a null text, an empty one or one without a letter is ``und`` with score 0; rows whose label is null are
 not learned from; without any labelled row every text is ``und``; if no word or n-gram of a text is known, the first
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
+from glossmill.llm.tables import stored
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 20_000  # of every language
 ENTRIES = 20_000
 LONGEST = 4
 SMOOTHING = 0.5
@@ -72,13 +73,14 @@ def _counts(labelled: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, entries: int = ENTRIES) -> dict:
     """The model: language names and, per level, sorted hashes with a row of log frequencies by language."""
     labelled = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.xxhash64(F.col(f"`{key}`")).alias("mark"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    total = labelled.select("mark").count()
-    share = 1.0 if total <= sample_rows else sample_rows / total
-    sample = labelled.where(F.pmod("mark", F.lit(1 << 30)) <= share * (1 << 30)).select("lang", "text")
+    shares = labelled.groupBy("lang").agg((F.lit(sample_rows) / F.count(F.lit(1))).alias("share"))  # a row per language
+    sample = labelled.join(F.broadcast(shares), "lang").where(F.pmod("mark", F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("lang", "text")
     counts = _counts(sample)
     order = Window.partitionBy("lang", "level").orderBy(F.desc("n"), "hash")
     sums = Window.partitionBy("lang", "level")
-    kept = counts.withColumn("total", F.sum("n").over(sums)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= entries).select("lang", "level", "hash", "n", "total").toArrow()
+    ranked = stored(counts.withColumn("total", F.sum("n").over(sums)).withColumn("place", F.row_number().over(order)), "language-counts")
+    chosen = ranked.where(F.col("place") <= entries).select("level", "hash").distinct()
+    kept = ranked.join(chosen, ["level", "hash"], "left_semi").select("lang", "level", "hash", "n", "total").toArrow()
     langs = sorted(set(kept.column("lang").to_pylist()))
     level, name = kept.column("level").to_numpy(), kept.column("lang").to_numpy().astype(str)
     hashes, n, totals = kept.column("hash").to_numpy().view(np.uint64), kept.column("n").to_numpy(), kept.column("total").to_numpy()

@@ -216,6 +216,15 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"} and identify(empty, model).count() == 0
 
 
+def test_rare_languages_and_counts_of_all_languages(spark):
+    rows = [(k, "lumi sato", "aa") for k in range(600)] + [(1000 + k, "grund zwerk", "bb") for k in range(3)]
+    model = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert model["langs"] == ["aa", "bb"]
+    rows = [(1, "x " * 10 + "yy " * 5, "aa"), (2, "yy " * 10 + "x " * 5, "bb")]
+    known, logs = fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), entries=1)["levels"][0]
+    assert len(known) == 2 and np.allclose(np.sort(np.exp(logs), axis=None), np.array([5.5, 5.5, 10.5, 10.5]) / (15 + 0.5 * 3))
+
+
 def test_folding_and_exceptions():
     machine = X.automaton({" idiot ": 2.0, " mor": 1.0}, ["trash mor can"])
     texts = ["IDIOT", "1d10t and іԁіоt", "idiots", "a moron, morse", "trash mor can", None, "", "tomorrow", "é idiot."]
