@@ -25,6 +25,26 @@ def test_sequence_over_a_hot_key(spark):
     assert found == expected
 
 
+def test_a_hot_key_with_a_common_prefix_is_spread(spark):
+    """Texts that share many bytes, NULL and NaN keys; the input is read for the sample and once more, by one exchange."""
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 20 == 1, F.lit(float("nan"))).when(F.col("id") % 20 > 1, 1.5).alias("k"), F.concat(F.lit("run-12345-"), F.hash("id").cast("string")).alias("at"), "id"
+    )
+    numbered = keyed.sequence_per_key(df, ["k"], ["at", "id"])
+    key = lambda r: "nan" if r.k != r.k else r.k
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(key(r), []).append((r["at"], r.id))
+    expected = {(name, i): n for name, items in groups.items() for n, (_, i) in enumerate(sorted(items), 1)}
+    for found in (numbered, numbered.unionByName(numbered).dropDuplicates(["id"])):  # task numbers hold inside a union too
+        assert {(key(r), r.id): r.sequence for r in found.collect()} == expected
+    final = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("rangepartitioning") == 2 and final.count("ReusedExchange") == 1
+    shares = numbered.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) >= 3 and max(r["count"] for r in shares) < 2000
+    assert keyed.sequence_per_key(df.where("id < 0"), ["k"], ["at"]).count() == 0
+
+
 def test_large_lists_are_paged_and_complete(spark):
     df = spark.range(2500).select(F.when(F.col("id") < 2400, "hot").when(F.col("id") < 2450, "small").alias("k"), "id")
     lists = keyed.collect_paged(df, ["k"], F.struct("id"), ["id"], page_size=100).collect()
