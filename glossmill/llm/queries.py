@@ -120,3 +120,57 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     model = fit(known_texts(pages, table(spark, folder, "documents")))
     return extract(pages, model).select("page_id", "url", "text", "n_chars", "n_blocks", "kept_blocks")
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL: the CRC-32 of a text of ASCII characters."""
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, w: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295)"
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+    WITH numbered AS (
+        SELECT conv_id, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS id,
+            len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS words, turn
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), own AS (
+        SELECT conv_id, list({{'id': id, 'words': words}} ORDER BY turn NULLS FIRST, id) AS turns FROM numbered GROUP BY conv_id
+    ), sized AS (
+        SELECT *, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM own
+    ), rebuilt AS (
+        SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns
+        FROM sized c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+    ), paths AS (
+        SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth,
+            array_to_string(list_transform(turns, lambda t: t.id), '') AS whole, list_transform(turns, lambda t: t.words) AS words
+        FROM rebuilt
+    ), rows AS (
+        SELECT conv_id, depth, size, left(whole, 32 * depth::INT) AS prefix, CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS words FROM paths
+    ), nodes AS (
+        SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+        FROM rows GROUP BY prefix
+    ), sizes AS (
+        SELECT left(prefix, (32 * (depth - 1))::INT) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+    ), counted AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN sizes USING (prefix)
+    ), spread AS (
+        SELECT left(prefix, 32 * unnest(range(depth + 1))::INT) AS prefix, saved, (n_children = 0)::INT AS leaf FROM counted
+    ), subtrees AS (
+        SELECT prefix, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM spread GROUP BY prefix
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+    FROM counted n JOIN subtrees s USING (prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = left(n.prefix, (32 * (n.depth - 1))::INT)
+    """,
+)
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun with the first turns of the conversation at its head of twenty."""
+    from pyspark.sql import functions as F
+
+    from glossmill.llm.conversation_trie import marked, prefix_trie, with_heads_of
+    from glossmill.llm.tables import stored
+
+    turns = stored(marked(table(spark, folder, "conversations")), "conversation-turns")
+    head = F.col("conv_id") - F.col("conv_id") % 20
+    return prefix_trie(*with_heads_of(turns, head, remainder("conv_id", 4), 3))
