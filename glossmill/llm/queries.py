@@ -174,3 +174,23 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = stored(marked(table(spark, folder, "conversations")), "conversation-turns")
     head = F.col("conv_id") - F.col("conv_id") % 20
     return prefix_trie(*with_heads_of(turns, head, remainder("conv_id", 4), 3))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, its longest one, and digests of all runs and of the text without repeats."""
+    from pyspark.sql import functions as F
+
+    from glossmill.llm.periodic_runs import folded, periodic_runs
+
+    mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    docs = table(spark, folder, "documents").select("doc_id", folded(F.col("text"), mark).alias("text"))
+    found = periodic_runs(docs)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("least"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = found.withColumns({"top": top, "listed": listed})
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.least")).alias("period"),
+        F.expr("(1000 * top.length) div -top.least").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
