@@ -194,3 +194,21 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.least")).alias("period"),
         F.expr("(1000 * top.length) div -top.least").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices in every document; the score is the largest share of a phrase or notice that it holds."""
+    from pyspark.sql import functions as F
+
+    from glossmill.llm.license_scan import license_scan
+
+    found = license_scan(table(spark, folder, "documents"))
+    said = F.transform("places", lambda p: p["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    shares = F.array_max(F.transform("spans", lambda s: s["share"]))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(F.transform("places", lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["start"])).alias("last_word"), joined(said).alias("base_labels"),
+        joined(F.concat(said, F.transform("spans", lambda s: s["label"]))).alias("labels"), F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(shares, F.lit(0.0))).alias("score"),
+    )
