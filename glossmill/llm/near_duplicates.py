@@ -15,6 +15,10 @@ Nodes are compared on signatures, with a threshold four standard deviations low,
 sets; the components of these links are the clusters. Every set is in one cluster, and inside clusters, again in groups
 of bounded size, links are decided on the full shingle sets, so a set moves once however many nodes it was in.
 
+Signatures and sets move rarely: nodes are lists of ids, a signature goes once to all nodes that begin with the same set
+and once to all children of a set's nodes, and the texts of clustered sets are found through a bitmap of fixed size
+before the join.
+
 Defined cases: null or empty texts have an empty set and are linked with nothing; a null id is linked with nothing and
 has a null component; repeated rows are repeated in the result; an empty table gives an empty result; columns other
 than the key and the text are ignored.
@@ -40,7 +44,10 @@ TREES = 4
 FIRST_DEPTH = 3
 DEEPEST = 12
 GROUP = 256
+BLOCK = 2048  # signatures compared at once in a family
+SET_BLOCK = 512  # sets compared at once in a large cluster
 PIVOTS = 64
+FILTER_BITS = 1 << 25
 FAMILY_SHARE = 0.5
 SKETCH_SIMILARITY = 0.60  # four standard deviations below the threshold at 128 tokens
 
@@ -117,46 +124,55 @@ def _first_nodes(classes: DataFrame) -> DataFrame:
 
 
 def _next_nodes(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of all children, with the size of the parent."""
+    """The members of all children, with the size of the parent. A set is in few nodes, so its tokens are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                nodes = batch.column("node").to_numpy().view(np.uint64)
-                for child in children(nodes, _matrix(batch.column("tokens"))):
-                    yield pa.RecordBatch.from_arrays([pa.array(W.signed(child)), batch.column("rep"), batch.column("size")], ["node", "rep", "parent"])
+            if not batch.num_rows:
+                continue
+            lists = batch.column("nodes")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            tokens, rep = _matrix(batch.column("tokens"))[row], batch.column("rep").take(pa.array(row))
+            for child in children(flat.field("node").to_numpy().view(np.uint64), tokens):
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(child)), rep, flat.field("size")], ["node", "rep", "parent"])
 
-    joined = members.select("node", "rep", "size").join(classes.select("rep", "tokens"), "rep").select("node", "rep", "size", "tokens")
-    return joined.mapInArrow(run, f"{NODE}, parent bigint")
+    own = members.groupBy("rep").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
+    return own.join(classes.select("rep", "tokens"), "rep").mapInArrow(run, f"{NODE}, parent bigint")
 
 
 def _sized(nodes: DataFrame) -> DataFrame:
     """Members of nodes with two sets or more, and the size of their node."""
-    return nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "node")
+    return nodes.join(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").hint("merge"), "node")
 
 
 def _whole(members: DataFrame) -> DataFrame:
-    """(name, rep): one group per node; nodes that hold the same sets are one group."""
+    """(bucket, reps): the sets of every node in order; nodes that hold the same sets are one, those with the same first share a bucket."""
     lists = members.groupBy("node").agg(F.sort_array(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-    return lists.select(F.xxhash64("reps").alias("name"), F.explode("reps").alias("rep"))
+    return lists.select(F.get("reps", F.lit(0)).alias("bucket"), "reps")
+
 
+def _listed(groups: DataFrame) -> DataFrame:
+    """(bucket, reps) of groups (name, rep), each in a bucket of its own."""
+    return groups.groupBy(F.col("name").alias("bucket")).agg(F.sort_array(F.collect_list("rep")).alias("reps"))
 
-def _split(families: DataFrame) -> DataFrame:
+
+def _split(families: DataFrame, block: int) -> DataFrame:
     """(name, rep): blocks of a family, each with the family's pivots."""
-    blocks = F.ceil(F.col("size") / (GROUP - PIVOTS))
+    blocks = F.ceil(F.col("size") / (block - PIVOTS))
     place = F.xxhash64("rep")
     pivot = F.pmod(F.xxhash64(place), F.lit(1 << 30)) * F.col("size") < PIVOTS * (1 << 30)
     wide = families.select("node", "rep", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(place, blocks)))).alias("block"))
     return wide.select(F.xxhash64("node", "block").alias("name"), "rep")
 
 
-def _rest(families: DataFrame, comps: DataFrame) -> DataFrame:
+def _rest(families: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     """(name, rep): what is outside the largest component of a family against all of the family, in blocks."""
     own = families.join(comps, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
     counts = own.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
     most = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top")).select("node", "size", F.col("top.comp").alias("top"), (F.col("size") - F.col("top.n")).alias("left"))
     rows = own.join(most.where("`left` > 0"), "node")
-    half = GROUP // 2
+    half = block // 2
     all_blocks, few_blocks = F.ceil(F.col("size") / half), F.ceil(F.col("left") / half)
     zero, place = F.lit(0).cast("long"), F.xxhash64("rep")
     each = rows.select("node", "rep", F.pmod(place, all_blocks).alias("x"), F.explode(F.sequence(zero, few_blocks - 1)).alias("y"))
@@ -164,24 +180,42 @@ def _rest(families: DataFrame, comps: DataFrame) -> DataFrame:
     return each.unionByName(few).select(F.xxhash64("node", "x", "y").alias("name"), "rep").distinct()
 
 
-def _sketch_links(groups: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Links (a, b) that connect what the signatures of a group's members connect, none inside a component of ``comps``."""
-
-    def run(group: pa.Table) -> pa.Table:
-        reps, label = group.column("rep").to_numpy(), group.column("comp").to_numpy().copy()
-        tokens = _matrix(group.column("tokens").combine_chunks())
-        out = []
-        for k in range(len(reps) - 1):
-            other = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
-            alike = other[(tokens[other] == tokens[k]).mean(axis=1) >= SKETCH_SIMILARITY]
+def sketch_forest(reps: np.ndarray, label: np.ndarray, tokens: np.ndarray, lists: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what the signatures of the members of each list (places among ``reps``) connect, none inside a label."""
+    label, out = label.copy(), []
+    for own in lists:
+        for k, one in enumerate(own[:-1].tolist()):
+            other = own[k + 1 :]
+            other = other[label[other] != label[one]]
+            alike = other[(tokens[other] == tokens[one]).mean(axis=1) >= SKETCH_SIMILARITY]
             for j in alike.tolist():
-                if label[j] != label[k]:
-                    out.append((int(reps[k]), int(reps[j])))
-                    label[label == label[j]] = label[k]
-        return _pairs(out)
+                if label[j] != label[one]:
+                    out.append((int(reps[one]), int(reps[j])))
+                    label[label == label[j]] = label[one]
+    return out
+
 
-    joined = groups.join(classes.select("rep", "tokens"), "rep")
-    return _labelled(joined, comps).select("name", "rep", "comp", "tokens").groupBy("name").applyInArrow(run, "a bigint, b bigint").distinct()
+def _sketch_links(lists: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Links (a, b) that connect what the signatures of each list's sets connect, none inside a component of ``comps``.
+
+    The lists of a bucket are compared together, so that a set's tokens go there once. A bucket has the nodes that begin
+    with one set, at most a few hundred lists, or one block.
+    """
+
+    def run(lists: pa.Table, loaded: pa.Table) -> pa.Table:
+        loaded = loaded.combine_chunks().sort_by("rep")
+        reps, label = loaded.column("rep").to_numpy(), loaded.column("comp").to_numpy()
+        if not len(reps):
+            return _pairs([])
+        tokens = _matrix(loaded.column("tokens").combine_chunks())
+        own = lists.column("reps").combine_chunks()
+        # An id that stands for several sets has a row for each.
+        places = [np.flatnonzero(np.isin(reps, one.values.to_numpy())) for one in own]
+        return _pairs(sketch_forest(reps, label, tokens, places))
+
+    wanted = lists.select("bucket", F.explode("reps").alias("rep")).distinct()
+    loaded = _labelled(wanted.join(classes.select("rep", "tokens"), "rep"), comps).select(F.col("bucket").alias("place"), "rep", "comp", "tokens")
+    return lists.groupBy("bucket").cogroup(loaded.groupBy("place")).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.Table:
@@ -241,9 +275,41 @@ def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
     return _comps(comps.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
+def _bitmap(ids: DataFrame, name: str) -> bytes:
+    """Which of ``FILTER_BITS`` residues any id's hash has: four megabytes, however many ids there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[W.mix(batch.column(0).to_numpy().view(np.uint64)) % _U(FILTER_BITS)] = True
+        packed = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], ["at", "bits"])
+
+    parts = ids.select(name).mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    whole = np.zeros(FILTER_BITS // 64, np.int64)
+    for at, bits in parts.collect():
+        whole[at] = bits
+    return whole.tobytes()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once: bool) -> DataFrame:
-    """(rep, shingles) of the wanted ids; with ``once`` false, rows that repeat id and text are left out first."""
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep", "left_semi")
+    """(rep, shingles) of the wanted ids; with ``once`` false, rows that repeat id and text are left out first.
+
+    A bitmap keeps most other texts out of the shuffle; the join decides.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rep"))
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).where("rep is not null")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            place = W.mix(batch.column(0).to_numpy().view(np.uint64)) % _U(FILTER_BITS)
+            hit = (bits[place >> _U(3)] >> (_U(7) - (place & _U(7))).astype(np.uint8)) & 1 > 0
+            if hit.any():
+                yield batch.filter(pa.array(hit))
+
+    source = source.mapInArrow(near, "rep bigint, text string").join(wanted.hint("merge"), "rep", "left_semi")
     source = source if once else source.dropDuplicates(["rep", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +324,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once:
 def _merged(families: DataFrame) -> DataFrame:
     """(node, rep, size): families that share a set are one, named by one of their sets, so each set is in one family."""
     lows = families.join(families.groupBy("node").agg(F.min("rep").alias("low")), "node").select("rep", "low").distinct()
-    heads = lows.groupBy("rep").agg(F.min("low").alias("head"))
-    bridges = lows.join(heads, "rep").where("head != low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
+    heads = lows.groupBy("rep").agg(F.min("low").alias("head"), F.collect_list("low").alias("lows"))  # few: a set is in few nodes
+    bridges = heads.select("head", F.explode("lows").alias("low")).where("head != low").select(F.col("low").alias("a"), F.col("head").alias("b")).distinct()
     joined = _comps(bridges).withColumnRenamed("rep", "head")
     named = heads.join(joined, "head", "left").select(F.coalesce("component", "head").alias("node"), "rep")
     return named.join(named.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "node")
@@ -280,10 +346,11 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
         families = family if families is None else families.unionByName(family)
         large = big.where(F.col("size") <= FAMILY_SHARE * F.col("parent"))
     if families is None:
-        return _comps(stored(_sketch_links(groups.distinct(), classes, None), "sketch-links"))
+        return _comps(stored(_sketch_links(stored(groups.distinct(), "lists"), classes, None), "sketch-links"))
     one = stored(_merged(families), "families")
-    comps = _comps(stored(_sketch_links(groups.unionByName(_split(one)).distinct(), classes, None), "sketch-links"))
-    return _joined(comps, stored(_sketch_links(stored(_rest(one, comps), "family-rest"), classes, comps), "sketch-links-of-rest"))
+    lists = stored(groups.distinct().unionByName(_listed(_split(one, BLOCK))), "lists")
+    comps = _comps(stored(_sketch_links(lists, classes, None), "sketch-links"))
+    return _joined(comps, stored(_sketch_links(stored(_listed(_rest(one, comps, BLOCK)), "family-rest"), classes, comps), "sketch-links-of-rest"))
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, once: bool) -> DataFrame:
@@ -294,25 +361,31 @@ def linked_classes(classes: DataFrame, docs: DataFrame, key: str, text: str, onc
     sized = stored(clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("component").alias("node"), "rep", "size"), "clusters")
     sets = shingle_sets(docs, sized.select("rep"), key, text, once)
     large = sized.where(F.col("size") > GROUP)
-    groups = sized.where(F.col("size") <= GROUP).select(F.col("node").alias("name"), "rep").unionByName(_split(large))
+    groups = sized.where(F.col("size") <= GROUP).select(F.col("node").alias("name"), "rep").unionByName(_split(large, SET_BLOCK))
     comps = _comps(stored(_links(groups, sets, None), "links"))
     if large.isEmpty():
         return comps
-    return _joined(comps, stored(_links(_rest(large, comps), sets, comps), "links-of-rest"))
+    return _joined(comps, stored(_links(_rest(large, comps, SET_BLOCK), sets, comps), "links-of-rest"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id (smallest linked id, itself included), kept."""
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, n_shingles, rep, tokens): equal sets share the smallest id; tokens only where it is the row's own. Rows without
+    an id or a set have no ``rep``."""
     rows = stored(features(docs, key, text), "set-features")
     usable = rows.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     first = usable.groupBy("mark_a", "mark_b").agg(F.min("id").alias("rep"))
-    labelled = stored(
-        usable.join(first, ["mark_a", "mark_b"]).select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens")), "set-classes"
-    )
-    classes = labelled.where("id = rep").select("rep", "tokens")
-    once = labelled.groupBy("id").count().where("count > 1").isEmpty()
+    same = usable.join(first.hint("merge"), ["mark_a", "mark_b"]).select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("tokens")).alias("tokens"))
+    none = rows.where(F.col("id").isNull() | (F.col("n_shingles") == 0))
+    return same.unionByName(none.select("id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("binary").alias("tokens")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id (smallest linked id, itself included), kept."""
+    labelled = only(docs.sparkSession, "set-classes", lambda: _classes(docs, key, text))
+    usable = labelled.where("rep is not null")
+    classes = usable.where("id = rep and tokens is not null").select("rep", "tokens")
+    once = usable.groupBy("id").count().where("count > 1").isEmpty()
     joined = only(docs.sparkSession, "near-components", lambda: linked_classes(classes, docs, key, text, once))
-    grouped = labelled.select("id", "n_shingles", "rep").join(joined, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = rows.where(F.col("id").isNull() | (F.col("n_shingles") == 0)).select("id", "n_shingles", F.col("id").alias("component_id"))
+    grouped = labelled.select("id", "n_shingles", "rep").join(joined, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
-    return grouped.unionByName(alone).select(F.col("id").alias(key), "n_shingles", "component_id", kept.alias("kept"))
+    return grouped.select(F.col("id").alias(key), "n_shingles", "component_id", kept.alias("kept"))

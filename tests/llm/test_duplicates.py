@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from glossmill.llm import near_duplicates as N
-from glossmill.llm.components import components
+from glossmill.llm.components import components, least_labels
 from glossmill.llm.line_dedup import MIN_WORDS, chunks, lines, remove_repeated
 from glossmill.llm.near_duplicates import near_duplicates
 
@@ -35,13 +35,20 @@ def brute_force(rows):
     return sets, groups(pairs, ids)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     pairs = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 9), (1, 1), (20, 2), (2, 20)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 240)]
-    links = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
-    got = {r.id: r.component for r in components(links, "a", "b").collect()}
+    links = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(7)
     want = groups(pairs, {x for p in pairs for x in p})
-    assert {k: v for k, v in want.items() if k != v} == got
-    assert components(links.where("a > 1000"), "a", "b").count() == 0
+    for most in (1 << 20, 20):  # in one task, and by rounds after that
+        monkeypatch.setattr("glossmill.llm.components.TASK_LINKS", most)
+        got = [(r.id, r.component) for r in components(links, "a", "b").collect()]
+        assert {k: v for k, v in want.items() if k != v} == dict(got) and len(got) == len(dict(got))
+        assert components(links.where("a > 1000"), "a", "b").count() == 0
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 500):
+        u, v = rng.integers(0, 300, n), rng.integers(0, 300, n)
+        want = groups(list(zip(u.tolist(), v.tolist())), set(u.tolist()) | set(v.tolist()))
+        assert dict(zip(*(x.tolist() for x in least_labels(u, v)))) == {k: x for k, x in want.items() if k != x}
 
 
 def test_near_duplicates_equal_brute_force(documents, corpus, empty):
@@ -55,7 +62,8 @@ def test_near_duplicates_equal_brute_force(documents, corpus, empty):
 
 def test_large_families_in_blocks(spark, monkeypatch):
     """Nodes above the group size branch, families are cut into blocks, and no link is lost."""
-    monkeypatch.setattr(N, "GROUP", 16)
+    for name, size in (("GROUP", 16), ("BLOCK", 16), ("SET_BLOCK", 16)):
+        monkeypatch.setattr(N, name, size)
     monkeypatch.setattr(N, "PIVOTS", 4)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(150)]
