@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from glossmill.operators import runs, studies
@@ -9,6 +11,8 @@ from glossmill.plans import query
 from glossmill.plans.inputs import (
     SQL_FILES, SQL_LOGS, SQL_STAMP, SQL_STATUS, SQL_TRIALS, artifact_files, logs, run_metrics, run_status, stamp, status_updates, table, trials,
 )
+from glossmill.session import ensure_checkpoint_dir
+from glossmill.sources.run_store import read_run_store
 from glossmill.streaming.status import TIMEOUT_MESSAGE, latest_state, run_timeouts
 
 
@@ -233,3 +237,16 @@ def weighted_vote(spark, folder):
         F.col("l_orderkey").alias("id"), F.concat("l_returnflag", "l_linestatus").alias("prediction"), F.col("l_quantity").cast("bigint").alias("weight")
     )
     return studies.weighted_vote(votes)
+
+
+@query("run_store_logs", f"""
+WITH {SQL_LOGS}
+SELECT 'run-' || CAST(run % 20 AS VARCHAR) AS run, stream_name, CAST(seq AS DOUBLE) AS time, data FROM logs
+""")
+def run_store_logs(spark, folder):
+    """All events as logs of twenty runs, written as the arrays that kernels write and read again by byte ranges."""
+    entry = F.to_json(F.struct("stream_name", F.col("seq").cast("double").alias("time"), "data"))
+    lines = logs(spark, folder).select(F.concat(F.lit(","), entry).alias("value"), F.concat(F.lit("run-"), (F.col("run") % 20).cast("string")).alias("run"))
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-store-{uuid4().hex}"
+    lines.write.partitionBy("run").text(store)
+    return read_run_store(spark, store, splitBytes=1 << 20).select("run", "stream_name", "time", "data")

@@ -157,13 +157,14 @@ def read_run_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_entries(value: F.Column) -> F.Column:
-    """The entries of a whole log text: a JSON array or object, else the lines that parse alone."""
+    """The entries of a whole log text: a JSON array, else the lines that parse alone, else one JSON object."""
     whole = F.from_json(value, f"array<{LOG_ENTRY}>")
     body = F.regexp_replace(F.regexp_replace(value, r"^\[", ""), r"\]$", "")
     lines = F.transform(F.split(body, "\n"), lambda line: F.from_json(bare_log_line(line), LOG_ENTRY))
     good = F.filter(lines, lambda entry: entry["stream_name"].isNotNull() | entry["data"].isNotNull())
-    parsed = F.filter(whole, lambda entry: entry["stream_name"].isNotNull() | entry["data"].isNotNull())
-    return F.when(F.size(F.coalesce(parsed, F.array())) > 0, parsed).otherwise(good)
+    parsed = F.coalesce(F.filter(whole, lambda entry: entry["stream_name"].isNotNull() | entry["data"].isNotNull()), F.array())
+    array = F.ltrim(value).startswith("[") & (F.size(parsed) > 0)
+    return F.when(array | (F.size(good) == 0), parsed).otherwise(good)
 
 
 def bare_log_line(line: F.Column) -> F.Column:
