@@ -7,11 +7,16 @@ context figures are complete there; words with more than a share of a shard's to
 pair's hash, and their context figures, few numbers for few words, are added up apart. The number of shards follows the
 size of the corpus, so a shard stays bounded. Workers map the files into memory and look up sorted, distinct hashes.
 
-For order 3, triples are counted first, in the shard of their middle word, where their contexts and the number of words
-before each pair are complete; a frequent middle word has several shards, by the triple's hash, and what they find is
-added up by a further shuffle. The pair level then counts the distinct words before a pair; before a pair that begins a
-text nothing stands, so that its occurrences count. The first token of a text has a pair only. Counts are bytes with
-the few large ones aside.
+For order 3, triples are counted first, in ``PASSES`` over ranges of the shards, so that a shuffle holds a part of them
+only and is deleted before the next. A triple goes to the shard of its middle word, where its context and the number of
+words before each pair are complete, and so is the pair level of that word; a frequent middle word has several shards,
+by the triple's hash, and what they find is added up by a further shuffle. The pair level counts the distinct words
+before a pair; before a pair that begins a text nothing stands, so that its occurrences count. The first token of a text
+has a pair only.
+
+Files are small: of a 64-bit hash the top bits are its bucket and the next 40 are kept (a wrong hit has a chance below
+one in 10^11 per look-up). Counts of one, nearly all, are not written, nor are contexts that were seen once: where a
+pair is known and its context isn't, the context was seen once.
 
 Files lie in the folder of ``spark.checkpoint.dir``. If that is mounted on the executors (a path or ``file:``) they are
 memory-mapped; from other stores a shard is read into memory through ``pyarrow.fs``.
@@ -22,9 +27,9 @@ unseen one; repeated rows count and are scored as often as they come; null keys
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
-from glossmill.llm.tables import only, shared_folder, stored
+from glossmill.llm.tables import freed_shuffles, only, shared_folder, stored
 
 CHUNK = 2_000_000
 SHARD_TOKENS = 1 << 20
 HOT_SHARE = 0.25  # of a shard's tokens
 BLOCK = 1 << 22
+PASSES = 4
 NONE, END, BEGIN = 0, 1, 2  # word numbers that no word has: word hashes are forced above them
 
 _U = np.uint64
@@ -92,6 +98,62 @@ def unpack_counts(arrays: list[np.ndarray], place: np.ndarray) -> np.ndarray:
     return out
 
 
+def _padded(values: np.ndarray) -> np.ndarray:
+    """An array of small numbers as 64-bit ones, with room behind."""
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    out = np.zeros(-(-len(raw) // 8) * 8, np.uint8)
+    out[: len(raw)] = raw
+    return out.view(np.int64)
+
+
+KEY_ARRAYS = 4
+
+
+def pack_keys(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes: bits of a bucket number, where each bucket begins, and 40 further bits of each."""
+    bits = max(1, len(keys).bit_length() - 2)
+    begin = np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    rest = (keys << _U(bits)) >> _U(24)
+    return [np.array([bits, len(keys)], np.int64), _padded(begin), _padded((rest >> _U(8)).astype(np.uint32)), _padded((rest & _U(255)).astype(np.uint8))]
+
+
+def find_keys(arrays: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The place of each hash among the packed ones, or -1."""
+    bits = int(arrays[0][0])
+    begin, high, low = arrays[1].view(np.uint32), arrays[2].view(np.uint32), arrays[3].view(np.uint8)
+    bucket = (keys >> _U(64 - bits)).astype(np.int64)
+    rest = (keys << _U(bits)) >> _U(24)
+    at, stop = begin[bucket].astype(np.int64), begin[bucket + 1].astype(np.int64)
+    want_high, want_low = (rest >> _U(8)).astype(np.uint32), (rest & _U(255)).astype(np.uint8)
+    out = np.full(len(keys), -1, np.int64)
+    open_ = np.flatnonzero(at < stop)
+    while len(open_):
+        place = at[open_]
+        hit = (high[place] == want_high[open_]) & (low[place] == want_low[open_])
+        out[open_[hit]] = place[hit]
+        open_ = open_[~hit]
+        at[open_] += 1
+        open_ = open_[at[open_] < stop[open_]]
+    return out
+
+
+def pack_ones(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts of which nearly all are one: places and values of the others."""
+    more = np.flatnonzero(counts != 1)
+    return [np.array([len(more)], np.int64), _padded(more.astype(np.uint32)), *pack_counts(counts[more])]
+
+
+def unpack_ones(arrays: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    n = int(arrays[0][0])
+    out = np.ones(len(place), np.int64)
+    if n:
+        known = arrays[1].view(np.uint32)[:n]
+        at = np.minimum(np.searchsorted(known, place.astype(np.uint32)), n - 1)
+        hit = known[at] == place
+        out[hit] = unpack_counts(arrays[2:5], at[hit])
+    return out
+
+
 def pack48(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -182,15 +244,21 @@ def _count_pairs(texts: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
 GRAMS = pa.schema([("shard", pa.int32()), ("outer", pa.binary()), ("words", pa.binary()), ("also", pa.binary()), ("counts", pa.binary())])
 
 
-def _count_grams(texts: DataFrame, hot: np.ndarray, parts: np.ndarray, bits: int) -> DataFrame:
+def _count_grams(texts: DataFrame, hot: np.ndarray, parts: np.ndarray, bits: int, low: int, high: int) -> DataFrame:
+    """Triples of the shards from ``low`` up to ``high``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for outer, before, tokens in _chunks(batches, 3):
+            # A hot word's triples may lie anywhere; of other words the shard is known without the triple's hash.
+            own = _word_shard(before, bits)
+            near = ((own >= low) & (own < high)) | np.isin(before, hot)
+            outer, before, tokens = outer[near], before[near], tokens[near]
             keys, first, counts = np.unique(gram_keys(outer, before, tokens), return_index=True, return_counts=True)
             outer, before, tokens = outer[first], before[first], tokens[first]
             shard = _gram_shard(before, keys, hot, parts, bits)
             order = np.lexsort((outer, before, shard))  # equal words in a row take little room
-            at = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-            for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            at = np.searchsorted(shard[order], np.arange(low, high + 1))
+            for s, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()), low):
                 if b > a:
                     take = order[a:b]
                     yield pa.RecordBatch.from_pylist([{"shard": s, "outer": pack48(outer[take]), "words": pack48(before[take]), "also": pack48(tokens[take]), "counts": counts[take].astype(np.uint32).tobytes()}], GRAMS)
@@ -283,6 +351,28 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
     hot = np.array(sorted(often), np.uint64)
     parts = np.array([min(bits, max(0, int(np.ceil(np.log2(max(often[w], 1) / limit))))) for w in hot.tolist()], np.int64)
 
+    def pair_level(shard: int, name: str, before: np.ndarray, tokens: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[list, list]:
+        """Writes distinct pairs in the order of their keys; figures, and how many distinct words stand before each word."""
+        owner, *sums = _merge(before, counts, *_kinds(counts))
+        write_file(folder, f"{name}-{shard}", [*pack_keys(keys), *pack_ones(counts), owner, *sums])
+        figures = [(f"pairs-{k}", 0, int((counts == k).sum())) for k in range(1, 5)] + [("pairs", 0, len(counts))]
+        for k in np.flatnonzero(np.isin(owner, hot)).tolist():
+            figures += [(f"hot-{j}", int(owner[k]), int(s[k])) for j, s in enumerate(sums)]
+        word, follows = np.unique(tokens, return_counts=True)
+        cut = np.searchsorted(_word_shard(word, bits), np.arange(shards + 1))
+        rows = [(s, pack48(word[a:b]), follows[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        return figures, rows
+
+    names = ["shard", "words", "counts", "also", "contexts", "sums", "followed", "follows", "name", "word", "value"]
+    kinds = f"{WORDS}, contexts binary, sums binary, followed binary, follows binary, {FIGURES}"
+
+    def packed(rows: list[tuple], *columns: str) -> pa.Table:
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), **{n: pa.array([r[k + 1] for r in rows], pa.binary()) for k, n in enumerate(columns)}})
+
+    def laid_out(*tables: pa.Table) -> pa.Table:
+        empty = pa.table({n: pa.array([], pa.int32() if n == "shard" else pa.string() if n == "name" else pa.int64() if n in ("word", "value") else pa.binary()) for n in names})
+        return pa.concat_tables([empty, *tables], promote_options="default").select(names)
+
     def merge_grams(group: pa.Table) -> pa.Table:
         outer, before, tokens = (unpack48(group.column(c).to_pylist()) for c in ("outer", "words", "also"))
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64)
@@ -295,44 +385,35 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
         inner = before != BEGIN
         own = counts[inner]
         owner, *sums, spread = _merge(pair_keys(outer[inner], before[inner]), own, *_kinds(own), np.isin(before[inner], hot).astype(np.int64))
-        whole = spread == 0
+        sums = np.stack(sums, 1)
         shard = group.column("shard")[0].as_py()
-        write_file(folder, f"grams-{shard}", [keys[inner], *pack_counts(own), owner[whole], *(a for x in sums for a in pack_counts(x[whole]))])
+        more = (spread == 0) & (sums[:, 0] > 1)
+        write_file(folder, f"grams-{shard}", [*pack_keys(keys[inner]), *pack_ones(own)])
+        write_file(folder, f"contexts-{shard}", [*pack_keys(owner[more]), *(a for x in sums[more].T for a in pack_counts(x))])
         figures = [(f"grams-{k}", 0, int((own == k).sum())) for k in range(1, 5)] + [("grams", 0, len(own))]
-        owner, sums = owner[~whole], np.stack([x[~whole] for x in sums], 1)
+        owner, sums = owner[spread > 0], sums[spread > 0].astype(np.uint32)
         cut = np.searchsorted(owner >> _U(1), np.arange(shards + 1, dtype=np.uint64) << _U(63 - bits))
         partial = [(s, owner[a:b].tobytes(), sums[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         # One for every word before a pair; a pair that begins a text counts as often as it occurs.
         key, first = np.unique(pair_keys(before, tokens), return_index=True)
         _, times = _merge(pair_keys(before, tokens), np.where(inner, 1, counts))
-        take, cut = _by_shard(_pair_shard(before[first], key, hot, bits), shards)
-        pairs = [(s, pack48(before[first[take[a:b]]]), times[take[a:b]].astype(np.uint32).tobytes(), pack48(tokens[first[take[a:b]]])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
-        tables = [
-            pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), **{n: pa.array([r[k + 1] for r in rows], pa.binary()) for k, n in enumerate(names)}})
-            for rows, names in ((pairs, ("words", "counts", "also")), (partial, ("contexts", "sums")))
-        ]
-        return pa.concat_tables([*tables, _figures(figures)], promote_options="default").select(["shard", "words", "counts", "also", "contexts", "sums", "name", "word", "value"])
+        before, tokens = before[first], tokens[first]
+        frequent = np.isin(before, hot)
+        more_figures, followed = pair_level(shard, "pairs", before[~frequent], tokens[~frequent], key[~frequent], times[~frequent])
+        before, tokens, key, times = before[frequent], tokens[frequent], key[frequent], times[frequent]
+        take, cut = _by_shard(_pair_shard(before, key, hot, bits), shards)
+        pairs = [(s, pack48(before[take[a:b]]), times[take[a:b]].astype(np.uint32).tobytes(), pack48(tokens[take[a:b]])) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        return laid_out(packed(pairs, "words", "counts", "also"), packed(partial, "contexts", "sums"), packed(followed, "followed", "follows"), _figures(figures + more_figures))
 
     def merge_contexts(group: pa.Table) -> pa.Table:
         owner = np.frombuffer(b"".join(group.column("contexts").to_pylist()), np.uint64)
-        sums = np.frombuffer(b"".join(group.column("sums").to_pylist()), np.int64).reshape(-1, 4)
+        sums = np.frombuffer(b"".join(group.column("sums").to_pylist()), np.uint32).astype(np.int64).reshape(-1, 4)
         shard = group.column("shard")[0].as_py()
         owner, *sums = _merge(owner, *sums.T)
-        write_file(folder, f"contexts-{shard}", [owner, *(a for x in sums for a in pack_counts(x))])
+        more = sums[0] > 1
+        write_file(folder, f"hot-contexts-{shard}", [*pack_keys(owner[more]), *(a for x in sums for a in pack_counts(x[more]))])
         return pa.table({"n": [len(owner)]})
 
-    own_figures: list = []
-
-    def counted() -> DataFrame:
-        if order == 2:
-            return _count_pairs(texts, hot, bits)
-        grams = stored(_count_grams(texts, hot, parts, bits).groupBy("shard").applyInArrow(merge_grams, f"{WORDS}, contexts binary, sums binary, {FIGURES}"), "lm-grams")
-        gc.collect()  # lets Spark delete the shuffled triples
-        spark._jvm.System.gc()
-        own_figures.extend(grams.where("name is not null").groupBy("name").agg(F.sum("value")).collect())
-        grams.where("contexts is not null").select("shard", "contexts", "sums").groupBy("shard").applyInArrow(merge_contexts, "n bigint").agg(F.sum("n")).collect()
-        return grams.where("words is not null").select("shard", "words", "counts", "also")
-
     def merge_pairs(group: pa.Table) -> pa.Table:
         before, tokens = unpack48(group.column("words").to_pylist()), unpack48(group.column("also").to_pylist())
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).astype(np.int64)
@@ -341,19 +422,29 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
         keys, before, tokens, counts = keys[order], before[order], tokens[order], counts[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, before, tokens, counts = keys[at], before[at], tokens[at], np.add.reduceat(counts, at)
-        owner, *sums = _merge(before, counts, *_kinds(counts))
-        shard = group.column("shard")[0].as_py()
-        write_file(folder, f"pairs-{shard}", [keys, *pack_counts(counts), owner, *sums])
-        figures = [(f"pairs-{k}", 0, int((counts == k).sum())) for k in range(1, 5)] + [("pairs", 0, len(counts))]
-        for k in np.flatnonzero(np.isin(owner, hot)).tolist():
-            figures += [(f"hot-{j}", int(owner[k]), int(s[k])) for j, s in enumerate(sums)]
-        word, follows = np.unique(tokens, return_counts=True)
-        cut = np.searchsorted(_word_shard(word, bits), np.arange(shards + 1))
-        rows = [(s, pack48(word[a:b]), follows[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
-        packed = pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-        return pa.concat_tables([packed, _figures(figures)], promote_options="default").select(["shard", "words", "counts", "name", "word", "value"])
+        shard, frequent = group.column("shard")[0].as_py(), np.isin(before, hot)
+        figures, followed = pair_level(shard, "hot-pairs", before[frequent], tokens[frequent], keys[frequent], counts[frequent])
+        if order_ == 2:  # else the triples' shards have written the pairs of other words
+            also = pair_level(shard, "pairs", before[~frequent], tokens[~frequent], keys[~frequent], counts[~frequent])
+            figures, followed = figures + also[0], followed + also[1]
+        return laid_out(packed(followed, "followed", "follows"), _figures(figures))
 
-    merged = only(spark, "lm-pairs", lambda: counted().groupBy("shard").applyInArrow(merge_pairs, f"shard int, words binary, counts binary, {FIGURES}"))
+    order_ = order
+
+    def counted() -> DataFrame:
+        """What the pair level has found: figures, and the words before each word."""
+        if order_ == 2:
+            return _count_pairs(texts, hot, bits).groupBy("shard").applyInArrow(merge_pairs, kinds)
+        passes = min(PASSES, shards)
+        edges = [shards * k // passes for k in range(passes + 1)]
+        parts_ = [stored(_count_grams(texts, hot, parts, bits, a, b).groupBy("shard").applyInArrow(merge_grams, kinds), "lm-grams") for a, b in zip(edges, edges[1:])]
+        grams = reduce(DataFrame.unionByName, parts_)
+        with freed_shuffles(spark):
+            grams.where("contexts is not null").select("shard", "contexts", "sums").groupBy("shard").applyInArrow(merge_contexts, "n bigint").agg(F.sum("n")).collect()
+        found = grams.where("words is not null").select("shard", "words", "counts", "also").groupBy("shard").applyInArrow(merge_pairs, kinds)
+        return found.unionByName(grams.where("name is not null or followed is not null"))
+
+    merged = only(spark, "lm-pairs", lambda: counted().select("shard", "followed", "follows", "name", "word", "value"))
 
     def finish(group: pa.Table) -> pa.Table:
         kind, shard = group.column("kind").to_numpy(), group.column("shard")[0].as_py()
@@ -365,10 +456,10 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
         write_file(folder, f"words-{shard}", [word, count, follows])
         return _figures([(f"words-{k}", 0, int((follows == k).sum())) for k in range(1, 5)] + [("words-more", 0, int((follows > 2).sum()))])
 
-    both = words.select("shard", F.lit(0).alias("kind"), "words", "counts").unionByName(merged.where("words is not null").select("shard", F.lit(1).alias("kind"), "words", "counts"))
+    after = merged.where("followed is not null").select("shard", F.lit(1).alias("kind"), F.col("followed").alias("words"), F.col("follows").alias("counts"))
+    both = words.select("shard", F.lit(0).alias("kind"), "words", "counts").unionByName(after)
     figures = stored(both.groupBy("shard").applyInArrow(finish, FIGURES), "lm-figures").unionByName(merged.where("name is not null").select("name", "word", "value"))
     sums = {(r[0], r[1]): r[2] for r in figures.groupBy("name", "word").agg(F.sum("value")).collect()}
-    sums |= {(name, 0): value for name, value in own_figures}
     get = lambda name: sums.get((name, 0), 0)
     hot_figures = np.array([[sums.get((f"hot-{j}", int(w)), 0) for j in range(4)] for w in hot], np.float64).reshape(-1, 4)
     lower = discounts(*(get(f"words-{k}") for k in range(1, 5)))
@@ -390,40 +481,78 @@ def _file(folder: str, name: str) -> list[np.ndarray]:
     return cache[folder, name]
 
 
-def _find(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int, at: int, columns: list[int], packed: bool = False) -> list[np.ndarray]:
-    """Values of sorted distinct keys from the arrays of their shards; 0 where a key is missing."""
-    out = [np.zeros(len(keys), np.int64) for _ in columns]
+def _per_shard(folder: str, kind: str, shard: np.ndarray, count: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The arrays of each shard that has a file, and the places of its keys."""
     order, edges = _by_shard(shard, count)
     for s in np.unique(shard).tolist():
-        arrays = _file(folder, f"{kind}-{s}")
-        if not arrays or not len(arrays[at]):
-            continue
-        rows = order[edges[s] : edges[s + 1]]
+        if arrays := _file(folder, f"{kind}-{s}"):
+            yield arrays, order[edges[s] : edges[s + 1]]
+
+
+def _find(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int, at: int, columns: list[int]) -> list[np.ndarray]:
+    """Values of sorted distinct keys from the arrays of their shards; 0 where a key is missing."""
+    out = [np.zeros(len(keys), np.int64) for _ in columns]
+    for arrays, rows in _per_shard(folder, kind, shard, count):
         known = arrays[at].view(np.uint64)
-        place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-        hit = known[place] == keys[rows]
-        for o, c in zip(out, columns):
-            o[rows[hit]] = unpack_counts(arrays[c : c + 3], place[hit]) if packed else arrays[c][place[hit]]
+        if len(known):
+            place = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
+            hit = known[place] == keys[rows]
+            for o, c in zip(out, columns):
+                o[rows[hit]] = arrays[c][place[hit]]
     return out
 
 
+OWNERS = KEY_ARRAYS + 5  # in a file of pairs, behind keys and counts
+
+
+def _counts(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
+    """Counts of pairs or triples; 0 where one is missing."""
+    out = np.zeros(len(keys), np.int64)
+    for arrays, rows in _per_shard(folder, kind, shard, count):
+        place = find_keys(arrays, keys[rows])
+        hit = place >= 0
+        out[rows[hit]] = unpack_ones(arrays[KEY_ARRAYS:], place[hit])
+    return out
+
+
+def _pair_counts(model: dict, before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    folder, bits = model["folder"], model["bits"]
+    out, hot = np.zeros(len(keys), np.int64), np.isin(before, model["hot"])
+    shard = _pair_shard(before, keys, model["hot"], bits)
+    for own, kind in ((~hot, "pairs"), (hot, "hot-pairs")):
+        out[own] = _counts(folder, kind, shard[own], keys[own], 1 << bits)
+    return out
+
+
+def _context_figures(model: dict, outer: np.ndarray, middle: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each context was seen, and how many words came once, twice and more often in it; zeros for unknown ones."""
+    folder, bits, hot = model["folder"], model["bits"], np.isin(middle, model["hot"])
+    figures = np.zeros((4, len(owner)))
+    figures[:2, _pair_counts(model, outer, owner) > 0] = 1  # known and not written: seen once
+    shard = np.where(hot, ((owner >> _U(1)) >> _U(63 - bits)).astype(np.int64), _word_shard(middle, bits))
+    for own, kind in ((np.flatnonzero(~hot), "contexts"), (np.flatnonzero(hot), "hot-contexts")):
+        for arrays, rows in _per_shard(folder, kind, shard[own], 1 << bits):
+            place = find_keys(arrays, owner[own[rows]])
+            hit = place >= 0
+            for k in range(4):
+                at = KEY_ARRAYS + 3 * k
+                figures[k, own[rows[hit]]] = unpack_counts(arrays[at : at + 3], place[hit])
+    return figures
+
+
 def _discount(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *by])[np.minimum(counts, 3)]
 
 
 def _gram_scores(model: dict, outer: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(discounted probability, weight of the pair level) of every token."""
-    folder, bits, shards, hot = model["folder"], model["bits"], 1 << model["bits"], model["hot"]
+    folder, bits = model["folder"], model["bits"]
     owner, first, owner_of = np.unique(pair_keys(outer, before), return_index=True, return_inverse=True)
-    middle = before[first]
-    spread = np.isin(middle, hot)
-    figures = np.zeros((4, len(owner)))
-    for own, kind, shard, at, columns in ((~spread, "grams", _word_shard(middle, bits), 4, [5, 8, 11, 14]), (spread, "contexts", ((owner >> _U(1)) >> _U(63 - bits)).astype(np.int64), 0, [1, 4, 7, 10])):
-        figures[:, own] = np.stack(_find(folder, kind, shard[own], owner[own], shards, at, columns, packed=True))
+    figures = _context_figures(model, outer[first], before[first], owner)
     total = figures[0]
     weight = np.where(total > 0, (np.array(model["higher"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
     key, first, key_of = np.unique(gram_keys(outer, before, tokens), return_index=True, return_inverse=True)
-    (gram,) = _find(folder, "grams", _gram_shard(before[first], key, hot, model["parts"], bits), key, shards, 0, [1], packed=True)
+    gram = _counts(folder, "grams", _gram_shard(before[first], key, model["hot"], model["parts"], bits), key, 1 << bits)
     return (gram - _discount(gram, model["higher"]))[key_of] / np.maximum(total, 1)[owner_of], weight[owner_of]
 
 
@@ -435,13 +564,13 @@ def score_tokens(model: dict, *words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     count, follows = _find(folder, "words", _word_shard(word, bits), word, shards, 0, [1, 2])
     low = (follows - _discount(follows, model["lower"])) / max(model["pairs"], 1) + model["left"] / (model["words"] + 1)
     owner, owner_of = np.unique(before, return_inverse=True)
-    figures = np.stack(_find(folder, "pairs", _word_shard(owner, bits), owner, shards, 4, [5, 6, 7, 8])).astype(np.float64)
+    figures = np.stack(_find(folder, "pairs", _word_shard(owner, bits), owner, shards, OWNERS, [OWNERS + k for k in range(1, 5)])).astype(np.float64)
     hot = np.isin(owner, model["hot"])
     figures[:, hot] = model["hot_figures"][np.searchsorted(model["hot"], owner[hot])].T
     total = figures[0]
     weight = np.where(total > 0, (np.array(model["discounts"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
     key, first, key_of = np.unique(pair_keys(before, tokens), return_index=True, return_inverse=True)
-    (pair,) = _find(folder, "pairs", _pair_shard(before[first], key, model["hot"], bits), key, shards, 0, [1], packed=True)
+    pair = _pair_counts(model, before[first], key)
     high = (pair - _discount(pair, model["discounts"]))[key_of] / np.maximum(total, 1)[owner_of]
     found = high + weight[owner_of] * low[word_of]
     if model["order"] == 3:
