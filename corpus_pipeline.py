@@ -8,7 +8,6 @@ group stays, and when it holds a benchmark item.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from glossmill.llm.line_dedup import remove_repeated
 from glossmill.llm.line_frequency import judge
 from glossmill.llm.near_duplicates import near_duplicates
 from glossmill.llm.packing import pack
-from glossmill.llm.tables import only, stored, table
+from glossmill.llm.tables import only, stored, table, unused
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None  # minwise trees, tiles and bins are not SQL; tests/llm compares every stage with brute force
@@ -28,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
     Rows with equal id, source and text share a verdict; null ids and sources are values like others.
     """
-    own = {"__id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "__host": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "__mark": F.xxhash64("text")}
-    marked = docs.withColumns(own).select(F.struct("__id", "__host", "__mark").alias("key"), "source", "text")
+    values = [F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), F.xxhash64("text")]
+    own = {unused(docs.columns, name): value for name, value in zip(("__id", "__host", "__mark"), values)}
+    marked = docs.withColumns(own).select(F.struct(*own).alias("key"), "source", "text")
     rejected = only(spark, "rejected", lambda: judge(marked, "key").where("not kept").select("key.*").distinct())
     # Rejected rows grow with the documents, so the join is never a broadcast.
     return docs.withColumns(own).join(rejected.hint("merge"), list(own), "left_anti").select(*docs.columns)
@@ -62,6 +62,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Where every piece of every document lies in the training sequences."""
+    import public_tokenizers
+
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -1,16 +1,23 @@
-"""Removal of passages that repeat across a corpus, by all short runs of lines.
+"""Removal of passages that repeat across a corpus, by content-defined chunks of lines.
 
 A line ends at a line feed and, unless ``sentences=False``, also after ``.``, ``!`` or ``?`` before white space, since
-corpora carry repeated passages inside longer lines. Lines are hashed without the white space around them. A chunk is
-the shortest run of two lines or more with ``MIN_WORDS`` words that begins, or that ends, at a line: mostly every two
-lines. It depends on the lines inside it alone, so every line of a repeated passage of two lines and ``MIN_WORDS`` words
-lies in a chunk inside the passage, whatever stands around it; none is missed. Chunks that occur twice or more in the
-corpus are repeated. Of each the first occurrence, by key and place, stays; the others go, once all lines of equal hash
-in them are found equal byte for byte.
+corpora carry repeated passages inside longer lines. Lines are hashed without the white space around them. A rolling hash
+over the hashes of the last ``ROLL`` lines chooses boundaries, after one line in ``RATE``: a chunk ends where the lines
+at its end say so, and begins after the lines that ended the one before, so that a line put in or taken out moves only the
+chunks around it, and a passage has the same chunks wherever it stands, but for its two edges. The edges, and passages too
+short to hold a boundary, are secured by the shortest runs of two lines or more with ``MIN_WORDS`` words that begin, or
+that end, at a line; they depend on the lines inside them alone, so every line of a repeated passage of two lines and
+``MIN_WORDS`` words lies in a chunk or run inside the passage, whatever stands around it.
+
+Chunks and runs that occur twice or more in the corpus are repeated. Of each the first occurrence, by key and place,
+stays, and the lines of the others go, once all lines of equal hash in them are found equal byte for byte. A line goes if
+any of its chunks came before: of overlapping passages (a b) in one document and (b c) in another, a third document with
+(a b c) loses all three, though they stand in no document in a row; and of a line repeated four times in a row one stays.
 
 Defined cases: null texts stay null, empty ones empty; rows that repeat both key and text count as one document and are
 changed alike; a null key sorts first; a document whose lines all go is left with an empty text; an empty table gives an
-empty result; all other columns are kept as they are, but names that begin with two underscores belong to the operator.
+empty result; all other columns are kept as they are, whatever their names; columns that are named like the two counts in
+the result are replaced by them.
 """
 
 from __future__ import annotations
@@ -23,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossmill.llm import words as W
-from glossmill.llm.tables import only, stored
+from glossmill.llm.tables import only, stored, unused
 
 MIN_WORDS = 8
+ROLL = 2
+RATE = 4
 SPACES = b" \t\n\x0b\x0c\r"
 
 _U = np.uint64
@@ -45,20 +54,46 @@ def lines(data: np.ndarray, offsets: np.ndarray, sentences: bool = True) -> tupl
     return start, word_start[first], word_end[last - 1], last - first, np.searchsorted(offsets, start, "right") - 1
 
 
-def chunks(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first line, lines, key) of the shortest runs of two lines or more with ``MIN_WORDS`` words from and up to every line of each row."""
-    n = len(hashes)
+def boundaries(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends after each line: the hash of the last ``ROLL`` lines of the row says so."""
+    out = np.zeros(len(hashes), bool)
+    found, first = W.windows(hashes, row, ROLL)
+    out[first + ROLL - 1] = found % _U(RATE) == 0
+    return out
+
+
+def defined_chunks(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of the content-defined chunks, which divide the lines of each row."""
+    cut = boundaries(hashes, row)
+    if len(row):
+        cut[:-1] |= row[1:] != row[:-1]
+        cut[-1] = True
+    last = np.flatnonzero(cut) + 1
+    return np.concatenate([[0], last[:-1]])[: len(last)].astype(np.int64), last
+
+
+def short_runs(sizes: np.ndarray, offsets: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of the shortest runs of two lines or more with ``MIN_WORDS`` words from and up to every line."""
     before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    line = np.arange(n)
-    row = np.searchsorted(offsets, line, "right") - 1
+    line = np.arange(len(sizes))
     ahead = np.maximum(np.searchsorted(before, before[:-1] + MIN_WORDS), line + 2)
     back = np.minimum(np.searchsorted(before, before[1:] - MIN_WORDS, "right") - 1, line - 1)
     fits, also = ahead <= offsets[row + 1], back >= offsets[row]
-    first, last = np.concatenate([line[fits], back[also]]), np.concatenate([ahead[fits], line[also] + 1])
-    # A line has a word at least, so that a run has at most MIN_WORDS lines.
-    code = np.unique(first * (MIN_WORDS + 2) + last - first)
-    first, count = code // (MIN_WORDS + 2), code % (MIN_WORDS + 2)
-    return first, count, W.span_hash(hashes, first, first + count)
+    return np.concatenate([line[fits], back[also]]), np.concatenate([ahead[fits], line[also] + 1])
+
+
+def chunks(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first line, lines, key) of the content-defined chunks of two lines or more with ``MIN_WORDS`` words, and of the
+    short runs that secure their edges, by first line."""
+    row = np.searchsorted(offsets, np.arange(len(hashes)), "right") - 1
+    start, stop = defined_chunks(hashes, row)
+    before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    wide = (stop - start > 1) & (before[stop] - before[start] >= MIN_WORDS)
+    first, last = short_runs(sizes, offsets, row)
+    first, last = np.concatenate([start[wide], first]), np.concatenate([stop[wide], last])
+    code = np.unique(first * (len(hashes) + 1) + last)
+    first, last = code // (len(hashes) + 1), code % (len(hashes) + 1)
+    return first, last - first, W.span_hash(hashes, first, last)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +224,18 @@ def repeated_lines(docs: DataFrame, key: str, text: str, sentences: bool) -> Dat
     return _lines_of(ranked, _repeated(_occurrences(ranked)))
 
 
+OWN = {*KEY, "__lines", "__gone"}
+
+
 def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: bool = True) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and the columns ``__n_lines`` and ``__n_removed`` (long)."""
+    docs = docs.drop("__n_lines", "__n_removed")
+    clashing = {c: unused(docs.columns, f"{c}_of_caller") for c in docs.columns if c in OWN}
+    cut = _cut(docs.withColumnsRenamed(clashing), clashing.get(key, key), clashing.get(text, text), sentences)
+    return cut.withColumnsRenamed({own: c for c, own in clashing.items()})
+
+
+def _cut(docs: DataFrame, key: str, text: str, sentences: bool) -> DataFrame:
     lists = only(docs.sparkSession, "repeated-lines", lambda: repeated_lines(docs, key, text, sentences))
     empty = F.array().cast("array<int>")
     marked = keyed(docs, key, text).join(lists.hint("merge"), KEY, "left").withColumns({"__lines": F.coalesce("__lines", empty), "__gone": F.coalesce("__gone", empty)})

@@ -5,7 +5,7 @@ import numpy as np
 
 from glossmill.llm import near_duplicates as N
 from glossmill.llm.components import components, least_labels
-from glossmill.llm.line_dedup import MIN_WORDS, chunks, lines, remove_repeated
+from glossmill.llm.line_dedup import MIN_WORDS, boundaries, chunks, defined_chunks, lines, remove_repeated
 from glossmill.llm.near_duplicates import near_duplicates
 
 
@@ -146,9 +146,48 @@ def test_short_passages_in_two_documents_go_once(spark):
 def test_chunks_equal_brute_force():
     rng = np.random.default_rng(12)
     sizes, offsets = rng.integers(1, 7, 300), np.array([0, 0, 1, 3, 40, 41, 200, 300])
+    hashes = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    row = np.searchsorted(offsets, np.arange(300), "right") - 1
+    ends = boundaries(hashes, row)
     want = set()
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         fits = [(x, y) for x in range(a, b) for y in range(x + 2, b + 1) if sizes[x:y].sum() >= MIN_WORDS]
         want |= {min(f for f in fits if f[0] == x) for x, _ in fits} | {max(f for f in fits if f[1] == y) for _, y in fits}
-    first, count, _ = chunks(np.arange(300).astype(np.uint64), sizes, offsets)
+        edges = [a, *(k + 1 for k in range(a, b - 1) if ends[k]), b]
+        want |= {(x, y) for x, y in zip(edges, edges[1:]) if (x, y) in fits}
+    first, count, _ = chunks(hashes, sizes, offsets)
     assert set(zip(first.tolist(), (first + count).tolist())) == want and len(first) == len(want)
+    assert 0.15 < ends.mean() < 0.35 and (count > 4).any()
+
+
+def test_an_inserted_line_moves_only_the_chunks_around_it():
+    rng = np.random.default_rng(13)
+    lines = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    row = np.zeros(400, np.int64)
+
+    def spans(hashes):
+        return [tuple(hashes[a:b].tolist()) for a, b in zip(*defined_chunks(hashes, np.zeros(len(hashes), np.int64)))]
+
+    whole = spans(lines)
+    assert sum(map(len, whole)) == 400 and 60 < len(whole) < 140
+    for at in range(0, 400, 7):
+        changed = spans(np.insert(lines, at, np.uint64(7)))
+        assert len(set(whole) - set(changed)) <= 2  # the chunk with the line, and the next if a boundary beside it went
+        assert len(set(spans(np.delete(lines, at))) - set(whole)) <= 2
+    # The same passage in other surroundings: the chunks between its first and its last boundary are the same.
+    passage = lines[100:160]
+    other = np.concatenate([rng.integers(1, 1 << 62, 33).astype(np.uint64), passage, rng.integers(1, 1 << 62, 20).astype(np.uint64)])
+    ends = np.flatnonzero(boundaries(passage, row[:60]))
+    inside = {tuple(passage[a + 1 : b + 1].tolist()) for a, b in zip(ends, ends[1:])}
+    assert len(inside) > 8 and inside <= set(spans(other)) and inside <= set(whole)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    text = " ".join(f"Sentence number {k} has words here." for k in range(12))
+    rows = [(k, text, f"i{k}", k, "l", "g", 5) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __mark long, __lines string, __gone string, __n_lines int")
+    found = remove_repeated(docs)
+    assert found.columns == ["doc_id", "text", "__id", "__mark", "__lines", "__gone", "__n_lines", "__n_removed"]
+    got = {r.doc_id: r for r in found.collect()}
+    assert all((r["__id"], r["__mark"], r["__lines"], r["__gone"], r["__n_lines"]) == (f"i{k}", k, "l", "g", 12) for k, r in got.items())
+    assert got[0].text == text and got[1].text == got[2].text == ""
