@@ -42,8 +42,8 @@ from glossmill.llm.tables import freed_shuffles, only, shared_folder, stored
 CHUNK = 2_000_000
 SHARD_TOKENS = 1 << 20
 HOT_SHARE = 0.25  # of a shard's tokens
-BLOCK = 1 << 22
-PASSES = 4
+BLOCK = 3 << 21
+PASSES = 2
 NONE, END, BEGIN = 0, 1, 2  # word numbers that no word has: word hashes are forced above them
 
 _U = np.uint64
@@ -195,7 +195,8 @@ def _gram_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, parts: np
 
 
 def _by_shard(shard: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(shard, kind="stable")
+    small = shard.astype(np.uint16) if count <= 1 << 16 else shard  # these are sorted by digits
+    order = np.argsort(small, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(count + 1))
 
 
@@ -305,7 +306,7 @@ def read_file(folder: str, name: str) -> list[np.ndarray]:
         with store.open_input_file(f"{path}/{name}") as source:
             raw = np.frombuffer(source.read(), np.int64)
     else:
-        raw = np.memmap(f"{local}/{name}", np.int64, "r")
+        raw = np.asarray(np.memmap(f"{local}/{name}", np.int64, "r"))
     count = int(raw[0])
     edges = (1 + count + np.concatenate([[0], np.cumsum(raw[1 : 1 + count])])).tolist()
     return [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
@@ -481,10 +482,16 @@ def _file(folder: str, name: str) -> list[np.ndarray]:
     return cache[folder, name]
 
 
-def _per_shard(folder: str, kind: str, shard: np.ndarray, count: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """The arrays of each shard that has a file, and the places of its keys."""
-    order, edges = _by_shard(shard, count)
-    for s in np.unique(shard).tolist():
+def _per_shard(folder: str, kind: str, shard: np.ndarray, count: int, keys: np.ndarray | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The arrays of each shard that has a file, and the places of its keys, roughly in the order of the keys."""
+    left = 16 - (count - 1).bit_length()
+    if keys is None or left <= 0:
+        order, edges = _by_shard(shard, count)
+    else:
+        code = ((shard.astype(np.uint64) << _U(left)) | (keys >> _U(64 - left))).astype(np.uint16)
+        order = np.argsort(code, kind="stable")  # by digits
+        edges = np.searchsorted(code[order], np.arange(count + 1, dtype=np.int64) << left)
+    for s in np.flatnonzero(np.diff(edges)).tolist():
         if arrays := _file(folder, f"{kind}-{s}"):
             yield arrays, order[edges[s] : edges[s + 1]]
 
@@ -508,7 +515,7 @@ OWNERS = KEY_ARRAYS + 5  # in a file of pairs, behind keys and counts
 def _counts(folder: str, kind: str, shard: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
     """Counts of pairs or triples; 0 where one is missing."""
     out = np.zeros(len(keys), np.int64)
-    for arrays, rows in _per_shard(folder, kind, shard, count):
+    for arrays, rows in _per_shard(folder, kind, shard, count, keys):
         place = find_keys(arrays, keys[rows])
         hit = place >= 0
         out[rows[hit]] = unpack_ones(arrays[KEY_ARRAYS:], place[hit])
@@ -524,14 +531,14 @@ def _pair_counts(model: dict, before: np.ndarray, keys: np.ndarray) -> np.ndarra
     return out
 
 
-def _context_figures(model: dict, outer: np.ndarray, middle: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """How often each context was seen, and how many words came once, twice and more often in it; zeros for unknown ones."""
+def _context_figures(model: dict, middle: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each known context was seen, and how many words came once, twice and more often in it."""
     folder, bits, hot = model["folder"], model["bits"], np.isin(middle, model["hot"])
     figures = np.zeros((4, len(owner)))
-    figures[:2, _pair_counts(model, outer, owner) > 0] = 1  # known and not written: seen once
+    figures[:2] = 1  # where it is not written, it was seen once
     shard = np.where(hot, ((owner >> _U(1)) >> _U(63 - bits)).astype(np.int64), _word_shard(middle, bits))
     for own, kind in ((np.flatnonzero(~hot), "contexts"), (np.flatnonzero(hot), "hot-contexts")):
-        for arrays, rows in _per_shard(folder, kind, shard[own], 1 << bits):
+        for arrays, rows in _per_shard(folder, kind, shard[own], 1 << bits, owner[own]):
             place = find_keys(arrays, owner[own[rows]])
             hit = place >= 0
             for k in range(4):
@@ -544,20 +551,19 @@ def _discount(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *by])[np.minimum(counts, 3)]
 
 
-def _gram_scores(model: dict, outer: np.ndarray, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(discounted probability, weight of the pair level) of every token."""
-    folder, bits = model["folder"], model["bits"]
-    owner, first, owner_of = np.unique(pair_keys(outer, before), return_index=True, return_inverse=True)
-    figures = _context_figures(model, outer[first], before[first], owner)
-    total = figures[0]
-    weight = np.where(total > 0, (np.array(model["higher"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
-    key, first, key_of = np.unique(gram_keys(outer, before, tokens), return_index=True, return_inverse=True)
-    gram = _counts(folder, "grams", _gram_shard(before[first], key, model["hot"], model["parts"], bits), key, 1 << bits)
-    return (gram - _discount(gram, model["higher"]))[key_of] / np.maximum(total, 1)[owner_of], weight[owner_of]
+def _gram_scores(model: dict, outer: np.ndarray, before: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(discounted probability, weight of the pair level) of every token; ``known`` says whether its context is a known pair."""
+    figures = _context_figures(model, before[known], pair_keys(outer[known], before[known]))
+    total, gram = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+    weight = np.ones(len(tokens))
+    total[known], weight[known] = figures[0], (np.array(model["higher"]) @ figures[1:]) / figures[0]
+    key = gram_keys(outer[known], before[known], tokens[known])
+    gram[known] = _counts(model["folder"], "grams", _gram_shard(before[known], key, model["hot"], model["parts"], model["bits"]), key, 1 << model["bits"])
+    return (gram - _discount(gram, model["higher"])) / np.maximum(total, 1), weight
 
 
 def score_tokens(model: dict, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, training count) of every token, from its history and the token."""
+    """(log10 probability, training count) of every token, from its history and the token; tokens in the order of their texts."""
     before, tokens = words[-2:]
     folder, bits, shards = model["folder"], model["bits"], 1 << model["bits"]
     word, word_of = np.unique(tokens, return_inverse=True)
@@ -569,12 +575,13 @@ def score_tokens(model: dict, *words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     figures[:, hot] = model["hot_figures"][np.searchsorted(model["hot"], owner[hot])].T
     total = figures[0]
     weight = np.where(total > 0, (np.array(model["discounts"]) @ figures[1:]) / np.maximum(total, 1), 1.0)
-    key, first, key_of = np.unique(pair_keys(before, tokens), return_index=True, return_inverse=True)
-    pair = _pair_counts(model, before[first], key)
-    high = (pair - _discount(pair, model["discounts"]))[key_of] / np.maximum(total, 1)[owner_of]
+    pair = _pair_counts(model, before, pair_keys(before, tokens))
+    high = (pair - _discount(pair, model["discounts"])) / np.maximum(total, 1)[owner_of]
     found = high + weight[owner_of] * low[word_of]
     if model["order"] == 3:
-        higher, left = _gram_scores(model, *words)
+        # A token's context is the pair that the token before ended; a known pair not at the end of a text goes on.
+        known = np.concatenate([[False], pair[:-1] > 0])[: len(pair)] & (before != BEGIN)
+        higher, left = _gram_scores(model, *words, known)
         found = higher + left * found
     return np.log10(found), count[word_of]
 
