@@ -293,15 +293,11 @@ def _bitmap(ids: DataFrame, name: str) -> bytes:
     return whole.tobytes()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once: bool) -> DataFrame:
-    """(rep, shingles) of the wanted ids; with ``once`` false, rows that repeat id and text are left out first.
-
-    A bitmap keeps most other texts out of the shuffle; the join decides.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rep"))
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).where("rep is not null")
+def _near(rows: DataFrame, bitmap: bytes) -> DataFrame:
+    """Rows whose first column, an id, has its residue in the bitmap: all wanted ones and a few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             place = W.mix(batch.column(0).to_numpy().view(np.uint64)) % _U(FILTER_BITS)
@@ -309,7 +305,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    source = source.mapInArrow(near, "rep bigint, text string").join(wanted.hint("merge"), "rep", "left_semi")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, once: bool) -> DataFrame:
+    """(rep, shingles) of the wanted ids; with ``once`` false, rows that repeat id and text are left out first.
+
+    A bitmap keeps most other texts out of the shuffle; the join decides.
+    """
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).where("rep is not null")
+    source = _near(source, _bitmap(wanted, "rep")).join(wanted.hint("merge"), "rep", "left_semi")
     source = source if once else source.dropDuplicates(["rep", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +339,7 @@ def _merged(families: DataFrame) -> DataFrame:
 def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(rep, component) of all classes (rep, tokens) that some node pairs with another one."""
     members = stored(_sized(_first_nodes(classes)), "node-members")
+    classes = stored(_near(classes, _bitmap(members, "rep")), "paired-classes")  # sets alone in all their nodes are done
     groups = _whole(members.where(F.col("size") <= GROUP))
     large, families = members.where(F.col("size") > GROUP), None
     for depth in range(FIRST_DEPTH + 1, DEEPEST + 1):
