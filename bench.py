@@ -1,6 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-The session and its Python workers are started before the clock.
+The session and its Python workers are started before the clock. The given tables are single row groups, so the session
+asks for texts to be dealt over the cores (``spark.glossmill.deal``); the move counts in the times.
 
 Environment: BENCH_SF_DIR (data folder), BENCH_CPUS (local cores), BENCH_QUERIES (comma-separated names).
 """
@@ -16,7 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from glossmill.plans import QUERIES, load_all  # noqa: E402
-from glossmill.session import local_session  # noqa: E402
+from glossmill.session import DEAL, local_session  # noqa: E402
 
 HEADLINE = [
     "corpus_bleu_by_lang", "sentence_bleu", "worst_best_sentences", "kfold_bleu", "corpus_chrf", "corpus_chrf_words", "corpus_ter",
@@ -40,7 +41,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    spark = local_session(cpus, "bench")
+    spark = local_session(cpus, "bench", **{DEAL: cpus})
     spark.sparkContext.setLogLevel("ERROR")
     for name in WARM_UP:
         run(spark, name, folder)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from glossmill.functions import SPACE, SPACES, as_column, bind
 from glossmill.operators.ngrams import COUNTS, as_lists, chunks, lengths, match_table
 from glossmill.operators.scoring import sum_statistics
-from glossmill.session import cut
 
 ORDER = 4
 WIDTH = 2 + 2 * ORDER
@@ -171,10 +170,11 @@ def sentence_bleu(
 def worst_and_best(df: DataFrame, n: int = 10, key: str = "id", column: str = "bleu") -> DataFrame:
     """The ``n`` lowest and ``n`` highest rows; each task keeps its own ``n``, nothing is sorted whole.
 
-    Keys and scores are stored first, so rows are scored once for both ends. The other columns are
-    fetched for the chosen rows only, of which there are at most ``2 n``.
+    Keys and scores pass one exchange that both ends read, so rows are scored once. The other columns are
+    fetched for the chosen rows only, of which there are at most ``2 n``. Nothing runs while the query is built.
     """
-    scores = cut(df.select(key, column))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scores = df.select(key, column).repartition(parts)
     worst = scores.orderBy(F.col(column).asc(), F.col(key).asc()).limit(n).withColumn("side", F.lit("worst"))
     best = scores.orderBy(F.col(column).desc(), F.col(key).desc()).limit(n).withColumn("side", F.lit("best"))
     chosen = worst.unionByName(best)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.session import dealt
+
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 SQL_STAMP = "%Y-%m-%d %H:%M:%S.%f"
 
@@ -13,13 +15,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The named columns of the documents, dealt over tasks if the session asks for it."""
+    return dealt(table(spark, folder, "documents").select(*columns))
+
+
 def stamp(c: Column | str) -> Column:
     return F.date_format(c, STAMP)
 
 
 def document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as references, each with a hypothesis that an edit rule derives from it."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    documents = texts(spark, folder, "doc_id", "lang", "text")
     text, turn = F.col("text"), F.col("doc_id") % 4
     hypothesis = (
         F.when(turn == 0, F.lower(text))
@@ -43,7 +50,7 @@ pairs AS (
 
 def line_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document as a pair; one line in two has its first two words swapped and one word dropped."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    documents = texts(spark, folder, "doc_id", "lang", "text")
     lines = documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "reference"))
     swapped = F.regexp_replace(F.regexp_replace("reference", r"^([^ ]+) ([^ ]+) ", "$2 $1 "), r" [^ ]+$", "")
     hypothesis = F.when((F.col("doc_id") + F.col("line")) % 2 == 0, swapped).otherwise(F.col("reference"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossmill.operators import bleu, chrf, inference, ter
 from glossmill.operators.pairs import align
 from glossmill.plans import query
-from glossmill.plans.inputs import SQL_DOCUMENT_PAIRS, document_pairs, line_pairs, table
+from glossmill.plans.inputs import SQL_DOCUMENT_PAIRS, document_pairs, line_pairs, table, texts
 
 
 def sql_tokens(text: str) -> str:
@@ -167,7 +167,7 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 FROM documents WHERE contains(text, '(')
 """)
 def batch_infer_dummy(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder, "doc_id", "text")
 
     def make_predict():
         return lambda texts: [t.replace(" the ", " le ") for t in texts]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossmill.operators import rulepacks, rules
 from glossmill.plans import query
-from glossmill.plans.inputs import table
+from glossmill.plans.inputs import table, texts
 
 GITHUB, AWS = "ghp_" + "a1" * 18, "AKIA" + "Z9" * 8
 PLANTED = f"""text || CASE WHEN doc_id % 50 = 0 THEN '\n token {GITHUB}' WHEN doc_id % 50 = 1 THEN '\n{AWS}'
@@ -30,7 +30,7 @@ SQL_FOUND = "WITH d AS (SELECT doc_id, " + PLANTED + " AS t FROM documents), fou
 
 
 def planted_findings(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder, "doc_id", "text")
     documents = documents.select("doc_id", F.expr(PLANTED.replace("\\", "\\\\")).alias("t"))
     return rules.rule_scan(documents, ["doc_id"], "t", rulepacks.SECURITY)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import names, numbers, scores, status, text
 from glossmill.plans import query
-from glossmill.plans.inputs import SQL_STATUS, run_status, table
+from glossmill.plans.inputs import SQL_STATUS, run_status, table, texts
 
 
 @query("slugify_parts", r"""
@@ -236,7 +236,7 @@ f AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '\s+([.,
 SELECT doc_id, trim(regexp_replace(t, '([.,;:!?])([A-Za-z])', '\1 \2', 'g')) AS cleaned FROM f
 """)
 def clean_translation_full(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", F.expr(MARKED).alias("t"))
+    documents = texts(spark, folder, "doc_id", "text").select("doc_id", F.expr(MARKED).alias("t"))
     return documents.select("doc_id", text.clean_translation("t", "full").alias("cleaned"))
 
 
@@ -248,7 +248,7 @@ c AS (SELECT doc_id, regexp_replace(t, '\s*\(\s*(ki|d|m|f|lu|munus)\s*\)\s*', '
 SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS cleaned FROM c
 """)
 def clean_translation_light(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text").select("doc_id", F.expr(MARKED).alias("t"))
+    documents = texts(spark, folder, "doc_id", "text").select("doc_id", F.expr(MARKED).alias("t"))
     return documents.select("doc_id", text.clean_translation("t", "light").alias("cleaned"))
 
 
@@ -262,7 +262,7 @@ SELECT doc_id, array_to_string(words, ' ') AS skeleton FROM s
 """)
 def consonant_skeleton(spark, folder):
     marked = F.concat(F.lit("(d)"), F.col("text"), F.lit(" LUGAL ₂. 3,5"))
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = texts(spark, folder, "doc_id", "text")
     return documents.select("doc_id", text.consonant_skeleton(marked).alias("skeleton"))
 
 

@@ -42,6 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
+DEAL = "spark.glossmill.deal"
+
+
+def dealt(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt in turn over ``parts`` tasks, else over as many as the session's ``spark.glossmill.deal`` says.
+
+    Without either the rows stay where the scan puts them, which is right for tables of many files or row groups. Dealing
+    pays where a few large row groups would keep all but a few tasks idle; it moves every row once, so cut the columns first.
+    """
+    wanted = parts or int(df.sparkSession.conf.get(DEAL, None) or 0)
+    return df.repartition(wanted) if wanted else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so that iterations keep a short lineage."""
     ensure_checkpoint_dir(df.sparkSession)
