@@ -93,16 +93,20 @@ def tokens(c: Column | str, settings: BleuSettings = DEFAULT) -> Column:
     return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
-@F.arrow_udf(COUNTS)
-def bleu_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    """Per row: hypothesis length, reference length, then matches and n-grams for each order."""
+def count_matrix(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """A row per pair: hypothesis length, reference length, then matches and n-grams for each order."""
     parts = []
     for left, right in chunks(hyp, ref):
         columns = [lengths(left), lengths(right)]
         for total, _, matched in match_table(left, right, ORDER):
             columns += [matched, total]
         parts.append(np.column_stack(columns))
-    return as_lists(np.concatenate(parts) if parts else np.zeros((0, WIDTH), dtype=np.int64))
+    return np.concatenate(parts) if parts else np.zeros((0, WIDTH), dtype=np.int64)
+
+
+@F.arrow_udf(COUNTS)
+def bleu_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return as_lists(count_matrix(hyp, ref))
 
 
 def statistics(hypothesis: str, reference: str, settings: BleuSettings = DEFAULT) -> Column:

@@ -33,25 +33,25 @@ def words(c: Column | str, lowercase: bool = False) -> Column:
     return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
-def _statistics(hyp: pa.Array, ref: pa.Array, orders: int) -> pa.Array:
-    """Per row and order: hypothesis n-grams (0 where the reference has none), reference n-grams, matches."""
+def count_matrix(hyp: pa.Array, ref: pa.Array, orders: int) -> np.ndarray:
+    """A row per pair, for each order: hypothesis n-grams (0 where the reference has none), reference n-grams, matches."""
     parts = []
     for left, right in chunks(hyp, ref):
         columns = []
         for hyp_total, ref_total, matched in match_table(left, right, orders):
             columns += [np.where(ref_total > 0, hyp_total, 0), ref_total, matched]
         parts.append(np.column_stack(columns))
-    return as_lists(np.concatenate(parts) if parts else np.zeros((0, 3 * orders), dtype=np.int64))
+    return np.concatenate(parts) if parts else np.zeros((0, 3 * orders), dtype=np.int64)
 
 
 def statistics(hypothesis: str, reference: str, word_order: int = 0, lowercase: bool = False) -> Column:
     @F.arrow_udf(COUNTS)
     def char_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _statistics(hyp, ref, CHAR_ORDER)
+        return as_lists(count_matrix(hyp, ref, CHAR_ORDER))
 
     @F.arrow_udf(COUNTS)
     def word_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-        return _statistics(hyp, ref, word_order)
+        return as_lists(count_matrix(hyp, ref, word_order))
 
     by_char = char_statistics(characters(hypothesis, lowercase), characters(reference, lowercase))
     if not word_order:

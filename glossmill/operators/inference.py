@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import as_column
 from glossmill.functions.text import clean_translation, with_prefix
-from glossmill.operators.bleu import DEFAULT, BleuSettings, corpus_bleu
+from glossmill.operators.bleu import DEFAULT, BleuSettings
+from glossmill.operators.evaluation import evaluate, named
 
 Predict = Callable[[list[str]], list[str]]
 
@@ -77,9 +78,15 @@ def compare_models(
     samples: int | None = None,
     order: list[str] | None = None,
     settings: BleuSettings = DEFAULT,
+    secondary: list[str] | None = None,
 ) -> DataFrame:
-    """BLEU per model, best first. ``samples`` limits the evaluation rows, taken in the given order."""
+    """BLEU per model, best first, and the ``secondary`` metrics beside it, all from one pass over the rows.
+
+    ``samples`` limits the evaluation rows, taken in the given order.
+    """
     if samples is not None:
         df = df.orderBy(*(order or [])).limit(samples)
     stacked = stack_models(df, models, [reference])
-    return corpus_bleu(stacked, ["model", "weight"], "hypothesis", reference, settings).orderBy(F.col("bleu").desc(), "model")
+    metrics = named(["bleu", *[m for m in secondary or [] if m != "bleu"]], settings)
+    scores = evaluate(stacked, metrics, ["model", "weight"], "hypothesis", reference)
+    return scores.withColumn("signature", F.col("signatures")["bleu"]).orderBy(F.col("bleu").desc(), "model")

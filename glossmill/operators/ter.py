@@ -215,9 +215,8 @@ def edit_counts(hyps: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-@F.arrow_udf(COUNTS)
-def ter_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    """Per row: edits and reference words."""
+def count_matrix(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+    """A row per pair: edits and reference words."""
     parts = []
     for left, right in chunks(hyp, ref):
         hyp_len, ref_len = lengths(left), lengths(right)
@@ -225,7 +224,12 @@ def ter_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
         hyp_rows = np.split(hyp_codes, np.cumsum(hyp_len)[:-1])
         ref_rows = np.split(ref_codes, np.cumsum(ref_len)[:-1])
         parts.append(np.column_stack([edit_counts(hyp_rows, ref_rows), ref_len]))
-    return as_lists(np.concatenate(parts) if parts else np.zeros((0, 2), dtype=np.int64))
+    return np.concatenate(parts) if parts else np.zeros((0, 2), dtype=np.int64)
+
+
+@F.arrow_udf(COUNTS)
+def ter_statistics(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return as_lists(count_matrix(hyp, ref))
 
 
 def tokens(c: Column | str, case_sensitive: bool = False) -> Column:
@@ -242,6 +246,10 @@ def ter_column(edit_count: Column, ref_words: Column) -> Column:
     return F.when(ref_words > 0, 100.0 * edit_count / ref_words).otherwise(without_ref)
 
 
+def signature(case_sensitive: bool = False) -> str:
+    return f"nrefs:1|case:{'mixed' if case_sensitive else 'lc'}|tok:tercom|norm:no|punct:yes|asian:no"
+
+
 def corpus_ter(
     df: DataFrame,
     by: list[str] | None = None,
@@ -251,13 +259,12 @@ def corpus_ter(
 ) -> DataFrame:
     """TER of all rows, or of each group, with its edits and reference words."""
     sums = sum_statistics(df, statistics(hypothesis, reference, case_sensitive), 2, by)
-    case = "mixed" if case_sensitive else "lc"
     return sums.select(
         *(by or []),
         ter_column(F.col("s0"), F.col("s1")).alias("ter"),
         F.col("s0").alias("edits"),
         F.col("s1").alias("ref_words"),
-        F.lit(f"nrefs:1|case:{case}|tok:tercom|norm:no|punct:yes|asian:no").alias("signature"),
+        F.lit(signature(case_sensitive)).alias("signature"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmill.operators import bleu, chrf, inference, ter
+from glossmill.operators import bleu, chrf, evaluation, inference, ter
 from glossmill.operators.pairs import align
 from glossmill.plans import query
 from glossmill.plans.inputs import SQL_DOCUMENT_PAIRS, document_pairs, line_pairs, table, texts
@@ -148,6 +148,18 @@ def corpus_chrf(spark, folder):
     return rounded(chrf.corpus_chrf(document_pairs(spark, folder), ["lang"]), ["chrf"]).select("lang", "chrf")
 
 
+@query("evaluate_by_lang", f"""
+SELECT b.*, c.chrf, e.exact, e.pairs
+FROM (WITH {sql_bleu('lang')} SELECT grp AS lang, {SQL_BLEU_COLUMNS} FROM bleus) b
+JOIN (WITH {sql_chrf()} SELECT lang, round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END, 6) AS chrf FROM means) c ON b.lang = c.lang
+JOIN (WITH {SQL_DOCUMENT_PAIRS} SELECT lang, round(100.0 * sum(CASE WHEN hypothesis = reference THEN 1 ELSE 0 END) / count(*), 6) AS exact, count(*) AS pairs
+  FROM pairs GROUP BY lang) e ON b.lang = e.lang
+""")
+def evaluate_by_lang(spark, folder):
+    scores = evaluation.evaluate(document_pairs(spark, folder), ["bleu", "chrf", "exact"], ["lang"])
+    return rounded(scores, [*BLEU_COLUMNS, "chrf", "exact"]).drop("signatures")
+
+
 @query("corpus_chrf_words")
 def corpus_chrf_words(spark, folder):
     return chrf.corpus_chrf(document_pairs(spark, folder), ["lang"], word_order=2)

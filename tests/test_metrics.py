@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.operators import bleu, chrf, inference, ngrams, sampling, studies, ter
+from glossmill.operators import bleu, chrf, evaluation, inference, ngrams, sampling, studies, ter
 from glossmill.operators.scoring import score
 
 
@@ -226,6 +226,38 @@ def test_kfold_and_extremes(spark):
     assert {r.id for r in ends.where("side = 'best'").collect()} == set(ranked[-5:])
 
 
+def test_evaluation_equals_single_metrics(spark):
+    df = spark.createDataFrame([*corpus(5, 60), (900, 1, None, "a b"), (901, 2, "", ""), (902, 2, None, None)], SCHEMA)
+    found = {r.grp: r for r in evaluation.evaluate(df, ["bleu", "chrf", "chrf_words", "ter", "exact"], ["grp"]).collect()}
+    singles = {
+        "bleu": bleu.corpus_bleu(df, ["grp"]), "chrf": chrf.corpus_chrf(df, ["grp"]), "ter": ter.corpus_ter(df, ["grp"]),
+        "chrf_words": chrf.corpus_chrf(df, ["grp"], word_order=2).withColumnRenamed("chrf", "chrf_words"),
+    }
+    for name, single in singles.items():
+        rows = single.collect()
+        assert {r.grp for r in rows} == set(found)
+        for row in rows:
+            one = found[row.grp]
+            assert one.signatures[name] == row.signature
+            assert all(one[c] == pytest.approx(row[c]) for c in row.asDict() if c not in ("grp", "signature"))
+    exact = df.groupBy("grp").agg((100.0 * F.avg(F.col("hypothesis").eqNullSafe(F.col("reference")).cast("int"))).alias("x"), F.count("*").alias("n"))
+    assert all((found[r.grp].exact, found[r.grp].pairs) == (pytest.approx(r.x), r.n) for r in exact.collect())
+
+
+def test_evaluation_reads_and_shuffles_once(spark, tmp_path):
+    spark.createDataFrame(corpus(6, 30), SCHEMA).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    scores = evaluation.evaluate(df, ["bleu", "chrf_words", "ter"], ["grp"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("Exchange hashpartitioning"), plan.count("ArrowEvalPython")) == (1, 1, 1)
+    empty = evaluation.evaluate(df.where("id < 0"), ["bleu", "ter", "exact"]).first()
+    assert (empty.bleu, empty.ter, empty.exact, empty.sys_len) == (0.0, 0.0, None, 0)
+    assert evaluation.evaluate(df.where("id < 0"), ["bleu"], ["grp"]).count() == 0
+    for wrong in ([], ["bleu", "bleu"], ["meteor"]):
+        with pytest.raises(ValueError):
+            evaluation.evaluate(df, wrong)
+
+
 def test_user_metric(spark):
     df = spark.createDataFrame(corpus(4, 50), SCHEMA)
     statistics = F.array(F.length("hypothesis"), F.length("reference"))
@@ -253,6 +285,8 @@ def test_comparison_and_votes(spark):
     models = {"good": F.col("reference"), "bad": F.lit("x")}
     result = inference.compare_models(df, models).collect()
     assert [(r.model, r.weight) for r in result] == [("good", 0.5), ("bad", 0.5)] and result[0].bleu == pytest.approx(100.0)
+    both = inference.compare_models(df, models, secondary=["bleu", "ter", "exact"]).collect()
+    assert [(r.model, r.ter, r.exact) for r in both] == [("good", 0.0, 100.0), ("bad", 100.0, 0.0)] and set(both[0].signatures) == {"bleu", "ter", "exact"}
     assert inference.compare_models(df, models, samples=1, order=["id"]).first().ref_len == 6
     votes = spark.createDataFrame([(1, "b", 1.0), (1, "a", 0.5), (1, "a", 0.5), (2, "z", 2.0)], "id int, prediction string, weight double")
     assert sorted((r.id, r.prediction) for r in studies.weighted_vote(votes).collect()) == [(1, "a"), (2, "z")]
