@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossmill.operators import kernels, lineage, registry
+from glossmill.operators import kernels, lineage, registration, registry
 from glossmill.plans import query
 from glossmill.plans.inputs import (
     SQL_KERNELS, SQL_LINKS, SQL_STAMP, SQL_VERSIONS, dataset_rows, dataset_versions, kernel_versions, run_links, stamp, table,
@@ -322,3 +322,43 @@ def schema_violations(spark, folder):
         F.col("event_type").alias("dataset"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("column_name")
     )
     return registry.schema_violations(used, known, ["k6"])
+
+
+LINE_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"))
+
+
+@query("register_datasets", f"""
+WITH rows AS (SELECT 'lines-' || CAST(l_suppkey AS VARCHAR) AS name, l_returnflag AS flag, {LINE_TEXT} AS t FROM lineitem),
+described AS (
+  SELECT name, flag, count(*) AS row_count, CAST(sum(strlen(t)) AS BIGINT) AS size_bytes,
+    md5(CAST(count(*) AS VARCHAR) || '|' || CAST(bit_xor(CAST('0x' || substr(md5(t), 1, 15) AS BIGINT)) AS VARCHAR) || '|'
+      || CAST(sum(CAST('0x' || substr(md5(t), 17, 15) AS BIGINT)) AS VARCHAR)) AS checksum
+  FROM rows GROUP BY name, flag),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY flag) AS version, min(flag) OVER (PARTITION BY name) AS first_flag FROM described),
+made AS (SELECT *, sha256(name || ':' || CAST(version AS VARCHAR) || ':' || checksum) AS id FROM numbered WHERE first_flag = 'A')
+SELECT m.id, m.name, m.version, CASE WHEN m.version > 1 THEN p.id END AS parent_version_id, m.row_count, m.size_bytes, m.checksum,
+  m.flag AS source_path, CASE WHEN m.flag = 'N' THEN replace(m.name, 'lines', 'run') END AS run_id
+FROM made m JOIN made p ON p.name = m.name AND p.version = 1
+""")
+def register_datasets(spark, folder):
+    """A supplier's lines by return flag are the versions of a data set; the first flag is registered first, then all flags twice."""
+    from uuid import uuid4
+
+    from glossmill.session import ensure_checkpoint_dir
+
+    store = f"{ensure_checkpoint_dir(spark)}/registry-{uuid4().hex}"
+    lines = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("lines-"), F.col("l_suppkey").cast("string")).alias("name"), F.col("l_returnflag").alias("source_path"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus",
+    )
+    first, later = F.col("source_path") == "A", F.col("source_path") > "A"
+    described = registration.describe(lines, ["name", "source_path"]).withColumns({
+        "parent": F.when(later, F.concat("name", F.lit(":1"))),
+        "run_id": F.when(F.col("source_path") == "N", F.replace("name", F.lit("lines"), F.lit("run"))),
+    })
+    registration.register(described.where(first), store, ["source_path"])
+    for _ in range(2):
+        registration.register(described, store, ["source_path"])
+    links = registration.registered_links(spark, store).select(F.col("dataset_version_id").alias("id"), "run_id")
+    columns = ["id", "name", "version", "parent_version_id", "row_count", "size_bytes", "checksum", "source_path"]
+    return registration.registered(spark, store).select(*columns).join(links, "id", "left")
