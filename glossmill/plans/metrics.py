@@ -81,11 +81,12 @@ def corpus_bleu_by_lang(spark, folder):
 
 @query("kfold_bleu", f"""
 WITH {sql_bleu('doc_id % 5')}, folds AS (SELECT count(*) AS folds, avg(bleu) AS mean_bleu, stddev_pop(bleu) AS std_bleu FROM bleus)
-SELECT folds, round(mean_bleu, 6) AS mean_bleu, round(std_bleu, 6) AS std_bleu FROM folds
+SELECT folds, round(mean_bleu, 6) AS mean_bleu, round(std_bleu, 6) AS std_bleu,
+  (SELECT round(bleu, 6) FROM (WITH {sql_bleu('1')} SELECT bleu FROM bleus)) AS overall_bleu FROM folds
 """)
 def kfold_bleu(spark, folder):
     folds = document_pairs(spark, folder).withColumn("fold", F.col("doc_id") % 5)
-    return rounded(bleu.kfold_bleu(folds), ["mean_bleu", "std_bleu"]).drop("overall_bleu")
+    return rounded(bleu.kfold_bleu(folds), ["mean_bleu", "std_bleu", "overall_bleu"])
 
 
 @query("sentence_bleu", f"WITH {sql_bleu('doc_id')} SELECT grp AS doc_id, round(bleu, 6) AS bleu FROM bleus")
