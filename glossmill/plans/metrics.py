@@ -161,9 +161,33 @@ def evaluate_by_lang(spark, folder):
     return rounded(scores, [*BLEU_COLUMNS, "chrf", "exact"]).drop("signatures")
 
 
-@query("corpus_chrf_words")
+def sql_chrf_words() -> str:
+    """The character orders of ``sql_chrf`` and two word orders; a mark at the end of a word, else one at its start, stands alone."""
+    mark = r"'^[!-/:-@\[-`{-~]$'"
+    cut = f"""CASE WHEN length(w) > 1 AND regexp_matches(right(w, 1), {mark}) THEN [left(w, -1), right(w, 1)]
+      WHEN length(w) > 1 AND regexp_matches(left(w, 1), {mark}) THEN [left(w, 1), right(w, -1)] ELSE [w] END"""
+    return rf"""
+{sql_chrf()}, sides AS (SELECT doc_id AS id, 0 AS side, hypothesis AS t FROM pairs UNION ALL SELECT doc_id, 1, reference FROM pairs),
+cut_words AS (SELECT id, side, flatten(list_transform(list_filter(string_split(regexp_replace(t, '\s+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {cut})) AS ws FROM sides),
+placed AS (SELECT id, side, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut_words),
+next_words AS (SELECT id, side, w, lead(w) OVER (PARTITION BY id, side ORDER BY i) AS v FROM placed),
+word_grams AS (SELECT id, side, 7 AS n, w AS g FROM next_words UNION ALL SELECT id, side, 8, w || ' ' || v FROM next_words WHERE v IS NOT NULL),
+word_counts AS (SELECT id, n, g, count(*) FILTER (side = 0) AS ch, count(*) FILTER (side = 1) AS cr FROM word_grams GROUP BY id, n, g),
+word_matches AS (SELECT id, n, sum(least(ch, cr)) AS m, sum(ch) AS h, sum(cr) AS r FROM word_counts GROUP BY id, n),
+all_orders AS (
+  SELECT lang, n, m, h, r FROM per_order
+  UNION ALL
+  SELECT lang, n, sum(m), CAST(sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS DOUBLE), CAST(sum(r) AS DOUBLE) FROM word_matches JOIN c USING (id) GROUP BY lang, n),
+word_means AS (SELECT lang, avg(m / h) AS p, avg(m / r) AS q FROM all_orders WHERE h > 0 AND r > 0 GROUP BY lang)
+"""
+
+
+@query("corpus_chrf_words", f"""
+WITH {sql_chrf_words()}
+SELECT lang, round(CASE WHEN p + q > 0 THEN 500 * p * q / (4 * p + q) ELSE 0 END, 6) AS chrf, 'nrefs:1|case:mixed|eff:yes|nc:6|nw:2|space:no' AS signature FROM word_means
+""")
 def corpus_chrf_words(spark, folder):
-    return chrf.corpus_chrf(document_pairs(spark, folder), ["lang"], word_order=2)
+    return rounded(chrf.corpus_chrf(document_pairs(spark, folder), ["lang"], word_order=2), ["chrf"])
 
 
 @query("corpus_ter")
