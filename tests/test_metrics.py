@@ -205,6 +205,48 @@ def test_ter_equals_its_definition():
     assert found == [plain_ter(h, r) if h else len(r) for h, r in pairs]
 
 
+def edited(chooser, words, edits, kinds):
+    """A copy with some words dropped, added, changed or moved."""
+    words = list(words)
+    for _ in range(edits):
+        at, kind = chooser.randrange(len(words) + 1), chooser.randrange(4)
+        if kind == 0:
+            words.insert(at, chooser.randrange(kinds))
+        elif kind == 1:
+            words[at : at + 1] = [chooser.randrange(kinds)]
+        elif kind == 2 and len(words) > 1:
+            words.pop(at % len(words))
+        else:
+            words = words[at:] + words[:at] if len(words) < 8 else words[:at] + words[at + 3 :] + words[at : at + 3]
+    return words
+
+
+def test_thin_band_equals_the_whole_beam():
+    chooser = random.Random(4)
+    refs = [[chooser.randrange(9) for _ in range(chooser.randint(1, 70))] for _ in range(300)]
+    hyps = [edited(chooser, ref, chooser.randrange(9), 9) or [0] for ref in refs]
+    arrays = [[np.array(words, dtype=np.int32) for words in side] for side in (hyps, refs)]
+    whole = ter.Band(*arrays, keep=True)
+    sides = whole.alignment()
+    for limit in (0, 1, 3, 8, ter.BEAM - 1):
+        thin = ter.ThinBand(*arrays, limit, keep=True).total
+        within = np.flatnonzero(whole.total <= limit)
+        assert (thin[within] == whole.total[within]).all() and (np.delete(thin, within) > limit).all()
+        near = [[side[k] for k in within] for side in arrays]
+        if len(within):
+            found = ter.ThinBand(*near, limit, keep=True).alignment()
+            assert all((f == s[within, : f.shape[1]]).all() for f, s in zip(found, sides))
+
+
+def test_ter_of_near_pairs_needs_no_whole_beam(monkeypatch):
+    chooser = random.Random(6)
+    refs = [[chooser.randrange(500) for _ in range(chooser.randint(5, 60))] for _ in range(200)]
+    hyps = [[ref[1], ref[0], *ref[2:-1]] for ref in refs]
+    monkeypatch.setattr(ter, "Band", None)
+    found = ter.edit_counts(*[[np.array(words, dtype=np.int32) for words in side] for side in (hyps, refs)])
+    assert found.tolist() == [1 if ref[0] == ref[1] else 2 for ref in refs]
+
+
 def test_ter_columns(spark):
     rows = [(1, 0, "b a c d", "a b c d"), (2, 0, "A b", "a b"), (3, 1, "x", ""), (4, 1, None, "a b"), (5, 2, "a b c d e f", "d e f a b c")]
     df = spark.createDataFrame(rows, SCHEMA)
