@@ -2,7 +2,7 @@
 
 The matches of a pair depend on that pair alone, so they need no shuffle: each Arrow batch is scored
 where it lies and Spark adds up small integers. Within a batch all n-grams become integer keys that are
-sorted once per order; the keys are exact, not hashed.
+sorted once, or once per order where the longest n-gram does not fit into one key; the keys are exact, not hashed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 COUNTS = T.ArrayType(T.LongType())
-CHUNK_SYMBOLS = 2_000_000
+CHUNK_SYMBOLS = 200_000
 KEY_LIMIT = 2**61
 
 
@@ -33,7 +33,7 @@ def symbols(hyp: pa.Array, ref: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
         codes, kinds = encoded.indices.to_numpy(), len(encoded.dictionary)
         return codes[: len(left)], codes[len(left) :], max(kinds, 1)
     left, right = (np.frombuffer("".join(pc.fill_null(side, "").to_pylist()).encode("utf-32-le"), np.uint32) for side in (hyp, ref))
-    present = np.zeros(0x110000, dtype=bool)
+    present = np.zeros(max((int(side.max()) + 1 for side in (left, right) if side.size), default=1), dtype=bool)
     present[left], present[right] = True, True
     number = np.cumsum(present) - 1
     return number[left], number[right], max(int(number[-1]) + 1, 1)
@@ -65,10 +65,56 @@ def clipped(hyp_keys: np.ndarray, ref_keys: np.ndarray, hyp_count: np.ndarray, r
     return found.astype(np.int64)
 
 
+def padded_keys(codes: np.ndarray, size: np.ndarray, orders: int, bits: int) -> np.ndarray:
+    """Row and the next ``orders`` symbols of every position as one number; behind the end of a row symbols are 0."""
+    row = np.repeat(np.arange(size.size), size)
+    at = np.arange(codes.size) + row * (orders - 1)
+    room = codes.size + size.size * (orders - 1)
+    spread = np.zeros(room + orders, dtype=np.int64)
+    spread[at] = codes + 1
+    keys = spread[:room].copy()
+    for k in range(1, orders):
+        keys <<= bits
+        keys |= spread[k : k + room]
+    return keys[at] | (row << (bits * orders))
+
+
+def prefix_matches(
+    sides: list[tuple[np.ndarray, np.ndarray]], orders: int, bits: int
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The table from one sort: in the order of the longest n-grams the shorter ones, their beginnings, lie side by side."""
+    (left, hyp_len), (right, ref_len) = sides
+    keys = np.concatenate([padded_keys(left, hyp_len, orders, bits) << 1, (padded_keys(right, ref_len, orders, bits) << 1) | 1])
+    keys.sort()
+    # Where n-grams begin: the highest bit at which each differs from the one before; positions and, in the lower half,
+    # reference n-grams so far.
+    change = np.concatenate([[0], keys[1:] ^ keys[:-1]])[: keys.size]
+    change[:1] = 2**62
+    places = (np.arange(keys.size + 1) << 32) + np.concatenate([[0], np.cumsum(keys & 1)])
+    end, places = places[-1:], places[:-1]
+    result = []
+    for order in range(orders, 0, -1):
+        drop = 1 + bits * (orders - order)
+        begins = np.flatnonzero(change >= 1 << drop)
+        change, places = change.take(begins), places.take(begins)
+        both = np.diff(places, append=end)
+        ref_count = both & 0xFFFFFFFF
+        found = np.minimum((both >> 32) - ref_count, ref_count)
+        met = np.flatnonzero(found)
+        key = keys[places[met] >> 32] >> drop
+        whole = key & ((1 << bits) - 1) != 0
+        matched = np.bincount(key[whole] >> (bits * order), weights=found[met[whole]], minlength=hyp_len.size).astype(np.int64)
+        result.append((*(np.maximum(size - order + 1, 0) for size in (hyp_len, ref_len)), matched))
+    return result[::-1]
+
+
 def match_table(hyp: pa.Array, ref: pa.Array, orders: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per order 1..n: n-grams of the hypothesis, of the reference, and clipped matches, by row."""
     hyp_len, ref_len = lengths(hyp), lengths(ref)
     left, right, kinds = symbols(hyp, ref)
+    bits = kinds.bit_length()
+    if len(hyp).bit_length() + orders * bits < 63:
+        return prefix_matches([(left, hyp_len), (right, ref_len)], orders, bits)
     sides = []
     for codes, size in ((left, hyp_len), (right, ref_len)):
         row = np.repeat(np.arange(size.size), size)

@@ -247,6 +247,19 @@ def test_ter_of_near_pairs_needs_no_whole_beam(monkeypatch):
     assert found.tolist() == [1 if ref[0] == ref[1] else 2 for ref in refs]
 
 
+def test_all_orders_come_from_one_sort(monkeypatch):
+    chooser = random.Random(8)
+    texts = [["".join(chooser.choice("abé中 ") for _ in range(chooser.randint(0, 30))) for _ in range(200)] for _ in range(2)]
+    texts[0][:3], texts[1][:3] = [None, "", "abcabc"], ["ab", None, "abcabc"]
+    monkeypatch.setattr(ngrams, "clipped", None)
+    for sides, kind in ((texts, pa.string()), ([[None if t is None else list(t) for t in side] for side in texts], pa.list_(pa.string()))):
+        table = ngrams.match_table(pa.array(sides[0], kind), pa.array(sides[1], kind), 6)
+        for n, (hyp_total, ref_total, matched) in enumerate(table, 1):
+            for row, (h, r) in enumerate(zip(*sides)):
+                h, r = grams(tuple(h or ""), n), grams(tuple(r or ""), n)
+                assert (hyp_total[row], ref_total[row], matched[row]) == (sum(h.values()), sum(r.values()), sum((h & r).values()))
+
+
 def test_ter_columns(spark):
     rows = [(1, 0, "b a c d", "a b c d"), (2, 0, "A b", "a b"), (3, 1, "x", ""), (4, 1, None, "a b"), (5, 2, "a b c d e f", "d e f a b c")]
     df = spark.createDataFrame(rows, SCHEMA)
