@@ -30,6 +30,10 @@ OPEN_BINS = 256
 END_ID = 1
 CACHE_WORDS = 600_000
 REPACK_ROWS = 200_000
+LETTER, MARK = 1, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[97:123] = LETTER
+KINDS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = MARK
 
 
 class Bins:
@@ -120,21 +124,24 @@ class WordIds:
 
 
 def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What is encoded on its own: words, with a full stop or comma after a letter split off, A-Z in lower case.
+    """What is encoded on its own: words, cut where letters and marks meet, with A-Z in lower case.
 
-    The tokenizer lower-cases and splits there itself, so this only makes repeats more frequent. A block with the
-    beginning of a special token keeps its case, as special tokens are told apart by it.
+    The tokenizer lower-cases and cuts there itself, so this only makes repeats more frequent. Letters are a-z and those of
+    Latin-1; marks are those of ASCII but the apostrophe, which may begin a contraction. A block with the beginning of a
+    special token keeps its case and whole words, as special tokens are told apart by them.
     """
-    raw = data
-    if not np.any((data[:-1] == 60) & (data[1:] == 124)):
-        data = W.lower_ascii(data)
-    starts, ends, rows = W.words(raw, offsets)
-    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
-    split = np.flatnonzero(((last == 44) | (last == 46)) & (ends - starts >= 2) & (before >= 97) & (before <= 122))
-    tail = ends[split]
-    shorter = ends.copy()
-    shorter[split] -= 1
-    return data, np.insert(starts, split + 1, tail - 1), np.insert(shorter, split + 1, tail), np.insert(rows, split + 1, rows[split])
+    starts, ends, rows = W.words(data, offsets)
+    if np.any((data[:-1] == 60) & (data[1:] == 124)):
+        return data, starts, ends, rows
+    data = W.lower_ascii(data)
+    kind = KINDS[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[latin] = kind[latin + 1] = LETTER
+    cuts = np.flatnonzero(kind[:-1] + kind[1:] == LETTER + MARK) + 1
+    at = np.searchsorted(starts, cuts, side="right")
+    inside = starts[at - 1] < cuts  # not where two texts meet
+    cuts, at = cuts[inside], at[inside]
+    return data, np.insert(starts, at, cuts), np.insert(ends, at - 1, cuts), np.insert(rows, at, rows[at - 1])
 
 
 def word_ids(path: str) -> WordIds:

@@ -77,6 +77,33 @@ def test_bins_follow_the_rule():
         assert bins.still_open() == set(open_bins) and len(open_bins) <= 5
 
 
+def test_words_are_cut_where_letters_and_marks_meet():
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from glossmill.llm import words as W
+    from glossmill.llm.packing import WordIds
+
+    chooser, path = random.Random(5), public_tokenizers.path("word_bpe_49k.json")
+    signs = list("abzAZ09.,;%*'<|>-_(") + [" ", "\n", "'s", "'ll", "é", "×", "÷", "É", "ß", "中", "—", "\u0301", "\u0338", "\u00a0", "İ", "Σ", "😀", "<|endoftext|>"]
+    for special in (False, True):
+        texts = ["".join(chooser.choice(signs[: len(signs) - (not special)]) for _ in range(chooser.randint(0, 25))) for _ in range(3000)]
+        texts = texts if special else [t.replace("<", "") for t in texts]
+        encoder, batch = WordIds(path), pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+        found = []
+        for _, data, offsets in W.blocks(iter([batch]), "text"):
+            ids, at = encoder.encode(data, offsets)
+            found += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert found == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = WordIds(path)
+    batch = pa.RecordBatch.from_pydict({"text": ["word word%%% (Word) word; été, %%%", "%%%été x's"]})
+    for _, data, offsets in W.blocks(iter([batch]), "text"):
+        encoder.encode(data, offsets)
+    assert len(encoder.index) == len({"word", "%%%", "(", ")", ";", "été", ",", "x's"})
+
+
 def test_pack(spark, documents, corpus, empty):
     from tokenizers import Tokenizer
 
