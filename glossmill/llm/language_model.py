@@ -177,10 +177,15 @@ def _word_shard(words: np.ndarray, bits: int) -> np.ndarray:
     return (words >> _U(48 - bits)).astype(np.int64)
 
 
+def _key_shard(keys: np.ndarray, bits: int) -> np.ndarray:
+    """One of 2 ** bits shards for each hash. Not its top bits: they are its bucket, and a shard's keys must fill all buckets."""
+    return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(1) >> _U(63 - bits)).astype(np.int64)
+
+
 def _pair_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
     own = _word_shard(before, bits)
     spread = np.isin(before, hot)
-    own[spread] = (keys[spread] >> _U(64 - bits)).astype(np.int64) if bits else 0
+    own[spread] = _key_shard(keys[spread], bits)
     return own
 
 
@@ -189,8 +194,7 @@ def _gram_shard(before: np.ndarray, keys: np.ndarray, hot: np.ndarray, parts: np
     own = _word_shard(before, bits)
     at = np.minimum(np.searchsorted(hot, before), len(hot) - 1)
     spread = hot[at] == before
-    part = (keys[spread] >> _U(1)) >> (63 - parts[at[spread]]).astype(np.uint64)
-    own[spread] = (own[spread] + part.astype(np.int64)) & ((1 << bits) - 1)
+    own[spread] = (own[spread] + (_key_shard(keys[spread], bits) >> (bits - parts[at[spread]]))) & ((1 << bits) - 1)
     return own
 
 
@@ -393,7 +397,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> dict:
         write_file(folder, f"contexts-{shard}", [*pack_keys(owner[more]), *(a for x in sums[more].T for a in pack_counts(x))])
         figures = [(f"grams-{k}", 0, int((own == k).sum())) for k in range(1, 5)] + [("grams", 0, len(own))]
         owner, sums = owner[spread > 0], sums[spread > 0].astype(np.uint32)
-        cut = np.searchsorted(owner >> _U(1), np.arange(shards + 1, dtype=np.uint64) << _U(63 - bits))
+        take, cut = _by_shard(_key_shard(owner, bits), shards)
+        owner, sums = owner[take], sums[take]
         partial = [(s, owner[a:b].tobytes(), sums[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
         # One for every word before a pair; a pair that begins a text counts as often as it occurs.
         key, first = np.unique(pair_keys(before, tokens), return_index=True)
@@ -536,7 +541,7 @@ def _context_figures(model: dict, middle: np.ndarray, owner: np.ndarray) -> np.n
     folder, bits, hot = model["folder"], model["bits"], np.isin(middle, model["hot"])
     figures = np.zeros((4, len(owner)))
     figures[:2] = 1  # where it is not written, it was seen once
-    shard = np.where(hot, ((owner >> _U(1)) >> _U(63 - bits)).astype(np.int64), _word_shard(middle, bits))
+    shard = np.where(hot, _key_shard(owner, bits), _word_shard(middle, bits))
     for own, kind in ((np.flatnonzero(~hot), "contexts"), (np.flatnonzero(hot), "hot-contexts")):
         for arrays, rows in _per_shard(folder, kind, shard[own], 1 << bits, owner[own]):
             place = find_keys(arrays, owner[own[rows]])

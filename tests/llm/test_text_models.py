@@ -198,6 +198,28 @@ def test_trigram_model_equals_brute_force(spark, documents, corpus, empty, monke
     assert {round(r.score, 9) for r in L.score(documents.where("text = ''"), L.train(empty, order=3)).collect()} == {0.0}
 
 
+def test_frequent_words_fill_all_buckets_of_a_shard(spark, monkeypatch):
+    """The look-up walks through a bucket, so the keys of a shard must not share the bits that number the buckets."""
+    monkeypatch.setattr(L, "SHARD_TOKENS", 1024)
+    rng = random.Random(8)
+    texts = [(k, " ".join("the" if rng.random() < 0.4 else f"w{rng.randrange(400)}" for _ in range(1500))) for k in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = L.train(docs, order=3)
+    assert model["bits"] >= 4 and len(model["hot"]) > 1
+    for kind in ("hot-pairs", "hot-contexts", "grams", "pairs", "contexts"):
+        keys, walked = 0, 0
+        for shard in range(1 << model["bits"]):
+            if arrays := L._file(model["folder"], f"{kind}-{shard}"):
+                buckets = 1 << int(arrays[0][0])
+                held = np.diff(arrays[1].view(np.uint32)[: buckets + 1].astype(np.int64))
+                keys, walked = keys + int(held.sum()), walked + int((held * held).sum())
+        assert keys > 100 and walked < 8 * keys, kind
+    words, p = trigrams([t for _, t in texts])
+    row = {r.doc_id: r for r in L.score(docs, model).collect()}[3]
+    seq = ["", "<s>"] + tokens(texts[3][1])
+    assert math.isclose(row.score, sum(math.log10(p(*g)) for g in zip(seq, seq[1:], seq[2:])), rel_tol=1e-9)
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     stems = {"aa": ["bako", "lumi", "sato", "neki"], "bb": ["grund", "schla", "pfein", "zwerk"]}
