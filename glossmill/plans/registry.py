@@ -9,6 +9,7 @@ from glossmill.plans import query
 from glossmill.plans.inputs import (
     SQL_KERNELS, SQL_LINKS, SQL_STAMP, SQL_VERSIONS, dataset_rows, dataset_versions, kernel_versions, run_links, stamp, table,
 )
+from glossmill.session import cut, tasks_for
 
 PAGE = 5  # small, so that the data fills several pages of a key
 
@@ -132,12 +133,13 @@ SELECT start, CAST(depth // {PAGE} AS BIGINT) AS page, string_agg(label, ' <- '
 FROM steps GROUP BY start, depth // {PAGE}
 """)
 def lineage_text(spark, folder):
-    versions = dataset_versions(spark, folder)
-    parents = versions.select("name", (F.col("version") + 1).alias("version"), F.col("id").alias("parent_id"))
-    linked = versions.join(parents, ["name", "version"], "left")
-    chains = lineage.lineage(linked.select("id", "parent_id"))
-    labels = versions.select(F.col("id").alias("node"), registry.ref_text("name", "version").alias("label"))
-    return lineage.lineage_text(chains.join(labels, "node"), "label", PAGE).select("start", "page", "lineage")
+    with tasks_for(spark, dataset_rows(spark, folder).count()):
+        versions = cut(dataset_versions(spark, folder).select("id", "name", "version"))
+        parents = versions.select("name", (F.col("version") + 1).alias("version"), F.col("id").alias("parent_id"))
+        linked = versions.join(parents, ["name", "version"], "left")
+        chains = lineage.lineage(linked.select("id", "parent_id"))
+        labels = versions.select(F.col("id").alias("node"), registry.ref_text("name", "version").alias("label"))
+        return cut(lineage.lineage_text(chains.join(labels, "node"), "label", PAGE).select("start", "page", "lineage"))
 
 
 @query("upsert_models", """

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,28 @@ def dealt(df: DataFrame, parts: int | None = None) -> DataFrame:
     return df.repartition(wanted) if wanted else df
 
 
+ROWS_PER_TASK = 250_000
+
+
+@contextmanager
+def tasks_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what runs inside have tasks of about ``ROWS_PER_TASK`` of ``rows``, so that no task's memory grows with the input.
+
+    Spark does not merge their partitions; small inputs have no more than the session's partitions or its cores. Only what is
+    materialised inside is run so.
+    """
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.shuffle.partitions": str(max(1, least, -(-rows // ROWS_PER_TASK))), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so that iterations keep a short lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from glossmill import session
 from glossmill.operators import kernels, keyed, lineage, pairs, profile, registry, runs, studies
 
 
@@ -135,6 +136,24 @@ def test_lineage_of_long_chains_missing_parents_and_cycles(spark):
         lineage.lineage(leaf)
 
 
+def test_lineage_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20, raising=False)
+    held = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in held]
+    spark.conf.set(held[0], "-1")
+    try:
+        chain = spark.range(600).select("id", F.when(F.col("id") % 6 > 0, F.col("id") - 1).alias("parent_id"))
+        chains = lineage.lineage(chain)
+        sizes = chains.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(sizes) == 600 and len(sizes) >= 30 and max(sizes) <= 60
+        assert rows(chains.where("start = 11")) == [(11, k, 11 - k) for k in range(6)]
+        with pytest.raises(ValueError, match="cycle"):
+            lineage.lineage(chain.withColumn("parent_id", F.col("id")), starts=chain)
+    finally:
+        spark.conf.set(held[0], before[0])
+    assert [spark.conf.get(k) for k in held] == before
+
+
 def test_upsert_and_keys(spark):
     old = spark.createDataFrame([(1, "a", "n"), (2, "b", None)], "k int, x string, y string")
     new = spark.createDataFrame([(2, None), (3, "c")], "k int, x string")
